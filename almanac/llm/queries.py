@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from almanac.llm import decontaminate
+from almanac.llm import decontaminate, quality
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
