@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from almanac.llm import decontaminate, mixing, quality, simhash
+from almanac.llm import decontaminate, mixing, pii, quality, simhash
 
 QUERIES = {
+    "op6_pii": pii.op6_pii,
     "op8_mixing": mixing.op8_mixing,
     "op1_simhash": simhash.op1_simhash,
     "op3_quality": quality.op3_quality,
