@@ -125,10 +125,10 @@ class Words:
         return self.span_hash(self.starts, self.ends)
 
 
-def word_slices(column: pa.Array, member: np.ndarray, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def word_slices(column: pa.Array, member: np.ndarray, lower: bool = False, limit: int = SLICE) -> Iterator[tuple[int, int, Words]]:
     """(first row, last row + 1, words) of each slice of a column."""
     data, offsets = buffers(column)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, limit):
         part = data[offsets[lo] : offsets[hi]]
         yield lo, hi, Words(LOWER[part] if lower else part, offsets[lo : hi + 1], member)
 
