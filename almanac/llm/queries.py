@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from almanac.llm import decontaminate, langid, mixing, pii, quality, simhash
+from almanac.llm import decontaminate, html, langid, mixing, pii, quality, simhash
 
 QUERIES = {
+    "op2_html": html.op2_html,
     "op7_language": langid.op7_language,
     "op6_pii": pii.op6_pii,
     "op8_mixing": mixing.op8_mixing,
