@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from almanac.llm import decontaminate, html, langid, mixing, pii, quality, simhash
+from almanac.llm import decontaminate, html, langid, mixing, pii, quality, simhash, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op2_html": html.op2_html,
     "op7_language": langid.op7_language,
     "op6_pii": pii.op6_pii,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
