@@ -41,7 +41,7 @@ from almanac.llm.common import table
 #: Pages whose sentences the training layouts are filled with; layouts drawn.
 FIT_PAGES = 200
 LAYOUTS = 600
-ROUNDS = 40
+ROUNDS = 60
 DEPTH = 4
 
 # Fixed values of HTML itself.
@@ -390,7 +390,7 @@ class Layouts:
             return self.el("header", 0, inner) if self.some(0.5) else self.el("div", 0, inner, said)
         if role == "footer":
             inner = self.one(["&copy; 2024 ", "", "&copy; site.example &middot; "]) + (self.words(9) if self.some(0.5) else self.el("p", 0, self.prose(1, 2))) + (self.links(0) if self.some(0.4) else "")
-            return self.el("footer", 0, inner) if self.some(0.6) else self.el("div", 0, inner, said)
+            return self.el("footer", 0, inner) if self.some(0.7) else self.el("div", 0, inner, said)
         if role == "side":
             inner = "".join(self.el("h3", 0, self.words(3)) + (self.links(0) if self.some(0.6) else self.el("p", 0, self.prose(1, 2))) for _ in range(int(self.rng.integers(1, 4))))
             return self.el("aside", 0, inner) if self.some(0.4) else self.el("div", 0, inner, said)
@@ -414,7 +414,7 @@ class Layouts:
         out = self.el(self.one(["h1", "h1", "h2"]), 1, self.words(10)) * self.some(0.9)
         if self.some(0.25):
             out = self.el("header", 1, out + self.el("p", 1, self.words(8), self.one(["subtitle", "lead", ""])))
-        for _ in range(int(self.rng.integers(0, 14))):
+        for _ in range(int(self.rng.integers(0, 3 if self.some(0.3) else 14))):
             pick = self.rng.random()
             if pick < 0.62:
                 inner = self.prose(1, 5) if self.some(0.85) else self.words(3)
