@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dense(df: DataFrame, text: str = "text") -> DataFrame:
-    """The frame with nulls of ``text`` as empty strings."""
-    return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+def content_key() -> Column:
+    """A hash of a document's id and text: rows with equal ones are the same document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))

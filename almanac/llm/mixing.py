@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, table
+from almanac.llm.common import content_key, cut, table
 from almanac.llm.textops import SPACED, word_slices
 
 BLOCK_WORDS = 32
@@ -47,16 +47,16 @@ MOST = 2.0
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every document."""
+    """doc_id, key, source and size (words) of every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.zeros(batch.num_rows, np.int64)
             for lo, hi, w in word_slices(batch.column("text"), SPACED):
                 size[lo:hi] = w.counts
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size)], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size)], names=["doc_id", "key", "source", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, source string, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("key"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, key long, source string, size long")
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -122,7 +122,7 @@ def _key(seed: int, salt: int, *columns: str) -> Column:
 def mix(docs: DataFrame, seed: int = 20240917, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks).
 
-    documents: row, doc_id, size, source_size, target, whole (passes in which
+    documents: row, doc_id, key, size, source_size, target, whole (passes in which
     the whole document goes in). blocks: row, block (its number in the
     document), words, shard, place (its order in the shard) of each drawn block.
     """
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, seed: int = 20240917, shard_words: int = SHARD_WORDS) -
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("block"), batch.column("words"), pa.array(out)], names=["row", "block", "words", "shard"])
 
     drawn = ranked.select("row", "block", "k", "rank", F.least(F.lit(BLOCK_WORDS), F.col("size") - BLOCK_WORDS * F.col("block")).cast("long").alias("words")).mapInArrow(shard, "row long, block int, words long, shard int")
-    return known.select("row", "doc_id", "size", "source_size", "target", "whole"), drawn.withColumn("place", _key(seed, 2, "row", "block"))
+    return known.select("row", "doc_id", "key", "size", "source_size", "target", "whole"), drawn.withColumn("place", _key(seed, 2, "row", "block"))
 
 
 def taken(documents: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -177,6 +177,16 @@ def taken(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     return documents.join(drawn, "row", "left").withColumn("taken", F.col("whole") * F.col("size") + F.coalesce("drawn", F.lit(0)))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes words of, with size, source_size, target and taken.
+
+    Repeated rows (equal doc_id and text) each get the most that one of them is taken.
+    """
+    share = taken(*mix(docs)).groupBy(F.col("key").alias("_key")).agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")))
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return docs.select(*own, content_key().alias("_key")).join(share, "_key").where("taken > 0").select(*own, "size", "source_size", "target", "taken")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's size and target, the words taken."""
     return taken(*mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, table
+from almanac.llm.common import content_key, cut, table
 
 ROUNDS = 3
 MIN_CONFIDENCE = 0.8
@@ -177,13 +177,37 @@ def patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def extract(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """row, doc_id, base, added: the base spans and those that the method adds."""
+    """row, doc_id, key, base, added: the base spans and those that the method adds."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), base(text).alias("spans"), _candidates(text).alias("candidates")))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("key"), base(text).alias("spans"), _candidates(text).alias("candidates")))
     seen = cut(candidates(rows))
     good = patterns(seen, rounds).where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)).select("context")
     added = seen.where("not seed").join(good, "context", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))).alias("added"))
-    return rows.select("row", "doc_id", F.col("spans").alias("base")).join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN)))
+    return rows.select("row", "doc_id", "key", F.col("spans").alias("base")).join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN)))
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """The documents with each span replaced by its kind, such as <EMAIL>; all columns stay.
+
+    Overlapping spans are replaced together, by the first one's kind. ``n_chars``,
+    if there, is the new text's length; a null text stays null.
+    """
+    added = extract(docs).where("size(added) > 0").groupBy("key").agg(F.first("added").alias("_added")).withColumnRenamed("key", "_key")
+    plain = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn("_key", content_key()).join(added, "_key", "left").withColumn("_spans", F.concat(base(plain), F.coalesce("_added", F.array().cast(SPAN))))
+    text = F.expr(
+        """aggregate(
+            array_sort(_spans, (a, b) -> CASE WHEN a.start <> b.start THEN int(sign(a.start - b.start)) ELSE int(sign(b.end - a.end)) END),
+            named_struct('at', 0L, 'out', ''),
+            (acc, s) -> named_struct(
+                'at', greatest(acc.at, s.end),
+                'out', CASE WHEN s.start >= acc.at THEN concat(acc.out, substring(text, int(acc.at) + 1, int(s.start - acc.at)), '<', upper(s.kind), '>') ELSE acc.out END),
+            acc -> concat(acc.out, substring(text, int(acc.at) + 1)))"""
+    )
+    out = marked.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def _listed(spans: Column) -> Column:
