@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from almanac.llm import decontaminate, html, langid, mixing, pii, quality, simhash, warc
+from almanac.llm import chat, decontaminate, html, langid, mixing, pii, quality, simhash, substrings, warc
 
 QUERIES = {
+    "op5_substrings": substrings.op5_substrings,
+    "op9_chat": chat.op9_chat,
     "op4_warc": warc.op4_warc,
     "op2_html": html.op2_html,
     "op7_language": langid.op7_language,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op9_chat": chat.SQL,
     "op4_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
