@@ -73,7 +73,8 @@ def render(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_same, text: the kept conversations, a row for each chunk."""
     said = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
     turn = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), "role", "a", "b", said.alias("said"))
-    parts = rows.join(kept, "conv_id").groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_same").alias("n_same"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    where = rows.select("conv_id", "part").distinct().join(kept, "conv_id")  # so that a long conversation's chunks stay apart
+    parts = rows.join(where, ["conv_id", "part"]).groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_same").alias("n_same"), F.array_sort(F.collect_list(turn)).alias("turns"))
     return parts.select("conv_id", "part", "n_turns", "n_same", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("text"))
 
 
