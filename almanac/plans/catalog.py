@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from almanac.plans import dated  # noqa: F401  (modules register their queries)
+from almanac.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
