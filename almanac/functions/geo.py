@@ -81,11 +81,19 @@ def ring_holds(x: Column, y: Column, ring: Column) -> Column:
 
 def sun_minutes(day_of_year: Column, lat: Column, lng: Column, rising: bool) -> Column:
     """UTC minutes of sunrise or sunset, by the solar-declination series, three fixed-point steps."""
-    minutes: Column = F.lit(720.0) - 4 * lng
-    for _ in range(3):
-        g = F.lit(2 * math.pi / 365) * (day_of_year - 1 + (minutes / 60 - 12) / 24)
+    sign = 1.0 if rising else -1.0
+
+    def bound(value: Column, use) -> Column:
+        """use(value), with the value worked out once."""
+        return F.transform(F.array(value), use)[0]
+
+    def event(g: Column) -> Column:
         eqtime = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
         decl = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
-        ha = F.degrees(F.acos(F.cos(F.radians(F.lit(90.833))) / (F.cos(F.radians(lat)) * F.cos(decl)) - F.tan(F.radians(lat)) * F.tan(decl)))
-        minutes = F.lit(720.0) - 4 * (lng + (ha if rising else -ha)) - eqtime
-    return minutes
+        angle = lambda d: F.degrees(F.acos(F.lit(math.cos(math.radians(90.833))) / (F.cos(F.radians(lat)) * F.cos(d)) - F.tan(F.radians(lat)) * F.tan(d)))
+        return F.lit(720.0) - 4 * (lng + sign * bound(decl, angle)) - eqtime
+
+    def step(minutes: Column, _: Column) -> Column:
+        return bound(F.lit(2 * math.pi / 365) * (day_of_year - 1 + (minutes / 60 - 12) / 24), event)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(720.0) - 4 * lng, step)
