@@ -121,7 +121,7 @@ def search_terms(c: Column) -> Column:
 
 def truncate_words(c: Column, n: int) -> Column:
     """At most n characters, cut at a word, with an ellipsis."""
-    cut = F.regexp_replace(F.regexp_replace(F.substring(c, 1, n), "\\s+\\S*$", ""), "[,;:.\\s]+$", "")
+    cut = F.regexp_replace(F.regexp_replace(F.substring(c, 1, n), "\\s+\\S*\\z", ""), "[,;:.\\s]+\\z", "")
     return F.when(F.length(c) <= n, c).otherwise(F.concat(cut, F.lit("…")))
 
 
