@@ -149,8 +149,8 @@ def plain_text(html: Column) -> Column:
 
 def match_spans(text: Column, terms: Column) -> Column:
     """Array of (start, length) of each term's first match in the text, in order."""
-    found = F.filter(F.transform(terms, lambda t: F.struct(F.instr(fold_accents(text), t).alias("start"), F.length(t).alias("length"))), lambda s: s["start"] > 0)
-    return F.array_sort(found)
+    spans = lambda folded: F.array_sort(F.filter(F.transform(terms, lambda t: F.struct(F.instr(folded, t).alias("start"), F.length(t).alias("length"))), lambda s: s["start"] > 0))
+    return F.transform(F.array(fold_accents(text)), spans)[0]  # the text is folded once
 
 
 def share_code(c: Column) -> Column:

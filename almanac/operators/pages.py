@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def links(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFrame:
@@ -72,7 +73,7 @@ def page_audit(pages: DataFrame, id_: str = "page_id", html: str = "html") -> Da
     return pages.select(id_, F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), m) for c, m in rules)))).alias("problem"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def gzip_size(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bytes of a text in gzip."""
     for s in texts:

@@ -163,9 +163,9 @@ _ACTIONS = "SELECT user_id AS \"user\", CAST(event_id % 12 AS VARCHAR) AS item,
 
 @query(f"""
 WITH a AS ({_ACTIONS}), w AS (SELECT "user", max((ts, seq)) AS wiped FROM a WHERE action IN ('clear', 'replace') GROUP BY "user"),
-r AS (SELECT a.*, (ts, seq) AS at FROM a LEFT JOIN w ON a."user" = w."user" WHERE action <> 'clear' AND (wiped IS NULL OR (ts, seq) >= wiped)),
-s AS (SELECT "user", item, max(at) FILTER (action <> 'toggle') AS set_at, arg_max(action, at) FILTER (action <> 'toggle') AS act FROM r GROUP BY ALL),
-g AS (SELECT r."user", r.item, count(*) AS n FROM r JOIN s ON r."user" = s."user" AND r.item = s.item WHERE action = 'toggle' AND (set_at IS NULL OR at > set_at) GROUP BY ALL)
+r AS (SELECT a.*, (ts, seq) AS pos FROM a LEFT JOIN w ON a."user" = w."user" WHERE action <> 'clear' AND (wiped IS NULL OR (ts, seq) >= wiped)),
+s AS (SELECT "user", item, max(pos) FILTER (action <> 'toggle') AS set_at, arg_max(action, pos) FILTER (action <> 'toggle') AS act FROM r GROUP BY ALL),
+g AS (SELECT r."user", r.item, count(*) AS n FROM r JOIN s ON r."user" = s."user" AND r.item = s.item WHERE action = 'toggle' AND (set_at IS NULL OR pos > set_at) GROUP BY ALL)
 SELECT s."user" AS "user", s.item AS item FROM s LEFT JOIN g ON s."user" = g."user" AND s.item = g.item WHERE (coalesce(act IN ('add', 'replace'), false)::INT + coalesce(n, 0)) % 2 = 1
 """)
 def saved_set_state(t: Load):

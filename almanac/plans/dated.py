@@ -33,9 +33,10 @@ def distinct_live_per_day(t: Load):
 @query("""
 SELECT id, date, CASE WHEN run OR all_day OR start IS NULL OR start >= '05:00' THEN date ELSE date - 1 END AS day, run,
   CASE WHEN run THEN end_date END AS through,
-  CAST(strftime(timezone('UTC', timezone('America/New_York', CAST(date AS TIMESTAMP) + CASE WHEN all_day OR start IS NULL THEN INTERVAL 0 MINUTE ELSE to_minutes(CAST(left(start, 2) AS INTEGER) * 60 + CAST(right(start, 2) AS INTEGER)) END)), '%Y-%m-%d %H:%M') AS VARCHAR) AS s,
+  -- of a wall time that comes twice, the first
+  strftime(timezone('UTC', CASE WHEN timezone('America/New_York', x - INTERVAL 1 HOUR) = wall THEN x - INTERVAL 1 HOUR ELSE x END), '%Y-%m-%d %H:%M') AS s,
   NOT all_day AND start IS NULL AS time_unknown, NOT all_day AND start IS NOT NULL AND NOT run AND "end" IS NULL AS end_unknown
-FROM instances
+FROM (SELECT *, timezone('America/New_York', wall) AS x FROM (SELECT *, CAST(date AS TIMESTAMP) + CASE WHEN all_day OR start IS NULL THEN INTERVAL 0 MINUTE ELSE to_minutes(CAST(left(start, 2) AS INTEGER) * 60 + CAST(right(start, 2) AS INTEGER)) END AS wall FROM instances))
 """)
 def expand_instances(t: Load):
     """Every event's instances."""

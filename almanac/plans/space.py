@@ -64,7 +64,7 @@ def near_events(t: Load):
     return S.radius_join(t("stays"), live, 2000).select("a_id", "b_id")
 
 
-@query(f"SELECT DISTINCT a.route FROM (SELECT l_orderkey AS route, lat, lng FROM lineitem JOIN stays ON l_suppkey = stays.id) a JOIN places b ON {PAIR} <= 600")
+@query(f"SELECT l_orderkey AS route FROM lineitem WHERE l_suppkey IN (SELECT a.id FROM stays a JOIN places b ON {PAIR} <= 600) GROUP BY 1")
 def point_set_proximity(t: Load):
     """Orders of which any supplier is within 600 m of any customer (semi join of point sets)."""
     near = S.radius_join(t("stays"), t("places"), 600).select(F.col("a_id").alias("l_suppkey")).distinct()
