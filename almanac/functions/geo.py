@@ -15,7 +15,7 @@ DEGREE = EARTH * math.pi / 180
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Metres between two points; null if any coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.lit(2 * EARTH) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would turn a null into 1
 
 
 def walk_minutes(metres: Column) -> Column:
