@@ -382,7 +382,7 @@ def name_level(t: Load):
 def search_terms(t: Load):
     """Terms of each document's first line, and where they stand in it."""
     s = line(t).withColumn("terms", T.search_terms(F.col("line")))
-    return s.select("doc_id", F.array_join("terms", " ").alias("terms"), F.size(T.match_spans(F.col("line"), F.col("terms"))).alias("spans"))
+    return s.withColumn("spans", F.size(T.match_spans(F.col("line"), F.col("terms")))).select("doc_id", F.array_join("terms", " ").alias("said"), "spans")
 
 
 @query("SELECT doc_id, coalesce(TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE), -1) AS number FROM documents")

@@ -129,7 +129,7 @@ def medoid(t: Load):
 @query(f"""
 WITH l AS (SELECT l_orderkey AS route, l_linenumber, l_partkey, l_suppkey, l_shipdate, lat, lng FROM lineitem JOIN stays ON l_suppkey = stays.id),
 n AS (SELECT route, lat, lng, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng FROM l WINDOW w AS (PARTITION BY route ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate)),
-g AS (SELECT a.route, {METRES.format(a="a", b="b").replace("b.lat", "a.nlat").replace("b.lng", "a.nlng")} AS leg FROM n a)
+g AS (SELECT a.route, CASE WHEN a.nlat IS NOT NULL THEN {METRES.format(a="a", b="b").replace("b.lat", "a.nlat").replace("b.lng", "a.nlng")} END AS leg FROM n a)
 SELECT route, CAST(round(sum(leg) / 100) AS BIGINT) AS total, CAST(round(max(leg)) AS BIGINT) AS longest, count(*) AS stops FROM g GROUP BY route
 """)
 def route_legs(t: Load):
@@ -215,8 +215,8 @@ def event_locations(t: Load):
     return t("happenings").where("status <> 'cancelled'").join(p, F.col("place") == F.col("pid")).groupBy("place", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng")).agg(F.count("*").alias("events"), F.countDistinct("date").alias("days"), F.countDistinct("kind").alias("kinds"))
 
 
-@query("SELECT round(lat, 3) AS lat, round(lng, 3) AS lng, count(*) AS members, arg_min(id, (list_position(['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD'], kind), id)) AS lead FROM places GROUP BY 1, 2")
+@query("SELECT CAST(floor(lat * 500) AS BIGINT) AS y, CAST(floor(lng * 500) AS BIGINT) AS x, count(*) AS members, arg_min(id, (list_position(['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD'], kind), id)) AS lead FROM places GROUP BY 1, 2")
 def colocated_pins(t: Load):
     """One pin a point, led by kind order."""
     o = R.vocab_order(F.col("kind"), ["BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD"])
-    return t("places").groupBy(F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng")).agg(F.count("*").alias("members"), F.min(F.struct(o.alias("o"), "id")).alias("m")).select("lat", "lng", "members", F.col("m.id").alias("lead"))
+    return t("places").groupBy(F.floor(F.col("lat") * 500).alias("y"), F.floor(F.col("lng") * 500).alias("x")).agg(F.count("*").alias("members"), F.min(F.struct(o.alias("o"), "id")).alias("m")).select("y", "x", "members", F.col("m.id").alias("lead"))
