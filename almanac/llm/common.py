@@ -38,3 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
 def content_key() -> Column:
     """A hash of a document's id and text: rows with equal ones are the same document."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def hashed_sample(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
+    """About the n rows of the least key hashes, n at most; total is the number of rows.
+
+    A share of the hashes is cut out first, so that what tasks send to the
+    driver is bounded by n and not by n times the tasks.
+    """
+    share = min(1.0, (1.5 * n + 100) / max(total, 1))
+    h = F.xxhash64(key)
+    cut_out = df if share == 1.0 else df.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    return cut_out.orderBy(h, key).limit(n)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import table
+from almanac.llm.common import hashed_sample, table
 
 #: Pages whose sentences the training layouts are filled with; layouts drawn.
 FIT_PAGES = 200
@@ -466,7 +466,8 @@ _ROLE = re.compile(r'data-k="([01])"')
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, layouts: int = LAYOUTS) -> Boosted:
     """The trees, trained on layouts filled with sentences of a bounded sample of pages."""
-    rows = pages.where("html is not null").select(F.substring(F.regexp_replace(F.col("html").cast("string"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*+>", "\n"), 1, 20_000).alias("t"), F.xxhash64("page_id", "html").alias("k")).orderBy("k").limit(fit_pages).collect()
+    some = hashed_sample(pages.where("html is not null"), F.col("page_id"), fit_pages, pages.count())
+    rows = some.select(F.substring(F.regexp_replace(F.col("html").cast("string"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*+>", "\n"), 1, 20_000).alias("t")).collect()
     sentences = sorted({_html.escape(_html.unescape(x.strip()), quote=False) for r in rows for x in re.split(r"\n|(?<=[.!?])\s", r.t) if len(x.split()) >= 2})[:20_000]
     draw = Layouts(sentences)
     xs, ys = [], []
