@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.common import table
@@ -179,13 +179,20 @@ def held_out() -> Column:
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Network | None:
     """The network, trained on a bounded sample of each language's documents."""
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.coalesce(~held_out(), F.lit(False)))
-    # the least hashes of each language, kept in parts so that no language's documents meet in one task
-    order = F.xxhash64("doc_id")
-    keys = seen.select("doc_id", "lang", order.alias("order"), F.pmod(order, F.lit(64)).alias("part"))
-    some = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("order", "doc_id"))).where(F.col("n") <= fit_docs // 64 + 1).select("doc_id", "lang")
-    chosen = some.distinct().limit(MAX_LANGS * fit_docs).collect()  # bounded
-    if not chosen:
+    counts = {r.lang: r.n for r in seen.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not counts:
         return None
+    # a share of each language's hashes, so that about the wanted number is left of any number of documents
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (1.5 * fit_docs + 50) / n) * (1 << 30)) + 1))), F.col("lang"))
+    order = F.xxhash64("doc_id")
+    rows = seen.where(F.pmod(order, F.lit(1 << 30)) < share).select("doc_id", "lang", order.alias("order")).distinct().orderBy("order", "doc_id").limit(3 * MAX_LANGS * fit_docs).collect()  # bounded
+    chosen, taken = [], Counter()
+    for r in rows:
+        taken[r.lang] += 1
+        if taken[r.lang] <= fit_docs:
+            chosen.append(r)
     spark = docs.sparkSession
     sample = seen.join(F.broadcast(spark.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long").distinct()), "doc_id", "left_semi")
 
