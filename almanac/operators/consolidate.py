@@ -8,8 +8,6 @@ grouped aggregates and unpivots; no record's parts are looped over.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.geo import haversine
 from almanac.functions.text import name_key, norm_for_field
+from almanac.sources.shared import written
 
 
 def verified_flag(notes: Column) -> Column:
@@ -144,58 +143,34 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Minimum labels spread along edges and through labels of labels, with a
     written table a round; ends as soon as no label changes.
     """
-    spark = edges.sparkSession
-    folder = f"{_shared(spark)}/components-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    both = kept(edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).distinct(), "edges")
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "0")
-    for k in range(1, rounds + 1):
+    both = written(edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    for _ in range(rounds):
         low = both.join(labels.selectExpr("node as b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         far = labels.selectExpr("node as label", "label as far")
         step = labels.join(low, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")).join(far, "label", "left")
-        new = kept(step.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")), str(k))
+        new = written(step.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
         labels = new.select("node", "label")
         if new.where("label < was").isEmpty():
             return labels
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-def _shared(spark) -> str:
-    """The folder that all executors share; a temporary one in a local run."""
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
 def assign_best(candidates: DataFrame, rounds: int = 200) -> DataFrame:
     """subject, file: each file once; candidates (subject, file, tier, rank).
 
     Open subjects propose their best free file; a file goes to the subject of
     the least (tier, subject); the rest go on, until no one can propose.
     """
-    spark = candidates.sparkSession
-    folder = f"{_shared(spark)}/assigned-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    left = kept(candidates.select("subject", "file", "tier", "rank"), "left-0")
+    left = written(candidates.select("subject", "file", "tier", "rank"))
     done = [candidates.select("subject", "file").limit(0)]
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         if left.isEmpty():
             return reduce(DataFrame.unionByName, done)
         best = left.groupBy("subject").agg(F.min(F.struct("rank", "file", "tier")).alias("m")).select("subject", "m.file", "m.tier")
         # a subject with a better claim may still come for the file, so only claims of no waiting rival are final
         rival = left.groupBy("file").agg(F.min(F.struct("tier", "subject")).alias("w")).select("file", F.col("w.subject").alias("first"))
-        won = kept(best.join(rival, "file").where("subject = first").select("subject", "file"), f"won-{k}")
+        won = written(best.join(rival, "file").where("subject = first").select("subject", "file"))
         done.append(won)
-        left = kept(left.join(won.select("subject"), "subject", "left_anti").join(won.select("file"), "file", "left_anti"), f"left-{k}")
+        left = written(left.join(won.select("subject"), "subject", "left_anti").join(won.select("file"), "file", "left_anti"))
     raise RuntimeError(f"subjects still open after {rounds} rounds")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.sources.shared import written
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
@@ -43,7 +45,8 @@ def numbered(df: DataFrame, order: list, keep: Column) -> DataFrame:
     Rows are range-partitioned by the order; each partition's count is added up
     and its rows are numbered within, so no task gets all rows.
     """
-    parts = df.withColumn("_keep", keep).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written once, as each run of a range partitioning may cut the ranges elsewhere
+    parts = written(df.withColumn("_keep", keep).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").agg(F.count_if("_keep").alias("_c"))
     before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # a row for each partition
     inside = F.sum(F.col("_keep").cast("long")).over(Window.partitionBy("_part").orderBy(*order))

@@ -238,6 +238,14 @@ def test_reading(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w/places")).columns == ["n", "id"]
 
 
+def test_records_in_three_wrappings(spark, tmp_path):
+    rows = [{"id": "a"}, {"id": "b"}]
+    for k, v in enumerate((rows, {"records": {"media": rows}}, {"media": rows})):
+        (tmp_path / f"{k}.json").write_text(json.dumps(v))
+        df = spark.read.option("multiLine", True).json(str(tmp_path / f"{k}.json"))
+        assert sorted(r.id for r in IO.unwrap_records(df, "media").collect()) == ["a", "b"]
+
+
 def test_page_rules(spark):
     html = "<title>T</title><h1>a</h1><h1>b</h1><img src='x'><p id='k'><p id='k'><a href='http://x.org/'>x</a><a href='../../up'>u</a><a href='b/../c?q=1#k'>c</a><script src='https://z.org/s.js'></script>"
     p = spark.createDataFrame([(1, html)], "page_id int, html string")
