@@ -9,7 +9,11 @@ The network is trained in numpy by back-propagation through time.
 
 Training reads a sample of at most ``FIT_DOCS`` documents a language, out of
 those that are not held out and have a language; everything else runs over all
-documents and whole texts.
+documents and whole texts. Of the sample's words, about ``MAX_WORDS`` are
+trained on: the languages share them alike (what one does not need goes to the
+others), each takes its most frequent words, and among words of its last count
+a share of their hashes. So each language with words in its sample is in the
+model.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 without training documents every document is ``und``; repeated documents each
@@ -27,12 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import table
+from almanac.llm.common import cut, table
 from almanac.llm.textops import SPACED, Words, word_slices
 
 #: Most training documents of a language; most languages.
 FIT_DOCS = 300
 MAX_LANGS = 200
+#: About so many (word, language) rows of the sample are trained on, shared out by language.
+MAX_WORDS = 60_000
 #: Bytes of a word that the network reads at a time; longer words are cut into such pieces.
 PIECE = 24
 #: Bytes of text whose distinct words are scored together.
@@ -176,8 +182,34 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Network | None:
-    """The network, trained on a bounded sample of each language's documents."""
+def shares(sizes: dict[str, int], total: int) -> dict[str, int]:
+    """The total dealt out evenly, to each as much as its size at most and one at least."""
+    out: dict[str, int] = {}
+    for k, (name, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(size, max(1, (total - sum(out.values())) // (len(sizes) - k)))
+    return out
+
+
+def _frequent(counted: DataFrame, max_words: int) -> list:
+    """Rows (word, lang, n): the most frequent of each language, about max_words in all."""
+    kinds = counted.groupBy("lang", "n").agg(F.count("*").alias("rows")).collect()  # the different counts of a bounded sample
+    sizes = Counter()
+    for r in kinds:
+        sizes[r.lang] += r.rows
+    wanted, last = shares(sizes, max_words), {}
+    for r in sorted(kinds, key=lambda r: -r.n):
+        if r.lang not in last and wanted[r.lang] <= r.rows:
+            last[r.lang] = (r.n, -(-wanted[r.lang] * (1 << 30) // r.rows))
+        wanted[r.lang] -= r.rows
+    if not last:
+        return []
+    least = lambda k: F.element_at(F.create_map(*(F.lit(x) for lang, v in last.items() for x in (lang, v[k]))), F.col("lang"))
+    order = F.pmod(F.xxhash64("word"), F.lit(1 << 30))
+    return counted.where((F.col("n") > least(0)) | ((F.col("n") == least(0)) & (order < least(1)))).collect()
+
+
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS) -> Network | None:
+    """The network, trained on a bounded sample of each language's documents and words."""
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.coalesce(~held_out(), F.lit(False)))
     counts = {r.lang: r.n for r in seen.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
@@ -208,7 +240,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Network | None:
                 names = list(number)
                 yield pa.RecordBatch.from_pydict({"word": [words[p // len(names)] for p in pair.tolist()], "lang": [names[p % len(names)] for p in pair.tolist()], "n": n}, schema=pa.schema([("word", pa.binary()), ("lang", pa.string()), ("n", pa.int64())]))
 
-    rows = sample.select("lang", "text").mapInArrow(counted, "word binary, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(60_000).collect()  # the most frequent words of the sample
+    rows = _frequent(cut(sample.select("lang", "text").mapInArrow(counted, "word binary, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))), max_words)
     langs = sorted({r.lang for r in rows})
     if not rows:
         return None

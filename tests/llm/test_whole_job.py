@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from almanac.llm import minhash
+from almanac.llm import langid, minhash
 
 VOCABULARY = [f"v{k}" for k in range(4000)]
 
@@ -40,3 +40,16 @@ def test_near_duplicates_by_similarity(spark):
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert kept.count(None) == 2 and sorted(k for k in kept if k is not None) == sorted(set(want.values()))
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_languages_of_rare_words_stay(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(k, " ".join(str(rng.choice(["the", "thing", "with", "shower", "house"])) + str(k % 7) for _ in range(60)), "en") for k in range(60)]
+    rows += [(100 + k, " ".join(draw("\u6f22\u5b57\u4e2d\u6587\u8a9e\u8a00\u5b78\u7fd2\u66f8", 9) for _ in range(12)), "zh") for k in range(60)]  # hardly a word twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(docs, max_words=30)  # en alone has 35 words that are more frequent
+    assert net.langs == ["en", "zh"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, net).collect()}
+    assert all(got[k] == lang for k, _, lang in rows)
+    assert langid.shares({"a": 5, "b": 100, "c": 100}, 45) == {"a": 5, "b": 20, "c": 20}
