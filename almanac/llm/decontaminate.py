@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,6 +176,14 @@ def _by_row(words: Words, spans: list[tuple[int, int]]) -> dict[int, list[tuple[
     return out
 
 
+def _places(words: Words, row: int, spans: list[tuple[int, int]]) -> list[dict]:
+    """A row's spans as its own words [first, last) and code points [start, end)."""
+    text, o = words.data[words.offsets[row] : words.offsets[row + 1]], words.offsets[row]
+    points = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
+    first = int(words.first[row])
+    return [{"first": s - first, "last": e - first, "start": int(points[words.starts[s] - o]), "end": int(points[words.ends[e - 1] - o])} for s, e in spans]
+
+
 def _merged(spans: list[dict]) -> list[dict]:
     """Spans of words as disjoint ones, in order."""
     out: list[dict] = []
@@ -203,10 +212,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
                     part = batch.slice(lo, hi - lo)
                     n_hit, which, places = (part.column(c).to_pylist() for c in ("n_hit", "items", "spans"))
                     for row, found in rows.items():
-                        text, o = w.data[w.offsets[row] : w.offsets[row + 1]], w.offsets[row]
-                        points = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
-                        first = int(w.first[row])
-                        places[row] = _merged(places[row] + [{"first": s - first, "last": e - first, "start": int(points[w.starts[s] - o]), "end": int(points[w.ends[e - 1] - o])} for s, e in found])
+                        places[row] = _merged(places[row] + _places(w, row, found))
                         n_hit[row] = sum(x["last"] - x["first"] for x in places[row])
                         which[row] = sorted({*which[row], *items[row]})
                     columns = [part.column("doc_id"), part.column("text"), w.counts, n_hit, which, places]
@@ -216,46 +222,63 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     return out.drop("text")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without benchmark passages; all columns stay.
 
     Hit spans are cut out of the text, each leaving one newline; a document of
-    whose words more than ``max_coverage`` are hit is dropped. Documents without
-    a hit, also empty ones, are returned as they are. ``n_chars``, if there, is
-    the new text's length.
+    whose words more than ``max_coverage`` are hit is dropped. All blocks of the
+    benchmark look at the original text, and their spans count and are cut out
+    together. Documents without a hit, also empty ones, are returned as they
+    are. ``n_chars``, if there, is the new text's length.
     """
-    for automaton in automata(benchmark, window):
+    taken = {c.lower() for c in docs.columns}
+    spans_at, words_at = (next(c for k in range(len(taken) + 1) if (c := f"_{name}{k}") not in taken) for name in ("spans", "words"))
+    marked = docs.withColumn(spans_at, F.expr("cast(array() as array<struct<first:long,last:long,start:long,end:long>>)")).withColumn(words_at, F.lit(0).cast("long"))
+    for automaton in automata(benchmark, window, block_bytes):
 
-        def cut(batches: Iterator[pa.RecordBatch], a: Automaton = automaton) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], a: Automaton = automaton) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = batch.column("text")
-                at = batch.schema.get_field_index("text")
-                size = batch.schema.get_field_index("n_chars")
-                for lo, hi, w in word_slices(column, ALNUM, lower=True):
+                at, size = batch.schema.get_field_index(spans_at), batch.schema.get_field_index(words_at)
+                for lo, hi, w in word_slices(batch.column("text"), ALNUM, lower=True):
                     rows = _by_row(w, a.scan(w)[0])
                     part = batch.slice(lo, hi - lo)
+                    columns = part.columns
                     if rows:
-                        texts = part.column(at).to_pylist()
-                        keep = np.ones(hi - lo, bool)
+                        places = columns[at].to_pylist()
                         for row, found in rows.items():
-                            keep[row] = sum(e - s for s, e in found) <= max_coverage * w.counts[row]
-                            raw, o, pieces, last = texts[row].encode(), w.offsets[row], [], 0
-                            for s, e in found:
-                                pieces.append(raw[last : w.starts[s] - o])
-                                last = w.ends[e - 1] - o
-                            texts[row] = b"\n".join([*pieces, raw[last:]]).decode()
-                        columns = part.columns
-                        columns[at] = pa.array(texts, part.schema.field(at).type)
-                        if size >= 0:
-                            lengths = part.column(size).to_pylist()
-                            for row in rows:
-                                lengths[row] = len(texts[row])
-                            columns[size] = pa.array(lengths, part.schema.field(size).type)
-                        part = pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
-                    yield part
-
-        docs = docs.mapInArrow(cut, docs.schema)
-    return docs
+                            places[row] = _merged(places[row] + _places(w, row, found))
+                        columns[at] = pa.array(places, part.schema.field(at).type)
+                    columns[size] = pa.array(w.counts, pa.int64())
+                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+        marked = marked.mapInArrow(scan, marked.schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, n_words = batch.column(spans_at), batch.column(words_at)
+            batch = batch.drop_columns([spans_at, words_at])
+            rows = np.flatnonzero(np.asarray(pc.list_value_length(spans))).tolist()
+            if rows:
+                columns, keep = batch.columns, np.ones(len(batch), bool)
+                at, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+                texts, lengths = columns[at].to_pylist(), columns[size].to_pylist() if size >= 0 else []
+                for row in rows:
+                    pieces, last, hit = [], 0, 0
+                    for x in spans[row].as_py():
+                        pieces.append(texts[row][last : x["start"]])
+                        last = x["end"]
+                        hit += x["last"] - x["first"]
+                    keep[row] = hit <= max_coverage * n_words[row].as_py()
+                    texts[row] = "\n".join([*pieces, texts[row][last:]])
+                    if size >= 0:
+                        lengths[row] = len(texts[row])
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                if size >= 0:
+                    columns[size] = pa.array(lengths, batch.schema.field(size).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+            yield batch
+
+    return marked.mapInArrow(cut, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from almanac.llm import langid, minhash
+from almanac.llm import decontaminate, langid, minhash
 
 VOCABULARY = [f"v{k}" for k in range(4000)]
 
@@ -53,3 +53,25 @@ def test_languages_of_rare_words_stay(spark):
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs, net).collect()}
     assert all(got[k] == lang for k, _, lang in rows)
     assert langid.shares({"a": 5, "b": 100, "c": 100}, 45) == {"a": 5, "b": 20, "c": 20}
+
+
+def test_removal_looks_at_the_original_text(spark):
+    run = lambda name, a, b: " ".join(f"{name}{k}" for k in range(a, b))
+    items = [(1, run("w", 0, 14)), (2, run("w", 5, 19)), (3, run("x", 0, 10)), (4, run("y", 0, 40)), (5, run("z", 0, 40))]
+    texts = {
+        1: f"before {run('w', 0, 19)} after",
+        2: f"{run('y', 0, 40)} {run('clean', 0, 20)} {run('z', 0, 40)}",
+        3: f"{run('x', 0, 5)} {run('w', 0, 14)} {run('x', 5, 10)} {run('clean', 0, 20)}",
+        4: f"\u00e9\U0001f600 {run('x', 0, 10)} \u00fc {run('clean', 0, 20)}",
+        5: None,
+    }
+    docs = spark.createDataFrame([(k, "keep", t, len(t or "")) for k, t in texts.items()], "doc_id long, _spans0 string, text string, n_chars long")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {3: f"{run('x', 0, 5)} \n {run('x', 5, 10)} {run('clean', 0, 20)}", 4: f"\u00e9\U0001f600 \n \u00fc {run('clean', 0, 20)}", 5: None}
+    for block_bytes in (1 << 20, 120, 60):  # 1, 5 and 10 blocks
+        assert block_bytes > 1000 or sum(len(a.vocabulary) > 0 for a in decontaminate.automata(benchmark, 10, block_bytes)) > 1
+        rows = decontaminate.remove(docs, benchmark, block_bytes=block_bytes).collect()
+        assert {r.doc_id: r.text for r in rows} == want, block_bytes
+        assert all(r.n_chars == len(r.text or "") and r._spans0 == "keep" for r in rows)
+        whole = {r.doc_id: r.text for r in decontaminate.remove(docs, benchmark, max_coverage=1.0, block_bytes=block_bytes).collect()}
+        assert whole[1] == "before \n after" and whole[2] == f"\n {run('clean', 0, 20)} \n"
