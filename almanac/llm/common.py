@@ -49,3 +49,16 @@ def hashed_sample(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
     h = F.xxhash64(key)
     cut_out = df if share == 1.0 else df.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     return cut_out.orderBy(h, key).limit(n)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table has not (case does not tell them apart)."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for k in range(len(taken) + 1) if (c := f"_{name}{k}") not in taken) for name in names]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables in the shared folder that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,9 +7,10 @@ fingerprints; it deals all distinct fingerprints out to shards. At a node, a
 fingerprint at most a median distance from the vantage point goes to the near
 side; a farther one goes to the far side and, by the triangle bound, also to
 the near side if it is within the radius of the boundary. Each pair within the
-radius thus meets in a shard. Large shards are split into blocks that meet
-pairwise. Within a block the tree goes on in memory down to small leaves, whose
-fingerprints are compared on all 64 bits.
+radius thus meets in a shard. Within a shard the tree goes on in memory (up to
+``MOST_BLOCK`` fingerprints of 8 bytes) down to small leaves, whose fingerprints
+are compared on all 64 bits. Shards of more than twice the mean, or than that
+bound, are split into blocks that meet pairwise.
 
 A block returns links that join each found group (a spanning star), not all its
 pairs. Components come from minimum labels that spread along the links in
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, hashed_sample, shared_dir, table
+from almanac.llm.common import cut, discard, hashed_sample, shared_dir, table
 from almanac.llm.textops import buffers
 
 RADIUS = 3
@@ -44,7 +46,7 @@ MOST_SAMPLE = 1 << 20
 #: About so many fingerprints are aimed at in a shard; a part of a block has so many at least and at most.
 SHARD = 1500
 BLOCK = 1000
-MOST_BLOCK = 50_000
+MOST_BLOCK = 1 << 20
 #: Copies of a fingerprint that a level makes, about (those within 1 bit of a median of 16 bits).
 COPIES = 1.14
 #: A leaf that is compared pair by pair.
@@ -120,44 +122,61 @@ class Tree:
         return np.concatenate([i for i, _ in out]), np.concatenate([np.full(len(i), n) for i, n in out])
 
 
-def _star(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
-    """Lower the labels of linked entries to their group's least one."""
+def _join(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
+    """Join the groups of linked entries; each entry's label is its group's least one, before and after."""
     while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label[:] = label[label]
-        if np.array_equal(before, label):
+        p, q = label[a], label[b]
+        low = np.minimum(p, q)
+        if np.array_equal(p, q):
             return
+        np.minimum.at(label, p, low)
+        np.minimum.at(label, q, low)
+        while not np.array_equal(further := label[label], label):
+            label[:] = further
 
 
-def _compare(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, label: np.ndarray) -> None:
-    """Link all pairs of both sides within the radius on all bits."""
+def _compare(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all groups of both sides' pairs within the radius on all bits."""
     i, j = np.nonzero(np.bitwise_count(fps[left][:, None] ^ fps[right][None, :]) <= radius)
-    keep = left[i] != right[j]
-    if keep.any():
-        _star(left[i[keep]], right[j[keep]], label)
+    both = np.concatenate([left, right])
+    label = np.arange(len(both))
+    _join(i, j + len(left), label)
+    moved = np.flatnonzero(label != np.arange(len(both)))
+    return both[moved], both[label[moved]]
 
 
 def linked(fps: np.ndarray, shift: int, radius: int) -> np.ndarray:
-    """For each of distinct fingerprints the index of the least one that it is linked to."""
+    """For each of distinct fingerprints the index of the least one that it is linked to.
+
+    The tree is on the 32 bits from ``shift`` on. Fingerprints that no vantage
+    point parts there are as good as equal in them, so a pair is within half the
+    radius in one of the other half's two quarters: they get a tree on each.
+    """
     label = np.arange(len(fps))
-    half = (fps >> np.uint64(shift)) & _HALF
-    near = radius // 2
-    todo = [np.arange(len(fps))]
+    other = 32 - shift
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    todo = [(np.arange(len(fps)), shift, 32)]
     while todo:
-        part = todo.pop()
+        part, at, bits = todo.pop()
         if len(part) > LEAF:
-            distance = np.bitwise_count(half[part] ^ half[part[len(part) // 2]]).astype(np.int64)
+            own = (fps[part] >> np.uint64(at)) & np.uint64((1 << bits) - 1)
+            distance = np.bitwise_count(own ^ own[len(part) // 2]).astype(np.int64)
             median = int(np.median(distance))
-            inner, outer = part[distance <= median + near], part[distance > median]
-            if len(inner) < 0.95 * len(part) and len(outer):
-                todo += [inner, outer]
+            inner, outer = distance <= median + radius // 2, distance > median
+            if inner.sum() < 0.95 * len(part) and outer.any():
+                todo += [(part[inner], at, bits), (part[outer], at, bits)]
+                continue
+            if bits == 32:
+                todo += [(part, other, 16), (part, other + 16, 16)]
                 continue
         for lo in range(0, len(part), LEAF):  # also what no vantage point parts
             for to in range(lo, len(part), LEAF):
-                _compare(fps, part[lo : lo + LEAF], part[to : to + LEAF], radius, label)
+                found.append(_compare(fps, part[lo : lo + LEAF], part[to : to + LEAF], radius))
+                waiting += len(found[-1][0])
+        if found and (waiting > len(fps) or not todo):
+            _join(*map(np.concatenate, zip(*found, strict=True)), label)
+            found, waiting = [], 0
     return label
 
 
@@ -210,11 +229,12 @@ def links(fps: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, shard
     return placed.mapInArrow(blocks, "fp long, shard long, i long, j long").groupBy("shard", "i", "j").applyInPandas(joined, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node that it is linked to) of all ends of links a-b.
 
     Each round takes the least label among neighbours, then the label's own
-    label, so that a path's length about halves or better with each round.
+    label, so that a path's length about halves or better with each round; labels
+    only fall, so the rounds end. A round's table is deleted once the next is written.
     """
     spark = edges.sparkSession
     folder = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
@@ -226,17 +246,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     both = kept(edges.unionByName(edges.selectExpr("b a", "a b")).distinct(), "edges")
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "0")
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         low = both.join(labels.selectExpr("node b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         lower = labels.join(low, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("was"))
         jump = labels.selectExpr("node label", "label further")
         step = lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
         labels = kept(step.select("node", "label", (F.col("label") < F.col("was")).alias("moved")), str(k))
         moved = labels.where("moved")
+        discard(spark, f"{folder}/{k - 1}")
         labels = labels.select("node", "label")
         if moved.isEmpty():
+            discard(spark, f"{folder}/edges")
             return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -254,12 +275,3 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document, that of the least doc_id, of each component; all columns stay.
-
-    Of repeated rows of that doc_id one stays. Rows without a doc_id all stay.
-    """
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -1,8 +1,9 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
-The helpers work on slices of about ``SLICE`` bytes of a column's UTF-8 buffer,
-so memory stays bounded however long the texts or the record batches are.
-A text is never split between two slices.
+The helpers work on slices of about ``SLICE`` bytes of a column's UTF-8 buffer.
+A text is never split between two slices; the words of a longer text are found
+and hashed in pieces of ``SLICE`` bytes, so that beside the text only its words'
+places and hashes (about 32 bytes a word) are held.
 """
 
 from __future__ import annotations
@@ -91,18 +92,23 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
         self.data, self.offsets = data, offsets - offsets[0]
-        n = len(data)
-        inside = np.zeros(n + 2, bool)
-        inside[1:-1] = member[data]
-        bound = np.zeros(n + 2, bool)
-        bound[self.offsets + 1] = True
-        here = inside[1:-1]
-        self.starts = np.flatnonzero(here & (~inside[:-2] | bound[1:-1]))
-        self.ends = np.flatnonzero(here & (~inside[2:] | bound[2:])) + 1
+        self.member = member[data]
+        bound = np.zeros(len(data) + 1, bool)
+        bound[self.offsets] = True
+        starts, ends = [], []
+        for lo in range(0, len(data), SLICE):
+            hi = min(lo + SLICE, len(data))
+            here = self.member[lo:hi]
+            around = np.zeros(hi - lo + 2, bool)
+            around[1:-1] = here
+            around[0], around[-1] = lo > 0 and self.member[lo - 1], hi < len(data) and self.member[hi]
+            starts.append(np.flatnonzero(here & (~around[:-2] | bound[lo:hi])) + lo)
+            ends.append(np.flatnonzero(here & (~around[2:] | bound[lo + 1 : hi + 1])) + (lo + 1))
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.ends = np.concatenate(ends) if ends else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.starts, self.offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.member = here
-        self._sums: np.ndarray | None = None
+        self._hash: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -112,17 +118,27 @@ class Words:
         return np.diff(self.first)
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span of the slice."""
-        if self._sums is None:
-            self._power, self._inverse = _powers_for(len(self.data) + 1)
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_CODES[self.data] * self._power[: len(self.data)], out=self._sums[1:])
-        with np.errstate(over="ignore"):
-            return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+        """A hash of the bytes of each span of the slice; spans are in order of their starts."""
+        out = np.empty(len(starts), np.uint64)
+        k = 0
+        while k < len(starts):
+            # spans that start in a piece; the piece's sums go on to the end of the longest of them
+            to = max(k + 1, int(np.searchsorted(starts, starts[k] + SLICE, "left")))
+            lo, hi = int(starts[k]), int(ends[k:to].max())
+            power, inverse = _powers_for(hi - lo + 1)
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                np.cumsum(_CODES[self.data[lo:hi]] * power[: hi - lo], out=sums[1:])
+                a, b = starts[k:to] - lo, ends[k:to] - lo
+                out[k:to] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+            k = to
+        return out
 
     @property
     def hash(self) -> np.ndarray:
-        return self.span_hash(self.starts, self.ends)
+        if self._hash is None:
+            self._hash = self.span_hash(self.starts, self.ends)
+        return self._hash
 
 
 def word_slices(column: pa.Array, member: np.ndarray, lower: bool = False, limit: int = SLICE) -> Iterator[tuple[int, int, Words]]:

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from almanac.llm import decontaminate, langid, minhash
+from almanac.llm import decontaminate, langid, minhash, simhash
 
 VOCABULARY = [f"v{k}" for k in range(4000)]
 
@@ -35,10 +35,15 @@ def test_near_duplicates_by_similarity(spark):
             texts[k + j] = " ".join(base)
     want = _components(texts)
     assert len(set(want.values())) < 150
-    docs = spark.createDataFrame([*texts.items(), (None, "no id"), (None, "no id")], "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
-    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
-    assert kept.count(None) == 2 and sorted(k for k in kept if k is not None) == sorted(set(want.values()))
+    other = " ".join(VOCABULARY[:90])
+    rows = [*texts.items(), (None, "no id"), (None, "no id"), (None, texts[0]), (0, texts[0]), (0, other), (8, texts[8])]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, _key0 int")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).where("doc_id is not null").collect()} == want
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    got = [r.doc_id for r in kept]
+    assert got.count(None) == 1 and got.count(0) == 2 and {r.text for r in kept if r.doc_id == 0} == {texts[0], other}
+    assert sorted(k for k in got if k) == sorted(set(want.values()) - {0})
+    assert all(rows[r["_key0"]] == (r.doc_id, r.text) for r in kept)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -75,3 +80,17 @@ def test_removal_looks_at_the_original_text(spark):
         assert all(r.n_chars == len(r.text or "") and r._spans0 == "keep" for r in rows)
         whole = {r.doc_id: r.text for r in decontaminate.remove(docs, benchmark, max_coverage=1.0, block_bytes=block_bytes).collect()}
         assert whole[1] == "before \n after" and whole[2] == f"\n {run('clean', 0, 20)} \n"
+
+
+def test_fingerprints_with_one_equal_half():
+    rng = np.random.default_rng(6)
+    low = rng.integers(0, 1 << 32, 1500, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 32, (3, 1500), dtype=np.uint64)
+    for shift in (0, 32):
+        fps = np.unique(np.concatenate([low, low ^ flips[0] ^ flips[1] ^ flips[2], low[:9]]) << np.uint64(32 - shift))
+        label = simhash.linked(fps, shift, 3)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+        want = np.arange(len(fps))
+        for _ in range(20):
+            want = np.where(near, want[None, :], len(fps)).min(1)
+        assert np.array_equal(label, want)
