@@ -1,9 +1,10 @@
 """What small or plain tables do not show: each test failed on a version that did less than the whole job."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from almanac.llm import decontaminate, langid, minhash, simhash
+from almanac.llm import decontaminate, langid, minhash, pii, simhash
 
 VOCABULARY = [f"v{k}" for k in range(4000)]
 
@@ -94,3 +95,53 @@ def test_fingerprints_with_one_equal_half():
         for _ in range(20):
             want = np.where(near, want[None, :], len(fps)).min(1)
         assert np.array_equal(label, want)
+
+
+def test_pattern_scores_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    edges, totals = {}, {}
+    for context in range(12):
+        for value in rng.choice(60, rng.integers(2, 12), replace=False).tolist():
+            edges[context, value] = (int(rng.integers(1, 4)), value < 25 + 3 * (context % 2), value > 52)
+        totals[context] = sum(n for (c, _), (n, _, _) in edges.items() if c == context) + int(rng.integers(0, 3))
+    accepted = {}
+    for _ in range(4):
+        value_score = {}
+        for (c, v), (_, seed, bad) in edges.items():
+            doubt = np.prod([1 - min(0.999, accepted[d]) for d in accepted if (d, v) in edges])
+            value_score[c, v] = 0.0 if bad else max(float(seed), 1 - doubt if accepted else 0.0)
+        conf = {c: sum(n * value_score[c, v] for (d, v), (n, _, _) in edges.items() if d == c) / (totals[c] + 1) for c in totals}
+        support = {c: sum(value_score[c, v] >= 0.5 for d, v in edges if d == c) for c in totals}
+        accepted = {c: conf[c] for c in totals if conf[c] >= 0.4 and support[c] >= 3}
+    table = spark.createDataFrame([(c, 100 + c, v, n, s, b) for (c, v), (n, s, b) in edges.items()], "context long, words long, value long, n long, seed boolean, bad boolean")
+    said = spark.createDataFrame([(100 + c, n) for c, n in totals.items()], "words long, total long")
+    got = {r.context: r.confidence for r in pii.patterns(table, said, 4, 0.4, 3).collect()}
+    assert got.keys() == accepted.keys() and 0 < len(got) < 12 and np.allclose([got[c] for c in got], [accepted[c] for c in got])
+
+
+def test_bootstrapped_patterns_are_no_common_words(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    token = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows = []
+    for k in range(60):
+        filler = " ".join(["the " + word() for _ in range(40)])
+        rows.append(f'{filler} the {k}4351183771781{k:03d} and token = "{token()}" the end the user{k}@mail.org {filler}')  # the first: no card
+    rows += [f'{"the "  + word()} token = "short-{k}9z" the {word()} Id:abc{k}99 {word()}' for k in range(5)]
+    rows += [f"call 555 {k} 4567 {word()}" for k in range(100, 104)] + [f"call +1 555 {k} 4567 {word()}" for k in range(200, 260)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.added] for r in pii.extract(docs).collect()}
+    assert [k for k in range(60) if [len(x) for x in found[k]] != [40]] == []
+    assert all(found[60 + k] == [f"short-{k}9z"] for k in range(5))
+    assert all(found[65 + k] == [f"555 {100 + k} 4567"] for k in range(4)) and not any(found[69 + k] for k in range(60))
+
+
+def test_masking_many_spans_and_clashing_columns(spark):
+    n = 3000
+    texts = [" ".join(f"é{k} user{k}@mail{k}.org" for k in range(n)), "a@b.org@c.de 1.2.3.4 \U0001f600 +49 (030) 1234567.", None, ""]
+    docs = spark.createDataFrame([(k, t, f"s{k}", f"k{k}") for k, t in enumerate(texts)], "_row0 long, text string, _spans0 string, _key string").withColumn("doc_id", F.lit(1))
+    got = {r["_row0"]: r for r in pii.mask(docs).collect()}
+    assert got[0].text == " ".join(f"é{k} <EMAIL>" for k in range(n))
+    assert got[1].text == "<EMAIL>@c.de <IP> \U0001f600 <PHONE>." and got[2].text is None and got[3].text == ""
+    assert all(r["_spans0"] == f"s{k}" and r["_key"] == f"k{k}" for k, r in got.items())
+    assert pii.mask(docs.limit(0)).count() == 0
