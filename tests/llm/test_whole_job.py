@@ -1,10 +1,13 @@
 """What small or plain tables do not show: each test failed on a version that did less than the whole job."""
 
+from collections import Counter
+from math import comb
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from almanac.llm import decontaminate, langid, minhash, pii, simhash
+from almanac.llm import decontaminate, langid, minhash, mixing, pii, simhash
 
 VOCABULARY = [f"v{k}" for k in range(4000)]
 
@@ -145,3 +148,54 @@ def test_masking_many_spans_and_clashing_columns(spark):
     assert got[1].text == "<EMAIL>@c.de <IP> \U0001f600 <PHONE>." and got[2].text is None and got[3].text == ""
     assert all(r["_spans0"] == f"s{k}" and r["_key"] == f"k{k}" for k, r in got.items())
     assert pii.mask(docs.limit(0)).count() == 0
+
+
+def test_mix_against_a_plain_one(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(f"w{j}" for j in range(int(rng.integers(0, 300)))), "abc"[k % 3] if k % 7 else None) for k in range(90)]
+    docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, source string").repartition(3)
+    documents, blocks = mixing.mix(docs, shard_words=1500)
+    owner = {r.row: r for r in documents.collect()}
+    drawn = blocks.collect()
+    quota = {}
+    for r in owner.values():
+        quota.setdefault((r.source_size, r.target), []).append(r["size"])
+    per = sorted(quota, key=lambda x: next(min(str(s or "z") for d, t, s in rows if d == r.doc_id) for r in owner.values() if (r.source_size, r.target) == x))
+    want = [round(t / n * sum(-(-m // mixing.BLOCK_WORDS) for m in quota[n, t])) for n, t in per]
+    shards = max(1, -(-sum(t for _, t in per) // 1500))
+    ends = mixing.split(want, int(shards), 20240917)
+    got = np.zeros_like(ends)
+    for b in drawn:
+        o = owner[b.row]
+        got[per.index((o.source_size, o.target)), b.shard] += 1
+        assert b.words == min(mixing.BLOCK_WORDS, o["size"] - mixing.BLOCK_WORDS * b.block)
+    assert np.array_equal(got, ends) and max(Counter((b.row, b.block) for b in drawn).values()) == 2
+    # a tree below each node of the upper one
+    deep = mixing.mix(docs, shard_words=1500, top=3)[1].collect()
+    assert sorted((b.row, b.block) for b in deep) == sorted((b.row, b.block) for b in drawn) and {b.shard for b in deep} == set(range(int(shards)))
+    text = mixing.materialised(docs, shard_words=1500).collect()
+    assert Counter((r.doc_id, r.text) for r in text) == Counter((owner[b.row].doc_id, " ".join(f"w{j}" for j in range(32 * b.block, 32 * b.block + b.words))) for b in drawn)
+    monkeypatch.setattr(mixing, "split", lambda quota, shards, seed: np.zeros((len(quota), shards), np.int64))
+    assert all(r.taken == 0 for r in mixing.taken(*mixing.mix(docs)).collect())
+
+
+def test_exact_draws_beyond_numpys_limit():
+    rng = np.random.default_rng(13)
+    for good, bad, n in ((7, 9, 6), (40, 25, 30), (3, 200, 50)):
+        chance = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(max(0, n - bad), min(good, n) + 1)])
+        assert np.allclose(np.exp([mixing.log_hypergeometric(k, good, bad, n) for k in range(max(0, n - bad), min(good, n) + 1)]), chance, rtol=1e-9)
+    good, bad, n = 3 * 10**12, 5 * 10**12, 10**11
+    got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+    sd = (n * 3 / 8 * 5 / 8 * (good + bad - n) / (good + bad - 1)) ** 0.5
+    z = (got - n * 3 / 8) / sd
+    assert abs(z.mean()) < 0.07 and abs(z.std() - 1) < 0.05 and abs((z < -1).mean() - 0.1587) < 0.025 and abs((z > 1).mean() - 0.1587) < 0.025
+    small = np.array([mixing.hypergeometric(rng, 4, 2 * 10**9, 10**9) for _ in range(3000)])
+    assert np.allclose(np.bincount(small, minlength=5) / 3000, [1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16], atol=0.04)
+
+
+def test_mixed_keeps_clashing_columns_and_repeats(spark):
+    text = " ".join(f"w{j}" for j in range(400))
+    docs = spark.createDataFrame([(1, text, "a", "x", 1), (1, text, "a", "y", 2), (None, text, None, "z", 3), (2, None, "b", "n", 4)], "doc_id long, text string, source string, size string, row int")
+    got = mixing.mixed(docs).collect()
+    assert sorted((r["size"], r.row) for r in got) == [("x", 1), ("y", 2), ("z", 3)] and all(r["_size0"] == 400 and 0 < r.taken <= 800 for r in got)
+    assert mixing.mixed(docs.limit(0)).count() == 0
