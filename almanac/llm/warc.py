@@ -35,9 +35,13 @@ from pyspark.sql import functions as F
 from almanac.llm.common import cut, shared_dir, table
 
 REVISIT_BYTES = 1000
-#: Bytes of an archive that a task scans.
+#: Bytes of an archive in a range; most tasks that the ranges are shared out to.
 RANGE = 16 << 20
+MOST_TASKS = 20_000
+#: Up to so many repeated digests (about 60 bytes each) are broadcast; beyond, the payloads are shuffled to join them.
+BROADCAST_DIGESTS = 200_000
 _CHUNK = 1 << 20
+_PIECE = 1 << 16
 _MAGIC = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -47,7 +51,9 @@ def plan(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest (SHA-1), refers_to: which page each page revisits."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     size = F.octet_length("payload")
-    first = rows.where(size >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = rows.select("page_id", "digest", size.alias("size")).where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = cut(first)
+    first = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
     revisits = (size >= REVISIT_BYTES) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
 
@@ -123,25 +129,34 @@ class _Reader:
         """Forget what is before a place."""
         self.data, self.start = self.data[at - self.start :], at
 
+    def pieces(self, at: int) -> Iterator[tuple[bytes, int]]:
+        """(bytes, place of their end) from a place on; what is not held is read and not kept."""
+        for lo in range(at - self.start, len(self.data), _PIECE):
+            piece = self.data[lo : lo + _PIECE]
+            yield piece, self.start + lo + len(piece)
+        at = max(at, self.start + len(self.data))
+        while at < self.size:
+            self.file.seek(at)
+            piece = self.file.read(min(_CHUNK, self.size - at))
+            at += len(piece)
+            yield piece, at
+
 
 def _inflated(r: _Reader, at: int) -> tuple[bytes, int] | None:
     """(content, end) of the member at a place; None if none with a WARC record starts there."""
     z, out, checked = zlib.decompressobj(31), bytearray(), False
-    while True:
-        piece = r.data[at - r.start :]
+    for piece, end in r.pieces(at):
         try:
             out += z.decompress(piece)
         except zlib.error:
             return None
-        at += len(piece) - len(z.unused_data)
         if not checked and len(out) >= 5:
             if out[:5] != b"WARC/":
                 return None
             checked = True
         if z.eof:
-            return (bytes(out), at) if checked else None
-        if not r.more():
-            return None
+            return (bytes(out), end - len(z.unused_data)) if checked else None
+    return None
 
 
 def members(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[bytes]:
@@ -192,7 +207,9 @@ def read(files: DataFrame, folder: str, range_bytes: int = RANGE, payloads: bool
     Every response's digest is that of the payload as read.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
-    ranges = files.select("path", "size", F.explode(starts).alias("start")).repartition(F.xxhash64("path", "start"))
+    n = files.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 0
+    # a number of partitions of its own: tasks that adaptive execution would put together are small only in bytes
+    ranges = files.select("path", "size", F.explode(starts).alias("start")).repartition(int(min(max(n, 1), MOST_TASKS)))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

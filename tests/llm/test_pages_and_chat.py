@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -98,3 +99,14 @@ def test_snapshots_collapse(spark):
     assert next(r.n_same for r in got if r.conv_id == 5) == 2
     none = chat.turns(table.limit(0))
     assert chat.render(none, chat.maximal(none)).count() == 0
+
+
+def test_reading_tasks_follow_the_ranges(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    pages = spark.createDataFrame([(k, f"http://x/{k}", rng.bytes(3000).hex()) for k in range(40)] + [(40, None, "x" * 5_000_000), (41, None, rng.bytes(1_500_000).hex())], "page_id long, url string, html string").repartition(2)
+    files = warc.write(warc.plan(pages), f"file://{tmp_path}/w").cache()
+    n = sum(-(-r["size"] // 20_000) for r in files.collect())
+    read = warc.read(files, f"file://{tmp_path}/w", range_bytes=20_000)
+    assert n > 50 and read.rdd.getNumPartitions() == n
+    want = {r.page_id: r.html.encode() for r in pages.collect()}
+    assert {r.page_id: bytes(r.payload) for r in read.collect()} == want
