@@ -6,9 +6,15 @@ streamed through it word by word; the state and the longest matching length say
 which windows of ``window`` item words end at a word. An item of fewer words is
 one window.
 
-The automaton is built on the driver and sent to the tasks, so it is built for
-blocks of items of at most ``BLOCK_BYTES`` of text each; a larger benchmark
-takes as many passes over the documents as it has blocks.
+Automata are built by tasks, for blocks of distinct item texts of about
+``BLOCK_BYTES`` each, and written to the shared folder as sorted arrays (some 7
+bytes for each byte of text). A scanning task holds one of them. With one block
+the documents are marked as they pass; with more, each block's pass returns its
+hits only, which are brought together by document before anything is counted or
+cut, so the blocks make no difference to the result.
+
+Runs of known words are followed side by side, in pieces that overlap by a window
+less one word.
 
 Defined results: a null text has no words; an item without words is ignored;
 repeated items count once (by item_id); repeated documents each get their row;
@@ -18,33 +24,38 @@ an empty benchmark hits nothing; columns other than ``doc_id``/``text`` and
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import table
+from almanac.llm.common import cut, shared_dir, table, unused
 from almanac.llm.textops import ALNUM, Words, word_slices
 
-#: Most bytes of benchmark text in one automaton.
-BLOCK_BYTES = 8 << 20
+#: About so many bytes of benchmark text go into one automaton (its task needs some 120 times that while it builds).
+BLOCK_BYTES = 2 << 20
+#: Words of a run that are followed at a time.
+PIECE = 256
 
-MARKED = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long,start:long,end:long>>"
+SPANS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
 
 
-class Automaton:
-    """Generalised suffix automaton over word numbers."""
+class Builder:
+    """Generalised suffix automaton over word numbers, as it is built."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
-        """items: (item id, the hashes of its words)."""
-        self.window = window
-        vocabulary = np.unique(np.array([h for _, words in items for h in words], np.uint64))
-        self.vocabulary = vocabulary
+    def __init__(self, items: list[tuple[list[str], np.ndarray]], window: int):
+        """items: (item ids, the hashes of their words)."""
+        items = [(ids, words) for ids, words in items if len(words)]
+        self.vocabulary = np.unique(np.concatenate([words for _, words in items])) if items else np.zeros(0, np.uint64)
         self.link, self.length, self.next = [-1], [0], [{}]
-        coded = [(item, np.searchsorted(vocabulary, np.array(words, np.uint64)).tolist()) for item, words in items if words]
+        coded = [(ids, np.searchsorted(self.vocabulary, words).tolist()) for ids, words in items]
         for _, codes in coded:
             last = 0
             for c in codes:
@@ -59,22 +70,32 @@ class Automaton:
         self.items: dict[int, set[str]] = {}
         own: dict[int, dict[int, set[str]]] = {}
         self.shortest = window
-        for item, codes in coded:
+        for ids, codes in coded:
             v = 0
             for i, c in enumerate(codes):
                 v = self.next[v][c]
                 if i >= window - 1:
-                    self.items.setdefault(self.anchor[v], set()).add(item)
+                    self.items.setdefault(self.anchor[v], set()).update(ids)
             if len(codes) < window:
                 self.shortest = min(self.shortest, len(codes))
                 while self.length[self.link[v]] >= len(codes):
                     v = self.link[v]
-                own.setdefault(v, {}).setdefault(len(codes), set()).add(item)
-        self.short: dict[int, list[tuple[int, set[str]]]] = {}
+                own.setdefault(v, {}).setdefault(len(codes), set()).update(ids)
+        self.short: dict[int, list[tuple[int, list[str]]]] = {}
         for v in by_length:
-            if found := [*own.get(v, {}).items(), *self.short.get(self.link[v], [])]:
+            if found := [*((k, sorted(ids)) for k, ids in own.get(v, {}).items()), *self.short.get(self.link[v], [])]:
                 self.short[v] = found
 
+    def packed(self) -> bytes:
+        """The automaton as arrays; edges are sorted by (state, word)."""
+        keys = np.array([v << 32 | c for v, edges in enumerate(self.next) for c in edges], np.int64)
+        to = np.array([q for edges in self.next for q in edges.values()], np.int32)
+        order = np.argsort(keys)
+        said = json.dumps({"shortest": self.shortest, "items": {v: sorted(ids) for v, ids in self.items.items()}, "short": self.short})
+        out = io.BytesIO()
+        np.savez(out, vocabulary=self.vocabulary, link=np.array(self.link, np.int32), length=np.array(self.length, np.int32), anchor=np.array(self.anchor, np.int32), keys=keys[order], to=to[order], said=np.frombuffer(said.encode(), np.uint8))
+        return out.getvalue()
+
     def _add(self, length: int, link: int, edges: dict) -> int:
         self.length.append(length)
         self.link.append(link)
@@ -104,64 +125,126 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
+
+class Automaton:
+    """A built automaton, followed by many runs of words at a time."""
+
+    def __init__(self, data: bytes, window: int):
+        with np.load(io.BytesIO(data)) as held:
+            self.vocabulary, self.link, self.length, self.anchor, self.keys, self.to = (held[c] for c in ("vocabulary", "link", "length", "anchor", "keys", "to"))
+            said = json.loads(held["said"].tobytes())
+        self.window, self.shortest = window, said["shortest"]
+        self.items = {int(v): ids for v, ids in said["items"].items()}
+        self.short = {int(v): found for v, found in said["short"].items()}
+        self.has_short = np.zeros(len(self.link), bool)
+        self.has_short[list(self.short)] = True
+
+    def _pieces(self, words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last + 1) of the pieces of runs of known words of a row, longest first."""
+        step = np.diff(known.astype(np.int8), prepend=0, append=0)
+        cuts = words.first[1:-1]
+        cuts = cuts[(cuts > 0) & (cuts < len(known))]
+        cuts = np.unique(cuts[known[cuts] & known[cuts - 1]])
+        starts = np.sort(np.concatenate([np.flatnonzero(step == 1), cuts]))
+        ends = np.sort(np.concatenate([np.flatnonzero(step == -1), cuts]))
+        long = ends - starts >= self.shortest
+        starts, ends = starts[long], ends[long]
+        size = PIECE + self.window
+        n = np.maximum(1, -(-(ends - starts - self.window + 1) // (PIECE + 1)))  # each begins with the window - 1 words before what is its own
+        which = np.repeat(np.arange(len(starts)), n)
+        first = starts[which] + (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * (PIECE + 1)
+        last = np.minimum(first + size, ends[which])
+        order = np.argsort(first - last, kind="stable")
+        return first[order], last[order]
+
     def scan(self, words: Words) -> tuple[list[tuple[int, int]], dict[int, set[str]]]:
         """(first, last + 1) of hit words of a slice, in order and disjoint; row -> its items."""
-        spans: list[tuple[int, int]] = []
         items: dict[int, set[str]] = {}
         if not len(self.vocabulary) or not len(words):
-            return spans, items
+            return [], items
         h = words.hash
         code = np.searchsorted(self.vocabulary, h)
-        known = self.vocabulary[np.minimum(code, len(self.vocabulary) - 1)] == h
-        # only runs of known words of a row can hold a window
-        step = np.diff(known.astype(np.int8), prepend=0, append=0)
-        cuts = words.first[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < len(h))]
-        cuts = np.unique(cuts[known[cuts] & known[cuts - 1]])
-        starts = np.sort(np.concatenate([np.flatnonzero(step == 1), cuts]))
-        ends = np.sort(np.concatenate([np.flatnonzero(step == -1), cuts]))
-        link, length, edges, anchor, short, window = self.link, self.length, self.next, self.anchor, self.short, self.window
-        for a, b in zip(*(x[ends - starts >= self.shortest].tolist() for x in (starts, ends)), strict=True):
-            row, v, m = int(words.doc[a]), 0, 0
-            for i, c in enumerate(code[a:b].tolist(), a):
-                while v and c not in edges[v]:
-                    v = link[v]
-                    m = length[v]
-                if c in edges[v]:
-                    v = edges[v][c]
-                    m += 1
-                if m >= window:
-                    items.setdefault(row, set()).update(self.items[anchor[v]])
-                    _cover(spans, i + 1 - window, i + 1)
-                if v in short:
-                    for n, which in short[v]:
-                        if n <= m:
-                            items.setdefault(row, set()).update(which)
-                            _cover(spans, i + 1 - n, i + 1)
-        return spans, items
-
-
-def _cover(spans: list[tuple[int, int]], a: int, b: int) -> None:
-    """Add [a, b) to disjoint spans; b is never below an earlier end."""
-    while spans and spans[-1][1] >= a:
-        a = min(a, spans[-1][0])
-        spans.pop()
-    spans.append((a, b))
-
-
-def automata(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Automaton]:
-    """One automaton for each block of items."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        rows = part.collect()
-        found: list[tuple[str, list[int]]] = []
-        for lo, hi, words in word_slices(pa.array([r.text for r in rows], pa.string()), ALNUM, lower=True):
-            h = words.hash.tolist()
-            found += [(rows[k].item_id, h[words.first[k - lo] : words.first[k - lo + 1]]) for k in range(lo, hi)]
-        yield Automaton([(item if item is not None else "", words) for item, words in found], window)
+        first, last = self._pieces(words, self.vocabulary[np.minimum(code, len(self.vocabulary) - 1)] == h)
+        size = last - first
+        state, length = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # last words of windows, anchors
+        short: list[tuple[int, int]] = []
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t, "left"))
+            at = first[:n] + t
+            open_ = np.arange(n)
+            while len(open_):
+                key = (state[open_] << 32) | code[at[open_]]
+                k = np.searchsorted(self.keys, key)
+                ok = self.keys[np.minimum(k, len(self.keys) - 1)] == key
+                done, open_ = open_[ok], open_[~ok]
+                state[done] = self.to[k[ok]]
+                length[done] += 1
+                state[open_] = self.link[state[open_]]  # a known word goes on from the root at the latest
+                length[open_] = self.length[state[open_]]
+                # a state that was reached is not looked at again
+            hit = np.flatnonzero(length[:n] >= self.window)
+            if len(hit):
+                found.append((at[hit], self.anchor[state[hit]]))
+            for lane in np.flatnonzero(self.has_short[state[:n]]).tolist():
+                short.append((int(at[lane]), lane))
+                for m, ids in self.short[int(state[lane])]:
+                    if m <= length[lane]:
+                        items.setdefault(int(words.doc[at[lane]]), set()).update(ids)
+                        found.append((np.array([at[lane]]), np.array([-m])))
+        if not found:
+            return [], items
+        end, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+        full = anchor >= 0
+        for row, v in set(zip(words.doc[end[full]].tolist(), anchor[full].tolist(), strict=True)):
+            items.setdefault(row, set()).update(self.items[v])
+        return _cover(end + 1 - np.where(full, self.window, -anchor), end + 1), items
+
+
+def _cover(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint spans, in order, that cover the given ones; those that touch are one."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+    return list(zip(starts[new].tolist(), ends[np.append(new[1:], len(starts)) - 1].tolist(), strict=True))
+
+
+def automata(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Build the blocks' automata; their files in the shared folder."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = cut(items.groupBy("text").agg(F.collect_set("item_id").alias("ids")))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    folder = f"{shared_dir(benchmark.sparkSession)}/automata-{uuid.uuid4().hex}"
+
+    def build(group: pa.Table) -> pa.Table:
+        found: list[tuple[list[str], np.ndarray]] = []
+        ids = group.column("ids").to_pylist()
+        for lo, hi, words in word_slices(group.column("text").combine_chunks(), ALNUM, lower=True):
+            found += [(ids[k], words.hash[words.first[k - lo] : words.first[k - lo + 1]]) for k in range(lo, hi)]
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.npz"  # of a task that runs again, the committed attempt's file is named
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(Builder(found, window).packed())
+        return pa.table({"name": [name]})
+
+    placed = texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(1, blocks))))
+    names = cut(placed.groupBy("block").applyInArrow(build, "name string"))
+    return [f"{folder}/{r.name}" for r in names.orderBy("name").collect()]  # a row for each block
+
+
+_held: dict[str, Automaton] = {}
+
+
+def _load(path: str, window: int) -> Automaton:
+    """A block's automaton; a worker keeps the last one."""
+    if path not in _held:
+        _held.clear()
+        store, where = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(where, compression=None) as file:
+            _held[path] = Automaton(file.read(), window)
+    return _held[path]
 
 
 def _by_row(words: Words, spans: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
@@ -196,30 +279,77 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids), spans of hit words.
+def _scanned(docs: DataFrame, path: str, window: int, spans_at: str, items_at: str, words_at: str) -> DataFrame:
+    """The documents with the spans and items that a block hits, and their number of words."""
+    kept = [c for c in docs.columns if c not in (spans_at, items_at, words_at)]
+    schema = docs.schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _load(path, window)
+        for batch in batches:
+            for lo, hi, w in word_slices(batch.column("text"), ALNUM, lower=True):
+                found, items = automaton.scan(w)
+                part = batch.slice(lo, hi - lo)
+                spans: list = [[] for _ in range(hi - lo)]
+                which: list = [[] for _ in range(hi - lo)]
+                for row, own in _by_row(w, found).items():
+                    spans[row], which[row] = _places(w, row, own), sorted(items.get(row, ()))
+                new = {spans_at: spans, items_at: which, words_at: w.counts}
+                columns = [part.column(c) if c in kept else pa.array(new[c], kind.type) for c, kind in zip(batch.schema.names, batch.schema, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(scan, schema)
+
+
+def spanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+    """The documents with three more columns, and their names: spans of hit words, items hit, number of words.
 
     A span has the words [first, last) and the code points [start, end).
     """
-    out = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "0L n_words", "0L n_hit", "cast(array() as array<string>) items", "cast(array() as array<struct<first:long,last:long,start:long,end:long>>) spans")
-    for automaton in automata(benchmark, window):
-
-        def scan(batches: Iterator[pa.RecordBatch], a: Automaton = automaton) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, w in word_slices(batch.column("text"), ALNUM, lower=True):
-                    spans, items = a.scan(w)
-                    rows = _by_row(w, spans)
-                    part = batch.slice(lo, hi - lo)
-                    n_hit, which, places = (part.column(c).to_pylist() for c in ("n_hit", "items", "spans"))
-                    for row, found in rows.items():
-                        places[row] = _merged(places[row] + _places(w, row, found))
-                        n_hit[row] = sum(x["last"] - x["first"] for x in places[row])
-                        which[row] = sorted({*which[row], *items[row]})
-                    columns = [part.column("doc_id"), part.column("text"), w.counts, n_hit, which, places]
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(columns, batch.schema.types, strict=True)], schema=batch.schema)
-
-        out = out.mapInArrow(scan, MARKED)
-    return out.drop("text")
+    names = unused(docs, "spans", "items", "words")
+    empty = [F.array().cast(SPANS), F.array().cast("array<string>"), F.lit(0).cast("long")]
+    blocks = automata(benchmark, window, block_bytes)
+    plain = docs.withColumns(dict(zip(names, empty, strict=True)))
+    if not blocks:
+        return counted(plain, names), names
+    if len(blocks) == 1:
+        return _scanned(plain, blocks[0], window, *names), names
+    (row,) = unused(docs, "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(row, "text").withColumns(dict(zip(names, empty, strict=True)))
+    spans_at, items_at, _ = names
+    hits = None
+    for path in blocks:
+        own = _scanned(texts, path, window, *names).where(F.size(spans_at) > 0).select(row, spans_at, items_at)
+        hits = own if hits is None else hits.unionByName(own)
+    together = hits.groupBy(row).agg(F.flatten(F.collect_list(spans_at)).alias(spans_at), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items_at)))).alias(items_at))
+    joined = rows.join(together, row, "left").select(*docs.columns, F.coalesce(spans_at, empty[0]).alias(spans_at), F.coalesce(items_at, empty[1]).alias(items_at), empty[2].alias(names[2]))
+    return counted(joined, names), names
+
+
+def counted(marked: DataFrame, names: list[str]) -> DataFrame:
+    """The documents with their number of words, and spans of several blocks as disjoint ones."""
+    spans_at, _, words_at = names
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size = batch.schema.get_field_index(spans_at), batch.schema.get_field_index(words_at)
+            for lo, hi, w in word_slices(batch.column("text"), ALNUM, lower=True):
+                part = batch.slice(lo, hi - lo)
+                columns = part.columns
+                columns[at] = pa.array([_merged(x) for x in columns[at].to_pylist()], columns[at].type)
+                columns[size] = pa.array(w.counts, pa.int64())
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return marked.mapInArrow(count, marked.schema)
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids), spans of hit words, of each document."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out, (spans, items, words) = spanned(texts, benchmark, window, block_bytes)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
+    return out.select("doc_id", F.col(words).alias("n_words"), hit.alias("n_hit"), F.col(items).alias("items"), F.col(spans).alias("spans"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -231,29 +361,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
     together. Documents without a hit, also empty ones, are returned as they
     are. ``n_chars``, if there, is the new text's length.
     """
-    taken = {c.lower() for c in docs.columns}
-    spans_at, words_at = (next(c for k in range(len(taken) + 1) if (c := f"_{name}{k}") not in taken) for name in ("spans", "words"))
-    marked = docs.withColumn(spans_at, F.expr("cast(array() as array<struct<first:long,last:long,start:long,end:long>>)")).withColumn(words_at, F.lit(0).cast("long"))
-    for automaton in automata(benchmark, window, block_bytes):
-
-        def scan(batches: Iterator[pa.RecordBatch], a: Automaton = automaton) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, size = batch.schema.get_field_index(spans_at), batch.schema.get_field_index(words_at)
-                for lo, hi, w in word_slices(batch.column("text"), ALNUM, lower=True):
-                    rows = _by_row(w, a.scan(w)[0])
-                    part = batch.slice(lo, hi - lo)
-                    columns = part.columns
-                    if rows:
-                        places = columns[at].to_pylist()
-                        for row, found in rows.items():
-                            places[row] = _merged(places[row] + _places(w, row, found))
-                        columns[at] = pa.array(places, part.schema.field(at).type)
-                    columns[size] = pa.array(w.counts, pa.int64())
-                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
-
-        marked = marked.mapInArrow(scan, marked.schema)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marked, (spans_at, items_at, words_at) = spanned(docs, benchmark, window, block_bytes)
+    marked = marked.drop(items_at)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, n_words = batch.column(spans_at), batch.column(words_at)
             batch = batch.drop_columns([spans_at, words_at])
@@ -278,7 +389,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
             yield batch
 
-    return marked.mapInArrow(cut, docs.schema)
+    return marked.mapInArrow(trimmed, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
