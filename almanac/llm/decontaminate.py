@@ -27,7 +27,8 @@ from __future__ import annotations
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -279,69 +280,69 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def _scanned(docs: DataFrame, path: str, window: int, spans_at: str, items_at: str, words_at: str) -> DataFrame:
-    """The documents with the spans and items that a block hits, and their number of words."""
-    kept = [c for c in docs.columns if c not in (spans_at, items_at, words_at)]
-    schema = docs.schema
+#: What becomes of a slice's rows, given their spans and numbers of words.
+Then = Callable[[pa.RecordBatch, pa.Array, pa.Array], pa.RecordBatch]
+
+
+def _slices(docs: DataFrame, names: list[str], found: Callable[[Words, pa.RecordBatch], tuple[list, list]], then: Then | None) -> DataFrame:
+    """The documents with the spans, items and numbers of words that ``found`` gives, or what ``then`` makes of them."""
+    spans_at, items_at, words_at = names
+    own = [c for c in docs.columns if c not in names]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _load(path, window)
         for batch in batches:
+            kinds = {f.name: f.type for f in batch.schema}
             for lo, hi, w in word_slices(batch.column("text"), ALNUM, lower=True):
-                found, items = automaton.scan(w)
                 part = batch.slice(lo, hi - lo)
-                spans: list = [[] for _ in range(hi - lo)]
-                which: list = [[] for _ in range(hi - lo)]
-                for row, own in _by_row(w, found).items():
-                    spans[row], which[row] = _places(w, row, own), sorted(items.get(row, ()))
-                new = {spans_at: spans, items_at: which, words_at: w.counts}
-                columns = [part.column(c) if c in kept else pa.array(new[c], kind.type) for c, kind in zip(batch.schema.names, batch.schema, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                spans, items = found(w, part)
+                spans, words = pa.array(spans, kinds[spans_at]), pa.array(w.counts, pa.int64())
+                if then:
+                    yield then(part.select(own), spans, words)
+                else:
+                    new = {spans_at: spans, items_at: pa.array(items, kinds[items_at]), words_at: words}
+                    yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in kinds], schema=batch.schema)
+
+    return docs.mapInArrow(scan, docs.select(own).schema if then else docs.schema)
+
+
+def _scanned(docs: DataFrame, path: str, window: int, names: list[str], then: Then | None = None) -> DataFrame:
+    """The documents with what a block hits."""
+
+    def found(w: Words, part: pa.RecordBatch) -> tuple[list, list]:
+        covered, items = _load(path, window).scan(w)
+        spans: list = [[]] * part.num_rows
+        which: list = [[]] * part.num_rows
+        for row, own in _by_row(w, covered).items():
+            spans[row], which[row] = _places(w, row, own), sorted(items.get(row, ()))
+        return spans, which
 
-    return docs.mapInArrow(scan, schema)
+    return _slices(docs, names, found, then)
 
 
-def spanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+def spanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, then: Then | None = None) -> tuple[DataFrame, list[str]]:
     """The documents with three more columns, and their names: spans of hit words, items hit, number of words.
 
-    A span has the words [first, last) and the code points [start, end).
+    A span has the words [first, last) and the code points [start, end). With
+    ``then``, what it makes of each slice of documents instead.
     """
     names = unused(docs, "spans", "items", "words")
-    empty = [F.array().cast(SPANS), F.array().cast("array<string>"), F.lit(0).cast("long")]
+    spans_at, items_at, words_at = names
+    empty = {spans_at: F.array().cast(SPANS), items_at: F.array().cast("array<string>"), words_at: F.lit(0).cast("long")}
     blocks = automata(benchmark, window, block_bytes)
-    plain = docs.withColumns(dict(zip(names, empty, strict=True)))
-    if not blocks:
-        return counted(plain, names), names
     if len(blocks) == 1:
-        return _scanned(plain, blocks[0], window, *names), names
+        return _scanned(docs.withColumns(empty), blocks[0], window, names, then), names
     (row,) = unused(docs, "row")
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    texts = rows.select(row, "text").withColumns(dict(zip(names, empty, strict=True)))
-    spans_at, items_at, _ = names
-    hits = None
-    for path in blocks:
-        own = _scanned(texts, path, window, *names).where(F.size(spans_at) > 0).select(row, spans_at, items_at)
-        hits = own if hits is None else hits.unionByName(own)
-    together = hits.groupBy(row).agg(F.flatten(F.collect_list(spans_at)).alias(spans_at), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items_at)))).alias(items_at))
-    joined = rows.join(together, row, "left").select(*docs.columns, F.coalesce(spans_at, empty[0]).alias(spans_at), F.coalesce(items_at, empty[1]).alias(items_at), empty[2].alias(names[2]))
-    return counted(joined, names), names
-
-
-def counted(marked: DataFrame, names: list[str]) -> DataFrame:
-    """The documents with their number of words, and spans of several blocks as disjoint ones."""
-    spans_at, _, words_at = names
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, size = batch.schema.get_field_index(spans_at), batch.schema.get_field_index(words_at)
-            for lo, hi, w in word_slices(batch.column("text"), ALNUM, lower=True):
-                part = batch.slice(lo, hi - lo)
-                columns = part.columns
-                columns[at] = pa.array([_merged(x) for x in columns[at].to_pylist()], columns[at].type)
-                columns[size] = pa.array(w.counts, pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id())) if blocks else docs.withColumns(empty)
+    if blocks:
+        texts = rows.select(row, "text").withColumns(empty)
+        hits = [_scanned(texts, path, window, names).where(F.size(spans_at) > 0).select(row, spans_at, items_at) for path in blocks]
+        together = reduce(DataFrame.unionByName, hits).groupBy(row).agg(F.flatten(F.collect_list(spans_at)).alias(spans_at), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items_at)))).alias(items_at))
+        rows = rows.join(together, row, "left").select(*docs.columns, *(F.coalesce(c, empty[c]).alias(c) for c in (spans_at, items_at)), empty[words_at].alias(words_at))
 
-    return marked.mapInArrow(count, marked.schema)
+    def found(w: Words, part: pa.RecordBatch) -> tuple[list, list]:
+        return [_merged(x) for x in part.column(spans_at).to_pylist()], part.column(items_at).to_pylist()
+
+    return _slices(rows, names, found, then), names
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -361,35 +362,30 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
     together. Documents without a hit, also empty ones, are returned as they
     are. ``n_chars``, if there, is the new text's length.
     """
-    marked, (spans_at, items_at, words_at) = spanned(docs, benchmark, window, block_bytes)
-    marked = marked.drop(items_at)
 
-    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, n_words = batch.column(spans_at), batch.column(words_at)
-            batch = batch.drop_columns([spans_at, words_at])
-            rows = np.flatnonzero(np.asarray(pc.list_value_length(spans))).tolist()
-            if rows:
-                columns, keep = batch.columns, np.ones(len(batch), bool)
-                at, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-                texts, lengths = columns[at].to_pylist(), columns[size].to_pylist() if size >= 0 else []
-                for row in rows:
-                    pieces, last, hit = [], 0, 0
-                    for x in spans[row].as_py():
-                        pieces.append(texts[row][last : x["start"]])
-                        last = x["end"]
-                        hit += x["last"] - x["first"]
-                    keep[row] = hit <= max_coverage * n_words[row].as_py()
-                    texts[row] = "\n".join([*pieces, texts[row][last:]])
-                    if size >= 0:
-                        lengths[row] = len(texts[row])
-                columns[at] = pa.array(texts, batch.schema.field(at).type)
-                if size >= 0:
-                    columns[size] = pa.array(lengths, batch.schema.field(size).type)
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-            yield batch
-
-    return marked.mapInArrow(trimmed, docs.schema)
+    def trimmed(batch: pa.RecordBatch, spans: pa.Array, n_words: pa.Array) -> pa.RecordBatch:
+        rows = np.flatnonzero(np.asarray(pc.list_value_length(spans))).tolist()
+        if not rows:
+            return batch
+        columns, keep = batch.columns, np.ones(len(batch), bool)
+        at, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+        texts, lengths = columns[at].to_pylist(), columns[size].to_pylist() if size >= 0 else []
+        for row in rows:
+            pieces, last, hit = [], 0, 0
+            for x in spans[row].as_py():
+                pieces.append(texts[row][last : x["start"]])
+                last = x["end"]
+                hit += x["last"] - x["first"]
+            keep[row] = hit <= max_coverage * n_words[row].as_py()
+            texts[row] = "\n".join([*pieces, texts[row][last:]])
+            if size >= 0:
+                lengths[row] = len(texts[row])
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        if size >= 0:
+            columns[size] = pa.array(lengths, batch.schema.field(size).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+    return spanned(docs, benchmark, window, block_bytes, trimmed)[0]
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

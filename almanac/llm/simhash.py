@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -192,41 +191,44 @@ def links(fps: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, shard
     depth = int(np.clip(np.ceil(np.log(max(n, 1) / shard) / np.log(2 / COPIES)), 0, np.log2(sample_size) - 3))
     trees = [Tree(sample, shift, depth, radius // 2) for shift in (0, 32)]
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(fingerprints, shards) of a batch, by tree."""
+        own = batch.column("fp").to_numpy().view(np.uint64)
+        for k, tree in enumerate(trees):
+            i, node = tree.deal(own)
+            yield own[i].view(np.int64), 2 * node + k
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("fp").to_numpy().view(np.uint64)
-            for k, tree in enumerate(trees):
-                i, node = tree.deal(own)
-                yield pa.RecordBatch.from_pydict({"fp": own[i].view(np.int64), "shard": 2 * node + k}, schema=pa.schema([("fp", pa.int64()), ("shard", pa.int64())]))
+            for _, where in deal(batch):
+                shards, n = np.unique(where, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"shard": shards, "n": n}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
 
-    placed = fps.mapInArrow(dealt, "fp long, shard long")
     # parts of a shard, each a block with every other: no block gets more than two parts
-    sizes = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each shard: fewer than sampled fingerprints
+    sizes = {r.shard: r.n for r in fps.mapInArrow(counted, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard: fewer than sampled fingerprints
     block = int(np.clip(2 * sum(sizes.values()) // max(len(sizes), 1), block, MOST_BLOCK))
-    parts = {s: -(-m // block) for s, m in sizes.items()}
-    big = {s: p for s, p in parts.items() if p > 1}
+    big = {s: p for s, m in sizes.items() if (p := -(-m // block)) > 1}
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("fp", pa.int64()), ("shard", pa.int64()), ("i", pa.int64()), ("j", pa.int64())])
         for batch in batches:
-            fp, where = batch.column("fp").to_numpy(), batch.column("shard").to_numpy()
-            split = np.isin(where, np.fromiter(big, np.int64, len(big)))
-            zero = np.zeros(int((~split).sum()), np.int64)
-            yield pa.RecordBatch.from_pydict({"fp": fp[~split], "shard": where[~split], "i": zero, "j": zero}, schema=schema)
-            for s in np.unique(where[split]).tolist():
-                own, p = fp[where == s], big[s]
-                part = ((own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(p)
-                for other in range(p):
-                    at = part.astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"fp": own, "shard": np.full(len(own), s), "i": np.minimum(at, other), "j": np.maximum(at, other)}, schema=schema)
-
-    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.unique(rows.fp.to_numpy())
-        label = linked(own.view(np.uint64), 32 * (int(key[0]) % 2), radius)
+            for fp, where in deal(batch):
+                split = np.isin(where, np.fromiter(big, np.int64, len(big)))
+                zero = np.zeros(int((~split).sum()), np.int64)
+                yield pa.RecordBatch.from_pydict({"fp": fp[~split], "shard": where[~split], "i": zero, "j": zero}, schema=schema)
+                for s in np.unique(where[split]).tolist():
+                    own, p = fp[where == s], big[s]
+                    part = (((own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(p)).astype(np.int64)
+                    for other in range(p):
+                        yield pa.RecordBatch.from_pydict({"fp": own, "shard": np.full(len(own), s), "i": np.minimum(part, other), "j": np.maximum(part, other)}, schema=schema)
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        own = np.unique(rows.column("fp").to_numpy())
+        label = linked(own.view(np.uint64), 32 * (key[0].as_py() % 2), radius)
         moved = np.flatnonzero(label != np.arange(len(own)))
-        return pd.DataFrame({"a": own[moved], "b": own[label[moved]]})
+        return pa.table({"a": own[moved], "b": own[label[moved]]})
 
-    return placed.mapInArrow(blocks, "fp long, shard long, i long, j long").groupBy("shard", "i", "j").applyInPandas(joined, "a long, b long")
+    return fps.mapInArrow(blocks, "fp long, shard long, i long, j long").groupBy("shard", "i", "j").applyInArrow(joined, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
