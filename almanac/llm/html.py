@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.common import hashed_sample, table
+from almanac.llm.textops import buffers, slices
 
 #: Pages whose sentences the training layouts are filled with; layouts drawn.
 FIT_PAGES = 200
-LAYOUTS = 600
+#: Most sentences that the layouts are filled with.
+SENTENCES = 20_000
+LAYOUTS = 900
 ROUNDS = 60
 DEPTH = 4
 
@@ -57,22 +61,27 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 
 #: Tag groups and attribute tokens that are features.
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "td", "blockquote", "pre", "nav", "header", "footer", "aside", "form", "a", "span", "figure", "body"]
-GOOD = re.compile(r"article|body|content|entry|main|page|post|story|text|blog|hentry|prose", re.I)
+GOOD = frozenset("article articles body content entry main page post posts story stories text blog hentry prose".split())
 BAD_GROUPS = [
-    re.compile(r"comment|disqus|respons|discuss|reply|replies|feedback", re.I),
-    re.compile(r"(?<![a-z])ads?(?![a-z])|advert|sponsor|promo|banner|outbrain|taboola|partner", re.I),
-    re.compile(r"nav|menu|breadcrumb|crumb|pager|pagination|tabs|toolbar|skip", re.I),
-    re.compile(r"side|widget|rail|related|recommend|popular|trending|more-|tags?(?![a-z])|archive", re.I),
-    re.compile(r"foot|copyright|legal|colophon|credits", re.I),
-    re.compile(r"head|masthead|logo|brand|topbar", re.I),
-    re.compile(r"cookie|consent|notice|alert|popup|modal|overlay|gdpr|subscribe|newsletter|signup|paywall", re.I),
-    re.compile(r"share|social|follow|form|login|search|contact|hidden", re.I),
+    frozenset("comment comments commentlist disqus response responses discussion discuss reply replies respond feedback".split()),
+    frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner outbrain taboola partner partners".split()),
+    frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs pager pagination tabs toolbar skip".split()),
+    frozenset("side sidebar widget widgets rail related recommended recommendations popular trending tags archive archives".split()),
+    frozenset("foot footer copyright legal colophon credits".split()),
+    frozenset("head header masthead logo brand topbar".split()),
+    frozenset("cookie cookies consent notice alert popup modal overlay gdpr subscribe newsletter signup paywall".split()),
+    frozenset("share sharing social follow form login search contact hidden".split()),
 ]
+#: Words that decide a name wherever they stand in it ("related-posts", "comment-body"); else its last known word does ("share-story").
+STRONG = BAD_GROUPS[0] | BAD_GROUPS[1] | frozenset("related recommended popular trending cookie cookies consent newsletter".split())
+#: Names with these words tell a state of the page, not what an element is ("has-sidebar", "nav-open").
+STATES = frozenset("has no with without is show hide js open opened closed active enabled disabled sticky fixed".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)", re.S)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _END = re.compile(r"[.!?…:;]")
 
@@ -93,6 +102,7 @@ class Page:
     def _parse(self, source: str) -> None:
         tag, parent, attrs, texts = self.tag, self.parent, self.attrs, self.texts
         open_, at, n = [0], 0, len(source)
+        opened: Counter[str] = Counter()  # open elements by name, so that tags without a partner cost nothing
 
         def end(k: int) -> None:
             """Close the open elements from place k on."""
@@ -100,6 +110,7 @@ class Page:
                 if tag[e] not in INLINE:
                     texts.append((parent[e], None))
                     break
+            opened.subtract(tag[e] for e in open_[k:])
             del open_[k:]
 
         while at < n:
@@ -116,7 +127,7 @@ class Page:
                 continue
             t = name[1].lower()
             if token[1] == "/":
-                for k in range(len(open_) - 1, 0, -1):
+                for k in () if not opened[t] else range(len(open_) - 1, 0, -1):
                     if tag[open_[k]] == t:
                         end(k)
                         break
@@ -125,6 +136,8 @@ class Page:
                 continue
             if t in CLOSES_P or t in ENDS:
                 for names, stop in ((ENDS.get(t, (set(), set()))), ({"p"}, {"td", "th", "li", "table"}) if t in CLOSES_P else (set(), set())):
+                    if not any(opened[x] for x in names):
+                        continue
                     for k in range(len(open_) - 1, 0, -1):
                         if tag[open_[k]] in names:
                             end(k)
@@ -147,10 +160,13 @@ class Page:
                 texts.append((parent[e], None))
             elif t not in VOID and not token.endswith("/>"):
                 open_.append(e)
+                opened[t] += 1
             elif t == "hr":
                 texts.append((parent[e], None))
 
 
+#: Elements that are never dropped.
+ROOTS = frozenset(["#page", "html", "body"])
 N_FEATURES = 19 + len(TAGS) + 1 + len(BAD_GROUPS) + 4
 
 
@@ -158,11 +174,25 @@ _NO_GROUP = (0.0,) * len(BAD_GROUPS)
 
 
 def _said(attrs: str) -> tuple[float, tuple[float, ...]]:
-    """Whether the class, id and role have a good token, and those of the bad groups."""
-    said = " ".join(v for k, v in _ATTR.findall(attrs) if k.lower() in ("class", "id", "role"))
-    if not said:
-        return 0.0, _NO_GROUP
-    return float(bool(GOOD.search(said))), tuple(float(bool(x.search(said))) for x in BAD_GROUPS)
+    """Whether the class, id and role have a good name, and those of the bad groups."""
+    good, bad = 0.0, [0.0] * len(BAD_GROUPS)
+    for k, v in _ATTR.findall(attrs):
+        if k.lower() not in ("class", "id", "role"):
+            continue
+        for name in v.strip("\"'").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if STATES.intersection(words):
+                continue
+            for w in [w for w in words if w in STRONG] or words[::-1]:
+                group = next((g for g, known in enumerate(BAD_GROUPS) if w in known), None)
+                if group is not None:
+                    bad[group] = 1.0
+                elif w in GOOD:
+                    good = 1.0
+                else:
+                    continue
+                break
+    return (good, tuple(bad)) if good or any(bad) else (0.0, _NO_GROUP)
 
 
 def features(page: Page) -> np.ndarray:
@@ -182,9 +212,9 @@ def features(page: Page) -> np.ndarray:
         nth[e] = kids[p]
         kids[p] += 1
         sure[e] = sure[p]
-        if page.attrs[e]:
+        if page.attrs[e] and t not in ROOTS:  # a root's names tell of the page as a whole
             good[e], bad[e] = _said(page.attrs[e])
-            if bad[e] is not _NO_GROUP:
+            if bad[e] is not _NO_GROUP and not good[e] and t not in ("article", "main"):
                 sure[e] = max(sure[p], *bad[e])
         own_, side, edge, fine = section[p]
         if t in ("article", "main"):
@@ -297,19 +327,24 @@ class Boosted:
         return self.start + sum((self._walk(x, *t) for t in self.trees), np.zeros(len(x)))
 
 
+#: Weight of the log odds of an element without text of its own.
+WRAPPER = 0.25
+
+
 def decode(page: Page, margin: np.ndarray) -> list[bool]:
     """The consistent labelling of the largest likelihood: kept elements have kept parents.
 
     With log odds m, a kept element adds m to the likelihood against dropping
     it; so its best is m plus its children's bests, or 0 with all dropped. An
-    element without text of its own counts for little, as its children say more.
+    element without text of its own counts by ``WRAPPER`` only, as its children say
+    more. The page's roots are always kept.
     """
     n, parent = len(page.tag), page.parent
     own = [False] * n
     for e, text in page.texts:
         if text and not text.isspace():
             own[e] = True
-    best = [m if o else 0.25 * m for m, o in zip(margin.tolist(), own, strict=True)]
+    best = [m if o else WRAPPER * m for m, o in zip(margin.tolist(), own, strict=True)]
     for e in range(n - 1, 0, -1):
         if page.tag[e] in HIDDEN:
             best[e] = 0.0
@@ -317,7 +352,7 @@ def decode(page: Page, margin: np.ndarray) -> list[bool]:
             best[parent[e]] += best[e]
     keep = [True] * n
     for e in range(1, n):
-        keep[e] = keep[parent[e]] and best[e] > 0
+        keep[e] = keep[parent[e]] and (best[e] > 0 or page.tag[e] in ROOTS)
     return keep
 
 
@@ -389,7 +424,7 @@ class Layouts:
             inner = self.el(self.one(["a", "h2", "p", "span"]), 0, self.words(4)) + (self.noise("nav") if self.some(0.5) else "")
             return self.el("header", 0, inner) if self.some(0.5) else self.el("div", 0, inner, said)
         if role == "footer":
-            inner = self.one(["&copy; 2024 ", "", "&copy; site.example &middot; "]) + (self.words(9) if self.some(0.5) else self.el("p", 0, self.prose(1, 2))) + (self.links(0) if self.some(0.4) else "")
+            inner = self.one(["&copy; 2024 ", "", "&copy; site.example &middot; "]) + (self.words(int(self.rng.integers(2, 10))) if self.some(0.5) else self.el("p", 0, self.prose(1, 2))) + (self.links(0) if self.some(0.4) else "")
             return self.el("footer", 0, inner) if self.some(0.7) else self.el("div", 0, inner, said)
         if role == "side":
             inner = "".join(self.el("h3", 0, self.words(3)) + (self.links(0) if self.some(0.6) else self.el("p", 0, self.prose(1, 2))) for _ in range(int(self.rng.integers(1, 4))))
@@ -409,11 +444,16 @@ class Layouts:
             inner += self.el(self.one(["div", "li", "article"]), 0, who + (self.el("p", 0, self.prose(1, 3)) if self.some(0.8) else self.prose(1, 3)), self.one(["comment", "reply", "comment-body", ""]))
         return self.el(div, 0, inner + (self.noise("form") if self.some(0.3) else ""), said)
 
+    def misled(self) -> str:
+        """Names of main content that have a bad word in them."""
+        bad = self.one(self.BAD[self.one(["nav", "header", "footer", "side", "share"])])
+        return self.one([f"{bad}-{self.one(self.GOOD)}", f"{self.one(self.GOOD)} {bad}", f"{self.one(self.GOOD)} with-{bad}"])
+
     def body(self) -> str:
         """Blocks of an article."""
-        out = self.el(self.one(["h1", "h1", "h2"]), 1, self.words(10)) * self.some(0.9)
+        out = self.el(self.one(["h1", "h1", "h2"]), 1, self.words(int(self.rng.integers(1, 11)))) * self.some(0.9)
         if self.some(0.25):
-            out = self.el("header", 1, out + self.el("p", 1, self.words(8), self.one(["subtitle", "lead", ""])))
+            out = self.el("header", 1, out + self.el("p", 1, self.words(8), self.one(["subtitle", "lead", ""])) * self.some(0.6), f"{self.one(self.GOOD)}-header" if self.some(0.4) else "")
         for _ in range(int(self.rng.integers(0, 3 if self.some(0.3) else 14))):
             pick = self.rng.random()
             if pick < 0.62:
@@ -441,7 +481,7 @@ class Layouts:
         how = self.rng.random()
         body = self.body()
         if how < 0.5:
-            main = self.el("article", 1, body, self.one(["", "", *self.GOOD]))
+            main = self.el("article", 1, body, self.one(["", "", *self.GOOD]) if self.some(0.85) else self.misled())
         elif how < 0.65:
             main = self.el("main", 1, body, self.one(["", *self.GOOD]))
         elif how < 0.95:
@@ -455,21 +495,32 @@ class Layouts:
         below = [self.noise(r) for r in ("comments", "side", "ad", "notice", "form", "nav", "share") if self.some(0.35)]
         if self.some(0.85):
             below.append(self.noise("footer"))
+        if self.some(0.12):  # columns of a table or of plain boxes, without names
+            row, cell = self.one([("tr", "td"), ("div", "div")])
+            columns = [self.el(cell, 0, self.links(0, 3, 12) if self.some(0.7) else " ".join(self.el("a", 0, self.words(1)) for _ in range(int(self.rng.integers(3, 9))))), self.el(cell, 1, main)]
+            main = self.el(row, 1, "".join(columns if self.some(0.7) else columns[::-1]))
+            main = self.el("table", 1, main) if row == "tr" else main
+        if self.some(0.3):
+            above.append(self.el("div", 0, " ".join(self.el(self.one(["a", "a", "span"]), 0, self.words(1)) for _ in range(int(self.rng.integers(3, 9))))))
+        if self.some(0.2):
+            below.append(self.el(self.one(["div", "p"]), 0, self.one([" | ", " \u00b7 ", " - "]).join(self.words(int(self.rng.integers(1, 3))) for _ in range(int(self.rng.integers(2, 6))))))
         inside = "".join(above) + main + "".join(below)
         if self.some(0.3):
-            inside = self.el("div", 1, inside, self.one(["wrapper", "container", "site", "page"]))
+            inside = self.el("div", 1, inside, self.one(["wrapper", "container", "site", "page", self.misled()]))
         return f'<html data-k="1"><head data-k="0"><title data-k="0">{self.words(8)}</title></head><body data-k="1">{inside}</body></html>'
 
 
 _ROLE = re.compile(r'data-k="([01])"')
 
 
-def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, layouts: int = LAYOUTS) -> Boosted:
-    """The trees, trained on layouts filled with sentences of a bounded sample of pages."""
+def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, layouts: int = LAYOUTS, sentences: int = SENTENCES) -> Boosted:
+    """The trees, trained on layouts filled with ``sentences`` sentences, by hash, of ``fit_pages`` pages."""
     some = hashed_sample(pages.where("html is not null"), F.col("page_id"), fit_pages, pages.count())
-    rows = some.select(F.substring(F.regexp_replace(F.col("html").cast("string"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*+>", "\n"), 1, 20_000).alias("t")).collect()
-    sentences = sorted({_html.escape(_html.unescape(x.strip()), quote=False) for r in rows for x in re.split(r"\n|(?<=[.!?])\s", r.t) if len(x.split()) >= 2})[:20_000]
-    draw = Layouts(sentences)
+    plain = F.regexp_replace(F.col("html").cast("string"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*+>", "\n")
+    said = some.select(F.explode(F.split(plain, r"\n|(?<=[.!?])\s")).alias("s")).select(F.trim("s").alias("s")).where(r"s rlike '\\S\\s+\\S'").distinct()
+    rows = said.orderBy(F.xxhash64("s"), "s").limit(sentences).collect()  # bounded
+    sentences_ = sorted({_html.escape(_html.unescape(r.s), quote=False) for r in rows})
+    draw = Layouts(sentences_)
     xs, ys = [], []
     for _ in range(layouts):
         page = Page(draw.page())
@@ -487,8 +538,9 @@ def extract(pages: DataFrame, model: Boosted) -> DataFrame:
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str] = []
-            for lo in range(0, batch.num_rows, 256):
-                parsed = [Page(h or "") for h in batch.column("html").slice(lo, 256).to_pylist()]
+            data, offsets = buffers(batch.column("html"))
+            for lo, hi in slices(offsets):  # the features of a byte of html may take 14 bytes
+                parsed = [Page(data[a:b].tobytes().decode()) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
                 margins = model.margin(np.concatenate([features(p) for p in parsed]))
                 at = np.cumsum([0] + [len(p.tag) for p in parsed])
                 texts += [main_text(p, decode(p, margins[a:b])) for p, a, b in zip(parsed, at[:-1], at[1:], strict=True)]

@@ -3,10 +3,12 @@
 import gzip
 import hashlib
 import io
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.llm import chat, html, warc
 
@@ -110,3 +112,31 @@ def test_reading_tasks_follow_the_ranges(spark, tmp_path):
     assert n > 50 and read.rdd.getNumPartitions() == n
     want = {r.page_id: r.html.encode() for r in pages.collect()}
     assert {r.page_id: bytes(r.payload) for r in read.collect()} == want
+
+
+P = "The council met on Tuesday to discuss the new bridge over the river. Members said the work would take two years. Costs have risen since the plan was first drawn up."
+Q = "Residents who live near the old crossing told reporters that they had waited long enough. The mayor promised a full report before the end of the month."
+ARTICLE = f"<h1>Bridge plan</h1><p>{P}</p><p>{Q}</p>"
+#: Pages of other makes than the training layouts, most with names that mislead.
+ORDINARY = [
+    f'<html><body class="has-sidebar has-footer nav-open"><nav><ul><li><a>Home</a></li><li><a>About</a></li></ul></nav><div id="primary">{ARTICLE}</div><footer>Copyright us</footer></body></html>',
+    f'<html><body><article class="share-story">{ARTICLE}</article><div class="related"><a>Other</a></div></body></html>',
+    f"<html><body><div><div><a href=/>Home</a> <a href=/w>World</a> <a href=/s>Sport</a></div><div><h1>Bridge plan</h1><div>{P}</div><div>{Q}</div></div><div>Contact us | Terms</div></div></body></html>",
+    f"<html><body><table><tr><td><a>Home</a><br><a>News</a><br><a>Sport</a></td><td>{ARTICLE}</td></tr></table></body></html>",
+    f'<html><body class="single wp-custom-logo header-fixed"><header id="masthead"><a>My Blog</a></header><div id="content" class="site-content has-sidebar"><div class="content-area"><main id="main"><article class="post hentry">{ARTICLE}</article><div id="comments" class="comments-area"><h2>2 thoughts</h2><ol class="comment-list"><li>Nice text, thank you for it.</li></ol></div></main></div><aside id="secondary" class="widget-area"><h2>Recent Posts</h2><ul><li><a>One</a></li></ul></aside></div><footer class="site-footer">Powered by x</footer></body></html>',
+    f'<html><body><header><h2>Daily</h2></header><section class="story-wrap sidebar-right">{ARTICLE}</section><div class="cookie-banner"><p>We use cookies.</p></div></body></html>',
+]
+
+
+def test_ordinary_pages_repeats_and_malformed_ones(spark):
+    filler = [(k, "http://x", f"<p>{P} {Q} Item {k} was sold in the town.</p><p>Another thing that happened on day {k}, as people say.</p>") for k in range(60)]
+    model = html.fit(spark.createDataFrame(filler, "page_id long, url string, html string"))
+    broken = "</b></i>" * 60_000 + "<div class=x>" * 20_000 + "<p>text " * 20_000
+    pages = spark.createDataFrame([*enumerate([*ORDINARY, ORDINARY[0], broken, None])], "page_id long, html string").withColumn("url", F.lit("u")).repartition(1)
+    pages = pages.unionByName(pages.where("page_id = 1"))
+    began = time.time()
+    got = [(r.page_id, r.text) for r in html.extract(pages, model).collect()]
+    assert time.time() - began < 30
+    assert [t for k, t in got if k <= len(ORDINARY)] == [f"Bridge plan\n{P}\n{Q}"] * (len(ORDINARY) + 2)
+    assert dict(got)[len(ORDINARY) + 2] == ""
+    assert html.extract(pages.limit(0), model).count() == 0
