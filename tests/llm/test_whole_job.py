@@ -225,3 +225,30 @@ def test_automaton_in_pieces_by_brute_force(monkeypatch):
                             hit |= set(range(i, i + n))
                             which.add(str(k))
                 assert {x - w.first[row] for a, b in rows.get(row, []) for x in range(a, b)} == hit and found.get(row, set()) == which
+
+
+def test_pipeline_on_an_odd_table(spark, tmp_path):
+    rng = np.random.default_rng(15)
+    prose = [" ".join(rng.choice(VOCABULARY, 120)) for _ in range(40)]
+    item = " ".join(f"item{k}" for k in range(12))
+    rows = [(k, t, "en", "ab"[k % 2], len(t), "x") for k, t in enumerate(prose)]
+    rows += [(100, prose[0], "en", "a", 0, "copy"), (0, prose[0], "en", "a", len(prose[0]), "row again"), (101, None, None, None, 0, None), (102, "", "en", "a", 0, "y"), (None, prose[1] + " more", "en", None, 0, "no id")]
+    rows += [(103, f"{prose[2][::-1]} {item} mail me@here.org", "en", "b", 0, "hit"), (3, "another text of this id " + prose[5][::-1], "fr", "b", 0, "id again")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row0 string"
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    plain = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert all(r.text in {t for _, t, *_ in rows} for r in plain)
+    left = {r["_row0"] for r in plain}
+    assert len(out) > 10 and {"copy", "no id", "row again"} & {r["_row0"] for r in out} <= {"row again"}  # 0 and 1 stay for them
+    assert all(r.taken > 0 and r["size"] == len(r.text.split()) for r in out)
+    if "hit" in left:
+        text = next(r.text for r in out if r["_row0"] == "hit")
+        assert "item3" not in text and "<EMAIL>" in text and "me@here.org" not in text
+    assert out[0].asDict().keys() >= set(docs.columns)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
