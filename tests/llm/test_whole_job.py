@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from almanac.llm import decontaminate, langid, minhash, mixing, pii, simhash
+from almanac.llm import decontaminate, langid, minhash, mixing, pii, simhash, substrings
 from almanac.llm.textops import ALNUM, word_slices
 
 VOCABULARY = [f"v{k}" for k in range(4000)]
@@ -252,3 +252,21 @@ def test_pipeline_on_an_odd_table(spark, tmp_path):
     assert out[0].asDict().keys() >= set(docs.columns)
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_common_words_of_gaps():
+    rng = np.random.default_rng(16)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for v in a:
+            last = 0
+            for j, w in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if v == w else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(60):
+        a, b = (rng.integers(0, 6, rng.integers(0, 40)).astype("<u4") for _ in range(2))
+        assert substrings._common(a, b) == plain(a.tolist(), b.tolist())
+    a = np.arange(200, dtype="<u4")
+    assert substrings._common(a, np.concatenate([[999], a[:150], a[151:]]).astype("<u4")) == 199  # one word put in, one left out
