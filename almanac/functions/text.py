@@ -177,8 +177,12 @@ def year_numeral(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, "^(?:c\\.\\s*)?(\\d{4})(?:\\s*[-–]\\s*(?:\\d{2,4}))?$", 1), F.lit("")).cast("int")
 
 
+# Words of an estimate.
+GUESSES = "(?i)\\b(about|approx\\.|approximately|approx|around|roughly|estimated|estimate|probably|likely|call for|or so|guessed|guess)\\b|~"
+
+
 def guess_words(c: Column) -> Column:
-    return c.rlike("(?i)\\b(approx|approximately|about|around|roughly|estimated|likely|probably)\\b")
+    return c.rlike(GUESSES)
 
 
 def placeholder(c: Column) -> Column:
@@ -189,9 +193,14 @@ def html_in_text(c: Column) -> Column:
     return c.rlike("<[a-zA-Z/!][^>]*>|&[a-z]+;|&#\\d+;")
 
 
+# Abbreviations whose full stop ends no sentence (and single capitals).
+ABBREVIATIONS = ["St", "Ste", "Ft", "Mt", "Dr", "Mr", "Mrs", "Ms", "Jr", "Sr", "No", "Ave", "Blvd", "Rd", "U\\.S", "Inc", "Co", "vs", "Pt", "[A-Z]"]
+
+
 def first_sentence(c: Column) -> Column:
-    """Up to the first end mark before a space that no abbreviation stands before."""
-    return F.coalesce(F.nullif(F.regexp_extract(c, "(?s)^(.*?(?<!\\b(?:St|Dr|Mr|Mrs|Ms|Jr|Sr|No|Ave|Blvd|Ft|vs|etc|U\\.S))[.!?])(?=\\s|$)", 1), F.lit("")), c)
+    """Up to the first end mark before a space and a capital or digit, unless an abbreviation stands before it."""
+    end = f'(?s)^(.*?(?<!(?:^|[\\s("“])(?:{"|".join(ABBREVIATIONS)}))[.!?])(?=\\s+["“(]?[A-Z0-9])'
+    return F.coalesce(F.nullif(F.regexp_extract(c, end, 1), F.lit("")), c)
 
 
 def license_class(c: Column) -> Column:

@@ -8,13 +8,12 @@ grouped aggregates and unpivots; no record's parts are looped over.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.geo import haversine
 from almanac.functions.text import name_key, norm_for_field
+from almanac.operators.spatial import grid_cells
 from almanac.sources.shared import written
 
 
@@ -110,14 +109,22 @@ def resolve_id_collisions(collections: DataFrame, renames: DataFrame, suffixes:
 def dup_located(df: DataFrame, metres: float = 150) -> DataFrame:
     """a, b, reasons: records of one name or street key that are near, or of unknown distance.
 
-    df has id, keys (array of "name:..." and "street:..." keys), lat, lng. Exact
-    blocking by key; each pair comes once. Distances are rounded before they are compared.
+    df has id, keys (array of "name:..." and "street:..." keys), lat, lng. Each
+    pair comes once. Records with a point meet those of their key in the grid
+    cells around, so a common name costs no more than its near records; those
+    without one meet all of their key, since each such pair is a result.
+    Distances are rounded before they are compared.
     """
     e = df.select("id", "lat", "lng", F.explode(F.array_distinct("keys")).alias("key"))
-    a, b = e.alias("a"), e.alias("b")
-    d = F.round(haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).where(d.isNull() | (d <= metres))
-    return pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.array_join(F.array_sort(F.collect_set(F.split("a.key", ":")[0])), ",").alias("reasons"))
+    known = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    left = grid_cells(e.where(known), metres + 1, 60.0, False).select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "key", "_y", "_x")
+    right = grid_cells(e.where(known), metres + 1, 60.0, True).select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "key", "_y", "_x")
+    d = F.round(haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2")))
+    near = left.join(right, ["key", "_y", "_x"]).where((F.col("a") < F.col("b")) & (d <= metres)).select("a", "b", "key")
+    lost = e.where(~known).select(F.col("id").alias("u"), "key")
+    rest = e.select(F.col("id").alias("v"), known.alias("placed"), "key")
+    unknown = lost.join(rest, "key").where("u <> v and (placed or u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "key")
+    return near.unionByName(unknown).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set(F.split("key", ":")[0])), ",").alias("reasons"))
 
 
 def reviewed_pairs_filter(pairs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -137,15 +144,16 @@ def fold_record(into: DataFrame, folded: DataFrame, lists: list[str], scalars: l
     return out.select(into.columns)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that each node is linked to; edges (a, b).
 
     Minimum labels spread along edges and through labels of labels, with a
-    written table a round; ends as soon as no label changes.
+    written table a round; ends as soon as no label changes, which it must,
+    since labels only fall.
     """
     both = written(edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         low = both.join(labels.selectExpr("node as b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         far = labels.selectExpr("node as label", "label as far")
         step = labels.join(low, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")).join(far, "label", "left")
@@ -153,24 +161,21 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("label < was").isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-def assign_best(candidates: DataFrame, rounds: int = 200) -> DataFrame:
+def assign_best(candidates: DataFrame) -> DataFrame:
     """subject, file: each file once; candidates (subject, file, tier, rank).
 
-    Open subjects propose their best free file; a file goes to the subject of
-    the least (tier, subject); the rest go on, until no one can propose.
+    Every subject holds out for the best file that has not refused it; a file
+    refuses all but the claim of the least (tier, subject). A round refuses a
+    claim at least, so this ends, and all contested files are settled at once.
     """
     left = written(candidates.select("subject", "file", "tier", "rank"))
-    done = [candidates.select("subject", "file").limit(0)]
-    for _ in range(rounds):
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+    while True:
         best = left.groupBy("subject").agg(F.min(F.struct("rank", "file", "tier")).alias("m")).select("subject", "m.file", "m.tier")
-        # a subject with a better claim may still come for the file, so only claims of no waiting rival are final
-        rival = left.groupBy("file").agg(F.min(F.struct("tier", "subject")).alias("w")).select("file", F.col("w.subject").alias("first"))
-        won = written(best.join(rival, "file").where("subject = first").select("subject", "file"))
-        done.append(won)
-        left = written(left.join(won.select("subject"), "subject", "left_anti").join(won.select("file"), "file", "left_anti"))
-    raise RuntimeError(f"subjects still open after {rounds} rounds")
+        first = F.row_number().over(Window.partitionBy("file").orderBy("tier", "subject")) == 1
+        claims = written(best.withColumn("first", first))
+        refused = claims.where("not first").select("subject", "file")
+        if refused.isEmpty():
+            return claims.select("subject", "file")
+        left = written(left.join(refused, ["subject", "file"], "left_anti"))

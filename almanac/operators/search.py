@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from almanac.functions.text import fold_accents
 
+#: Letters of a term by which entries are found.
+PIECE = 3
+#: Up to so many queries are sent to every task, so that the index stays where it is; beyond, the join shuffles.
+BROADCAST_QUERIES = 10_000
+
 
 def prepare_index(entries: DataFrame) -> DataFrame:
     """Entries (kind, id, title, subline, keywords) with their normalised forms and title words."""
@@ -14,6 +19,12 @@ def prepare_index(entries: DataFrame) -> DataFrame:
     return entries.withColumn("n_title", norm("title")).withColumn("n_subline", norm("subline")).withColumn("n_keywords", norm("keywords")).withColumn("words", F.split("n_title", "[^a-z0-9]+"))
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """All runs of n letters of a text, each once."""
+    at = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def term_score(term: Column) -> Column:
     """A term's score in an entry: 40 at the title's start, 30 at a word's, 20 inside; 8 subline, 4 keywords; 0 none."""
     title = F.when(F.startswith("n_title", term), 40).when(F.exists("words", lambda w: F.startswith(w, term)), 30).when(F.contains("n_title", term), 20).otherwise(0)
@@ -24,13 +35,17 @@ def score_search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, kind, id, title, score: hits of each query (query_id, terms, phrase).
 
     All terms must score. An exact title adds 100, a title that begins with the
-    phrase 60, one that has it 30; an area 3. The queries are a small table
-    that is sent to every task; its size is checked.
+    phrase 60, one that has it 30; an area 3. An entry meets the queries whose
+    longest term begins with letters that it holds: an equi join on pieces of
+    up to ``PIECE`` letters, so entries and queries may be any number.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 queries at once; run them in blocks")
-    q = F.broadcast(queries)
-    pairs = index.join(q, F.exists("terms", lambda t: F.contains("n_title", t) | F.contains("n_subline", t) | F.contains("n_keywords", t)))
+    longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    q = queries.withColumn("_piece", F.substring(longest, 1, PIECE))
+    q = F.broadcast(q) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else q
+    sizes = [r.n for r in q.select(F.length("_piece").alias("n")).distinct().where("n > 0").collect()]  # 1 to PIECE
+    own = F.flatten(F.array(*(_pieces(F.col("_all"), n) for n in sizes))) if sizes else F.array().cast("array<string>")
+    whole = F.concat_ws("\n", "n_title", "n_subline", "n_keywords")
+    pairs = index.withColumn("_all", whole).withColumn("_piece", F.explode(own)).drop("_all").join(q, "_piece")
     scores = F.transform("terms", lambda t: term_score(t))
     phrase = F.col("phrase")
     extra = F.when(F.col("n_title") == phrase, 100).when(F.startswith("n_title", phrase), 60).when(F.contains("n_title", phrase), 30).otherwise(0)

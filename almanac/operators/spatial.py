@@ -12,10 +12,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.geo import DEGREE, haversine
+from almanac.functions.geo import DEGREE, boxes_meet, haversine
+from almanac.sources.shared import written
 
+#: Half the earth's circumference: no two points are farther apart.
+FARTHEST = 20_100_000.0
 
-def _cells(df: DataFrame, metres: float, max_lat: float, around: bool) -> DataFrame:
+
+def grid_cells(df: DataFrame, metres: float, max_lat: float, around: bool) -> DataFrame:
+    """The rows with their cell _y, _x, or repeated in the cells around it; cells are as wide as a distance."""
     lat, lng = metres * 1.01 / DEGREE, metres * 1.01 / (DEGREE * math.cos(math.radians(max_lat)))
     y, x = F.floor(F.col("lat") / lat), F.floor(F.col("lng") / lng)
     df = df.where("lat is not null and lng is not null")
@@ -30,8 +35,8 @@ def radius_join(a: DataFrame, b: DataFrame, metres: float, max_lat: float = 60.0
 
     max_lat bounds the latitudes' size; far beyond it cells would be too narrow.
     """
-    p = _cells(a.select("id", "lat", "lng"), metres, max_lat, False).select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), "_y", "_x")
-    q = _cells(b.select("id", "lat", "lng"), metres, max_lat, True).select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), "_y", "_x")
+    p = grid_cells(a.select("id", "lat", "lng"), metres, max_lat, False).select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), "_y", "_x")
+    q = grid_cells(b.select("id", "lat", "lng"), metres, max_lat, True).select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), "_y", "_x")
     d = haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
     return p.join(q, ["_y", "_x"]).withColumn("d", d).where(F.col("d") <= metres).select("a_id", "b_id", "d")
 
@@ -50,9 +55,39 @@ def radius_fallback(a: DataFrame, b: DataFrame, near: float, far: float, n: int)
 
 
 def nearest_one(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
-    """a_id, b_id, d of the nearest b within a reach; a's without one have nulls."""
-    best = radius_join(a, b, reach).groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("m")).select("a_id", "m.b_id", "m.d")
-    return a.select(F.col("id").alias("a_id")).join(best, "a_id", "left")
+    """a_id, b_id, d of the nearest b of each a, however far; ties by b_id.
+
+    The first search goes as far as ``reach``; rows without a hit search again
+    with twice the reach, so dense areas never look far. Nulls only where a has
+    no coordinates or no b has any.
+    """
+    left = a.select("id", "lat", "lng").where("lat is not null and lng is not null")
+    b = b.select("id", "lat", "lng").where("lat is not null and lng is not null")
+    found: DataFrame | None = None
+    while found is None or reach < FARTHEST:
+        reach = min(reach if found is None else 2 * reach, FARTHEST)
+        best = written(radius_join(left, b, reach).groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("m")).select("a_id", "m.b_id", "m.d"))
+        found = best if found is None else found.unionByName(best)
+        left = written(left.join(best.select(F.col("a_id").alias("id")), "id", "left_anti"))
+        if left.isEmpty() or b.isEmpty():
+            break
+    return a.select(F.col("id").alias("a_id")).join(found, "a_id", "left")
+
+
+def boxes_join(x: DataFrame, y: DataFrame, margin: float, size: float) -> DataFrame:
+    """a, b of the boxes (id, s, w, n, e) of x and y that meet, x's widened by a margin.
+
+    A box is in each grid cell of ``size`` degrees that it covers; boxes of one
+    cell are compared, and a pair counts in the first cell that both cover.
+    """
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
+    p = x.select(F.col("id").alias("a"), (F.col("s") - margin).alias("s1"), (F.col("w") - margin).alias("w1"), (F.col("n") + margin).alias("n1"), (F.col("e") + margin).alias("e1"))
+    q = y.select(F.col("id").alias("b"), F.col("s").alias("s2"), F.col("w").alias("w2"), F.col("n").alias("n2"), F.col("e").alias("e2"))
+    p = p.withColumn("_y", cells(F.col("s1"), F.col("n1"))).withColumn("_x", cells(F.col("w1"), F.col("e1")))
+    q = q.withColumn("_y", cells(F.col("s2"), F.col("n2"))).withColumn("_x", cells(F.col("w2"), F.col("e2")))
+    box = lambda k: tuple(F.col(f"{c}{k}") for c in "swne")
+    first = (F.col("_y") == F.floor(F.greatest("s1", "s2") / size)) & (F.col("_x") == F.floor(F.greatest("w1", "w2") / size))
+    return p.join(q, ["_y", "_x"]).where(first & boxes_meet(box(1), box(2))).select("a", "b")
 
 
 def near_point(df: DataFrame, lat: float, lng: float, metres: float, same_place: bool) -> DataFrame:

@@ -37,6 +37,13 @@ def page_audit(t: Load):
     return P.page_audit(t("pages"))
 
 
+@query("SELECT page_id, octet_length(encode(html)) AS raw, octet_length(encode(html)) > 10000 AS over FROM pages")
+def raw_size(t: Load):
+    """Bytes of each page, and whether they are over a budget (``size_budget`` has the compressed ones too)."""
+    raw = F.octet_length("html").cast("bigint")
+    return t("pages").select("page_id", raw.alias("raw"), (raw > 10_000).alias("over"))
+
+
 @query()
 def size_budget(t: Load):
     """Raw and gzip bytes of each page against a budget."""

@@ -337,16 +337,23 @@ def plain_text(t: Load):
     return t("pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
 
 
-@query()
+_FNV = "list_reduce(list_concat([2166136261::BIGINT], [CAST(unicode(c) AS BIGINT) FOR c IN string_split({0}, '')]), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 60466176"
+_BASE36 = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // {36**k}) % 36 AS BIGINT) + 1, 1)" for k in (4, 3, 2, 1, 0))
+
+
+@query(f"SELECT id, {_BASE36} AS code FROM (SELECT p_partkey AS id, {_FNV.format("(p_name || '/' || p_partkey)")} AS h FROM part)")
 def share_code(t: Load):
     """Short codes of all parts' names and keys."""
     return t("part").select(F.col("p_partkey").alias("id"), T.share_code(F.concat_ws("/", "p_name", "p_partkey")).alias("code"))
 
 
-@query()
+_LINE_CODES = f"SELECT id, {_BASE36} AS code FROM (SELECT id, {_FNV.format('id')} AS h FROM (SELECT DISTINCT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id FROM lineitem))"
+
+
+@query(f"SELECT code, count(*) AS n FROM ({_LINE_CODES}) GROUP BY code HAVING count(*) > 1")
 def check_code_collisions(t: Load):
-    """Short codes that two names share."""
-    codes = t("part").select(F.col("p_name").alias("id")).distinct().select("id", T.share_code(F.col("id")).alias("code"))
+    """Short codes that two order lines share."""
+    codes = t("lineitem").select(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id")).distinct().select("id", T.share_code(F.col("id")).alias("code"))
     return codes.groupBy("code").agg(F.countDistinct("id").alias("n")).where("n > 1")
 
 
@@ -371,14 +378,23 @@ def token_overlap(t: Load):
     return t("part").select(F.col("p_partkey").alias("id"), s["shared"].alias("shared"), F.round(s["ratio"], 4).alias("ratio"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT p_partkey AS id, p_name AS a, coalesce(lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey), '') AS b FROM part),
+w AS (SELECT *, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM n),
+d AS (SELECT *, [v FOR v IN x IF NOT list_contains(y, v)] AS p, [v FOR v IN y IF NOT list_contains(x, v)] AS q FROM w)
+SELECT id, CAST(CASE WHEN a = b THEN 3 WHEN list_sort(x) = list_sort(y) THEN 2 WHEN (len(p) = 0 OR len(q) = 0) AND len([v FOR v IN list_concat(p, q) IF v NOT IN ('red', 'blue', 'small', 'large')]) = 0 THEN 1 ELSE 0 END AS INTEGER) AS level FROM d
+""")
 def name_level(t: Load):
     """Levels of likeness of neighbouring parts' names (blocked by brand)."""
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
     return t("part").select(F.col("p_partkey").alias("id"), T.name_level(F.col("p_name"), F.coalesce(F.lead("p_name").over(w), F.lit("")), ["red", "blue", "small", "large"]).alias("level"))
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT doc_id, translate(strip_accents(lower({_FIRST})), '‘’', repeat(chr(39), 2)) AS f FROM documents),
+s AS (SELECT doc_id, f, list_filter([regexp_replace(x, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') FOR x IN string_split_regex(f, '[\\s,]+')], lambda x: x <> '') AS terms FROM l)
+SELECT doc_id, array_to_string(terms, ' ') AS said, CAST(len([x FOR x IN terms IF contains(f, x)]) AS INTEGER) AS spans FROM s
+""")
 def search_terms(t: Load):
     """Terms of each document's first line, and where they stand in it."""
     s = line(t).withColumn("terms", T.search_terms(F.col("line")))
@@ -401,7 +417,9 @@ def latest_by_key(t: Load):
     return t("events").groupBy((F.col("user_id") % 40).alias("key")).agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select("key", "m.value")
 
 
-@query()
+@query(r"""
+SELECT doc_id, coalesce(regexp_matches(CASE WHEN doc_id % 3 = 0 THEN 'Verified 2024-01-05: ' ELSE 'Seen 2024-01-05: ' END || substr(text, 1, 40), '(?i)\bverif(ied|ier)\b[^.;]{0,20}[0-9]{4}-[0-9]{2}-[0-9]{2}'), false) AS verified FROM documents
+""")
 def verified_flag(t: Load):
     """Whether a note holds a verifier's date (notes made of documents)."""
     note = F.concat(F.when(F.col("doc_id") % 3 == 0, "Verified 2024-01-05: ").otherwise("Seen 2024-01-05: "), F.substring("text", 1, 40))

@@ -209,7 +209,12 @@ def geocode_cascade(t: Load):
     return out.select("id", F.coalesce("by_address", "by_name").alias("ref"), F.when(F.col("by_address").isNotNull(), "address").when(F.col("by_name").isNotNull(), "name").alias("how"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_quantity > 45),
+l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT node, b FROM r JOIN l ON seen = a)
+SELECT node, min(seen) AS label FROM r GROUP BY node
+""")
 def connected_components(t: Load):
     """Parts joined through orders that hold both (neighbouring lines of an order)."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
@@ -219,7 +224,7 @@ def connected_components(t: Load):
 
 @query()
 def assign_images(t: Load):
-    """One supplier for each part in order of tier, each supplier used once."""
+    """One supplier for each part in order of tier, each supplier used once (tests hold it against the serial choice)."""
     c = t("lineitem").where("l_quantity > 40").groupBy(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("file")).agg(F.min("l_extendedprice").alias("p"))
     return C.assign_best(c.select("subject", "file", (F.col("subject") % 11).alias("tier"), F.row_number().over(Window.partitionBy("subject").orderBy("p", "file")).alias("rank")))
 

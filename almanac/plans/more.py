@@ -228,10 +228,10 @@ def check_manifest(t: Load):
     return j.select("doc_id", F.when(~F.col("quality").isin(0, 1), "bad quality").when(F.col("toxic") == 1, "toxic").when(F.col("known").isNull(), "unknown document").alias("problem")).where("problem is not null")
 
 
-@query("SELECT kind, id, CASE WHEN trim(title) = '' THEN 'no title' WHEN keywords IS NULL THEN 'no keywords' END AS problem FROM (SELECT 'part' AS kind, p_partkey AS id, p_name AS title, p_brand AS keywords FROM part UNION ALL SELECT 'document', doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 5), ' '), lang FROM documents) WHERE trim(title) = '' OR keywords IS NULL")
+@query("SELECT kind, id, CASE WHEN trim(title) = '' THEN 'no title' WHEN keywords IS NULL THEN 'no keywords' ELSE 'one word' END AS problem FROM (SELECT 'part' AS kind, p_partkey AS id, p_name AS title, p_brand AS keywords FROM part UNION ALL SELECT 'document', doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 5), ' '), lang FROM documents) WHERE trim(title) = '' OR keywords IS NULL OR NOT contains(trim(title), ' ')")
 def check_index(t: Load):
-    """Search entries without a title or keywords."""
-    p = F.when(F.trim("title") == "", "no title").when(F.col("keywords").isNull(), "no keywords")
+    """Search entries without a title or keywords, or with a title of one word."""
+    p = F.when(F.trim("title") == "", "no title").when(F.col("keywords").isNull(), "no keywords").when(~F.contains(F.trim("title"), F.lit(" ")), "one word")
     return entries(t).select("kind", "id", p.alias("problem")).where("problem is not null")
 
 
@@ -280,10 +280,10 @@ def infer_geo_source(t: Load):
     return g.select("id", "g.source", F.col("g.lat").isNull().alias("dropped"))
 
 
-@query("WITH n AS (SELECT DISTINCT lower(p_name) AS key FROM part WHERE p_size > 25), a AS (SELECT lower(p_name) AS key, min(p_partkey) AS id FROM part WHERE p_size <= 25 GROUP BY 1) SELECT key, id FROM a WHERE key NOT IN (SELECT key FROM n)")
+@query("WITH n AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS key FROM part WHERE p_size > 25), a AS (SELECT lower(p_name || ' ' || p_brand) AS key, min(p_partkey) AS id FROM part WHERE p_size <= 25 GROUP BY 1) SELECT key, id FROM a WHERE key NOT IN (SELECT key FROM n)")
 def alias_table_out(t: Load):
     """Resolved texts that no record's own name covers."""
-    k = F.lower("p_name").alias("key")
+    k = F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("key")
     return t("part").where("p_size <= 25").groupBy(k).agg(F.min("p_partkey").alias("id")).join(t("part").where("p_size > 25").select(k).distinct(), "key", "left_anti")
 
 
@@ -302,7 +302,7 @@ def live_board(t: Load):
     return e.groupBy("day").agg(F.count_if((F.col("s") <= now) & (now < F.col("s") + F.expr("INTERVAL 1 HOUR"))).alias("live"), F.count_if(F.col("s") > now).alias("to_come"))
 
 
-@query("SELECT doc_id, CAST(regexp_matches(text, '(?i)\\b(approx|approximately|about|around|roughly|estimated|likely|probably)\\b') AS BOOLEAN) AS guess, regexp_matches(text, '(?i)\\b(tbd|tba|todo|lorem ipsum|n/a|xxx)\\b') AS placeholder, regexp_matches(text, '<[a-zA-Z/!][^>]*>|&[a-z]+;|&#\\d+;') AS markup FROM documents")
+@query("SELECT doc_id, CAST(regexp_matches(text, '(?i)\\b(about|approx\\.|approximately|approx|around|roughly|estimated|estimate|probably|likely|call for|or so|guessed|guess)\\b|~') AS BOOLEAN) AS guess, regexp_matches(text, '(?i)\\b(tbd|tba|todo|lorem ipsum|n/a|xxx)\\b') AS placeholder, regexp_matches(text, '<[a-zA-Z/!][^>]*>|&[a-z]+;|&#\\d+;') AS markup FROM documents")
 def text_quality(t: Load):
     """Guess words, placeholders and markup in texts."""
     c = F.col("text")
@@ -321,7 +321,7 @@ def haversine(t: Load):
     return t("places").select("id", F.row_number().over(Window.partitionBy("kind").orderBy(d, "id")).alias("n"))
 
 
-@query()
+@query("SELECT user_id AS user, CAST(event_id AS VARCHAR) AS item, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS INTEGER) AS n FROM events")
 def saved_order(t: Load):
     """Users' items numbered by when they were saved."""
     return jobs.saved_order(t("events").select(F.col("user_id").alias("user"), F.col("event_id").cast("string").alias("item"), "ts")).select("user", "item", "n")

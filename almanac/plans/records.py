@@ -77,9 +77,9 @@ def remap_refs(t: Load):
     return J.remap_refs(t("happenings").select("id", "place"), "place", remap)
 
 
-@query("SELECT DISTINCT p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+@query("SELECT DISTINCT p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def coverage_gap(t: Load):
-    return J.coverage_gap(t("part").select(F.col("p_partkey").alias("part")), t("lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("part")), ["part"])
+    return J.coverage_gap(t("part").select(F.col("p_partkey").alias("part")), t("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("part")), ["part"])
 
 
 @query("WITH s AS (SELECT DISTINCT user_id % 97 AS id FROM events) SELECT id, place FROM happenings WHERE place IN (SELECT id FROM s)")

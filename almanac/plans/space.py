@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.functions import geo as G
@@ -35,11 +36,10 @@ def nearby_point(t: Load):
     return S.near_point(both, 27.5, -82.0, 30000, same_place=False).select("id", F.round("d").cast("bigint").alias("metres"))
 
 
-@query(f"SELECT b.id, CAST(round({PAIR}) AS BIGINT) AS metres FROM places a JOIN places b ON {PAIR} <= 1000 WHERE a.id = 7")
+@query(f"SELECT a.id AS stay, b.id AS id, CAST(round({PAIR}) AS BIGINT) AS metres FROM stays a JOIN stays b ON {PAIR} <= 1000")
 def nearby_inclusive(t: Load):
-    """Places within 1 km of a place, itself included."""
-    at = t("places").where("id = 7").select(F.col("id"), "lat", "lng")
-    return S.radius_join(at, t("places"), 1000).select(F.col("b_id").alias("id"), F.round("d").cast("bigint").alias("metres"))
+    """Stays within 1 km of each stay, itself included."""
+    return S.radius_join(t("stays"), t("stays"), 1000).select(F.col("a_id").alias("stay"), F.col("b_id").alias("id"), F.round("d").cast("bigint").alias("metres"))
 
 
 @query(f"""
@@ -51,9 +51,9 @@ def radius_fallback(t: Load):
     return S.radius_fallback(t("stays"), t("places"), 1200, 16000, 5).select("a_id", "b_id", "near", "rank")
 
 
-@query(f"WITH p AS (SELECT a.id AS a_id, b.id AS b_id, {PAIR} AS d FROM places a JOIN stays b ON {PAIR} <= 20000), m AS (SELECT a_id, arg_min(b_id, (d, b_id)) AS b_id, min(d) AS d FROM p GROUP BY a_id) SELECT places.id AS a_id, b_id, CAST(round(d) AS BIGINT) AS metres FROM places LEFT JOIN m ON places.id = a_id")
+@query(f"WITH p AS (SELECT a.id AS a_id, b.id AS b_id, {PAIR} AS d FROM places a JOIN stays b ON true), m AS (SELECT a_id, arg_min(b_id, (d, b_id)) AS b_id, min(d) AS d FROM p GROUP BY a_id) SELECT places.id AS a_id, b_id, CAST(round(d) AS BIGINT) AS metres FROM places LEFT JOIN m ON places.id = a_id")
 def nearest_one(t: Load):
-    """The nearest stay of each place, within 20 km."""
+    """The nearest stay of each place; the first search goes 20 km far."""
     return S.nearest_one(t("places"), t("stays"), 20000).select("a_id", "b_id", F.round("d").cast("bigint").alias("metres"))
 
 
@@ -71,13 +71,21 @@ def point_set_proximity(t: Load):
     return t("lineitem").join(near, "l_suppkey", "left_semi").select(F.col("l_orderkey").alias("route")).distinct()
 
 
-@query(f"WITH s AS (SELECT area, avg(lat) AS lat, avg(lng) AS lng FROM places GROUP BY area), a AS (SELECT * FROM stays WHERE id < 8) SELECT b.area AS area, a.id AS stay, CAST(round({PAIR}) AS BIGINT) AS metres, row_number() OVER (PARTITION BY b.area ORDER BY {PAIR}, a.id) = 1 AS nearest FROM a, s b")
+_CENTRES = "SELECT n_regionkey AS region, area, avg(lat) AS lat, avg(lng) AS lng FROM {0} JOIN nation ON area = n_nationkey GROUP BY ALL"
+
+
+@query(f"WITH a AS ({_CENTRES.format('stays')}), b AS ({_CENTRES.format('places')}) SELECT b.area AS area, a.area AS stays, CAST(round({PAIR}) AS BIGINT) AS metres, row_number() OVER (PARTITION BY b.area ORDER BY round({PAIR}, 3), a.area) = 1 AS nearest FROM a JOIN b ON a.region = b.region")
 def distance_matrix(t: Load):
-    """Eight stays by area centres, each area's nearest marked (dimension-sized sides)."""
-    areas = t("places").groupBy("area").agg(F.avg("lat").alias("alat"), F.avg("lng").alias("alng"))
-    few = F.broadcast(t("stays").where("id < 8").select("id", "lat", "lng"))  # eight rows
-    d = areas.join(few, F.lit(True)).withColumn("d", G.haversine(F.col("lat"), F.col("lng"), F.col("alat"), F.col("alng")))
-    return R.top_n_per_group(d, ["area"], ["d", "id"], 8).select("area", F.col("id").alias("stay"), F.round("d").cast("bigint").alias("metres"), (F.col("rank") == 1).alias("nearest"))
+    """The centres of each area's places by those of the stays of all areas of its region, the nearest marked."""
+
+    def centres(name: str):
+        own = t(name).join(t("nation").select(F.col("n_nationkey").alias("area"), F.col("n_regionkey").alias("region")), "area")
+        return own.groupBy("region", "area").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+
+    a = centres("stays").select("region", F.col("area").alias("stays"), F.col("lat").alias("slat"), F.col("lng").alias("slng"))
+    d = centres("places").join(a, "region").withColumn("d", G.haversine(F.col("slat"), F.col("slng"), F.col("lat"), F.col("lng")))
+    first = F.row_number().over(Window.partitionBy("area").orderBy(F.round("d", 3), "stays")) == 1
+    return d.select("area", "stays", F.round("d").cast("bigint").alias("metres"), first.alias("nearest"))
 
 
 @query("""
@@ -100,13 +108,11 @@ def off_view_summary(t: Load):
     return total.select("direction", "total", "lead.area", (-F.col("lead.m")).alias("n"), (-F.col("lead.m") * 2 >= F.col("total")).alias("majority"))
 
 
-@query("WITH b AS (SELECT area, min(lat) AS s, min(lng) AS w, max(lat) AS n, max(lng) AS e FROM places GROUP BY area) SELECT x.area AS a, y.area AS b FROM b x JOIN b y ON x.area < y.area AND x.s - 0.01 <= y.n AND x.n + 0.01 >= y.s AND x.w - 0.01 <= y.e AND x.e + 0.01 >= y.w")
+@query("WITH b AS (SELECT area, min(lat) AS s, min(lng) AS w, max(lat) AS n, max(lng) AS e FROM places GROUP BY area) SELECT x.area AS a, y.area AS b FROM b x JOIN b y ON x.area < y.area AND x.s - 0.06 <= y.n AND x.n + 0.06 >= y.s AND x.w - 0.06 <= y.e AND x.e + 0.06 >= y.w")
 def bbox_intersects(t: Load):
-    """Areas whose boxes meet (an area each: dimension-sized)."""
-    b = t("places").groupBy("area").agg(F.min("lat").alias("s"), F.min("lng").alias("w"), F.max("lat").alias("n"), F.max("lng").alias("e"))
-    x, y = b.alias("x"), b.alias("y")
-    box = lambda k: tuple(F.col(f"{k}.{c}") for c in "swne")
-    return x.join(y, (F.col("x.area") < F.col("y.area")) & G.boxes_meet(box("x"), box("y"), 0.01)).select(F.col("x.area").alias("a"), F.col("y.area").alias("b"))
+    """Areas whose boxes come within 0.06 degrees of each other."""
+    b = t("places").groupBy(F.col("area").alias("id")).agg(F.min("lat").alias("s"), F.min("lng").alias("w"), F.max("lat").alias("n"), F.max("lng").alias("e"))
+    return S.boxes_join(b, b, 0.06, 0.25).where("a < b")
 
 
 @query("SELECT CAST(floor(lat / 0.05) AS BIGINT) AS cell_y, CAST(floor(lng / 0.05) AS BIGINT) AS cell_x, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM places GROUP BY 1, 2")
@@ -197,7 +203,20 @@ def ring_area(t: Load):
     return b.select("area", F.round(G.ring_area(ring), 6).alias("surface"), F.round(G.path_length(ring), 6).alias("length"))
 
 
-@query()
+def _sun(sign: str) -> str:
+    """Minutes of sunrise (+) or sunset (-) in SQL, over p(id, n, lat, lng): three steps from solar noon."""
+    g = "(2 * pi() / 365 * (n - 1 + (m{0} / 60 - 12) / 24))"
+    steps = ["m0 AS (SELECT *, 720 - 4 * lng AS m0 FROM p)"]
+    for k in range(3):
+        at = g.format(k)
+        steps.append(f"g{k} AS (SELECT *, {at} AS g{k} FROM m{k})")
+        x = f"g{k}"
+        steps.append(f"d{k} AS (SELECT *, 0.006918 - 0.399912 * cos({x}) + 0.070257 * sin({x}) - 0.006758 * cos(2 * {x}) + 0.000907 * sin(2 * {x}) - 0.002697 * cos(3 * {x}) + 0.00148 * sin(3 * {x}) AS d{k} FROM g{k})")
+        steps.append(f"m{k + 1} AS (SELECT *, 720 - 4 * (lng {sign} degrees(acos(cos(radians(90.833)) / (cos(radians(lat)) * cos(d{k})) - tan(radians(lat)) * tan(d{k})))) - 229.18 * (0.000075 + 0.001868 * cos({x}) - 0.032077 * sin({x}) - 0.014615 * cos(2 * {x}) - 0.040849 * sin(2 * {x})) AS m{k + 1} FROM d{k})")
+    return f"WITH {', '.join(steps)} SELECT id, CAST(round(m3) AS INTEGER) AS at FROM m3"
+
+
+@query(f"WITH p AS (SELECT h.id AS id, dayofyear(date) AS n, lat, lng FROM happenings h JOIN places ON h.place = places.id) SELECT r.id AS id, r.at AS rise, s.at AS set FROM ({_sun('+')}) r JOIN ({_sun('-')}) s ON r.id = s.id")
 def sun_times(t: Load):
     """UTC minutes of sunrise and sunset on each event's date at its place."""
     at = t("happenings").select("id", "date", F.col("place")).join(t("places").select(F.col("id").alias("place"), "lat", "lng"), "place")

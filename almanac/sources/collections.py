@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,16 +53,37 @@ def unwrap_records(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def write_collections(collections: dict[str, DataFrame], folder: str, fields: dict[str, list[str]]) -> None:
-    """Each collection sorted by id, in its schema's field order, as Parquet."""
+def write_collections(collections: dict[str, DataFrame], folder: str, fields: dict[str, list[str]], form: str = "parquet") -> None:
+    """Each collection sorted by id, in its schema's field order; fields that the schema has not follow by name.
+
+    ``form`` is parquet or json: a record a line, nulls left out, so that equal
+    collections give equal lines in equal order.
+    """
     for name, df in collections.items():
-        own = [c for c in fields.get(name, df.columns) if c in df.columns]
-        df.select(*own).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/{name}")
+        known = [c for c in fields.get(name, df.columns) if c in df.columns]
+        own = df.select(*known, *sorted(set(df.columns) - set(known)))
+        own.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").format(form).save(f"{folder}/{name}")
 
 
 def gated_publish(df: DataFrame, staging: str, target: str, check: Callable[[DataFrame], DataFrame]) -> None:
-    """Write to staging, check what was written, publish if no error is found; else the target stays as it was."""
+    """Write to staging, check what was written, and swap it with the target if no error is found.
+
+    The target's folder is renamed aside and staging renamed into its place, so
+    readers find the old table or the new one, whole; if the check or the swap
+    fails, the target is what it was. Both paths are on one file system.
+    """
+    spark = df.sparkSession
     df.write.mode("overwrite").parquet(staging)
-    made = df.sparkSession.read.parquet(staging)
-    require_no_errors(check(made))
-    made.write.mode("overwrite").parquet(target)
+    require_no_errors(check(spark.read.parquet(staging)))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    made, public, aside = path(staging), path(target), path(f"{target}.before-{uuid.uuid4().hex}")
+    files = public.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(public)
+    if had and not files.rename(public, aside):
+        raise OSError(f"{target} can't be moved aside")
+    if not files.rename(made, public):
+        if had:
+            files.rename(aside, public)
+        raise OSError(f"{staging} can't be moved to {target}")
+    if had:
+        files.delete(aside, True)

@@ -54,18 +54,8 @@ def log_compaction_batch(log: DataFrame, key: str, value: str, order: list[str])
 
 
 def log_compaction_stream(log: DataFrame) -> DataFrame:
-    """key, value: the latest value of each key, by seq, kept as state; later files may be out of order."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else (-1, None)
-        for rows in batches:
-            top = rows.loc[rows.seq.idxmax()]
-            if top.seq >= best[0]:
-                best = (int(top.seq), top.value)
-        state.update(best)
-        yield pd.DataFrame({"key": [key[0]], "value": [best[1]]})
-
-    return log.groupBy("key").applyInPandasWithState(step, "key string, value string", "seq long, value string", "update", GroupStateTimeout.NoTimeout)
+    """key, value: the latest value of each key, by seq (the greater value of equal ones); files may be out of order. For update mode."""
+    return log_compaction_batch(log, "key", "value", ["seq"])
 
 
 def live_board(batch: DataFrame, instances: DataFrame) -> DataFrame:

@@ -105,6 +105,8 @@ def test_text_keys(spark):
     assert one(spark, X.fold_accents(F.lit("Élan ÇA ñandú Straße œuf"))) == "elan ca nandu straße œuf"
     assert one(spark, X.page_key(F.lit("https://www.a.org/x/?q=1"))) == "a.org/x?q=1"
     assert one(spark, X.first_sentence(F.lit("See St. Paul today. More."))) == "See St. Paul today."
+    assert one(spark, X.first_sentence(F.lit("J. Smith of Mt. Dora, Inc. sells v. old maps! 12 rooms."))) == "J. Smith of Mt. Dora, Inc. sells v. old maps!"
+    assert [one(spark, X.guess_words(F.lit(t))) for t in ("call for hours", "an hour or so", "~ 5 pm", "guessed", "a guest")] == [True, True, True, True, False]
     assert one(spark, X.title_key(F.lit("25th Annual Fair 2026"))) == "fair"
     assert one(spark, X.year_numeral(F.lit("c. 1855"))) == 1855 and one(spark, X.year_numeral(F.lit("about 1855"))) is None
 
@@ -175,6 +177,29 @@ def test_components(spark):
     assert set(got.values()) == {0, 100} and len(got) == 63
 
 
+def test_nearest_one_has_no_bound(spark):
+    a = spark.createDataFrame([(1, 10.0, 10.0), (2, -40.0, 170.0), (3, None, 5.0)], "id int, lat double, lng double")
+    b = spark.createDataFrame([(7, 10.01, 10.0), (8, 10.0, 10.01), (9, 55.0, -120.0)], "id int, lat double, lng double")
+    got = {r.a_id: r.b_id for r in S.nearest_one(a, b, 5000).collect()}
+    assert got[1] == 8 and got[2] == 9 and got[3] is None
+    assert [r.b_id for r in S.nearest_one(a, b.where("id < 0"), 5000).collect()] == [None] * 3
+
+
+def test_boxes_join_is_all_pairs(spark):
+    rng = random.Random(3)
+    boxes = [(k, y, x, y + rng.random(), x + rng.random() * 2) for k in range(60) for y, x in [(rng.uniform(-5, 5), rng.uniform(-5, 5))]]
+    df = spark.createDataFrame(boxes, "id int, s double, w double, n double, e double")
+    brute = {(a[0], b[0]) for a in boxes for b in boxes if a[1] - 0.1 <= b[3] and a[3] + 0.1 >= b[1] and a[2] - 0.1 <= b[4] and a[4] + 0.1 >= b[2]}
+    got = [(r.a, r.b) for r in S.boxes_join(df, df, 0.1, 0.7).collect()]
+    assert set(got) == brute and len(got) == len(brute)
+
+
+def test_contested_files_settle(spark):
+    c = [(1, 1, 2, 1), (1, 2, 1, 2), (2, 2, 2, 1), (2, 1, 1, 2)]  # each wants the file that would sooner have the other
+    got = {r.subject: r.file for r in C.assign_best(spark.createDataFrame(c, "subject int, file int, tier int, rank int")).collect()}
+    assert got == {1: 1, 2: 2}
+
+
 def test_assignment_equals_the_serial_one(spark):
     rng = random.Random(5)
     c = [(s, f, s % 3, r) for s in range(30) for r, f in enumerate(rng.sample(range(20), 6))]
@@ -219,6 +244,16 @@ def test_publishing_stops_at_errors(spark, tmp_path):
     with pytest.raises(K.GateError, match="required"):
         IO.gated_publish(spark.createDataFrame([(2, None)], "id int, name string"), staging, target, check)
     assert [r.id for r in spark.read.parquet(target).collect()] == [1]
+    IO.gated_publish(spark.createDataFrame([(3, "c")], "id int, name string"), staging, target, check)
+    assert [r.id for r in spark.read.parquet(target).collect()] == [3]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+
+
+def test_canonical_json(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, None), ("a", 1, "x")], "id string, n int, extra string")
+    IO.write_collections({"places": df}, str(tmp_path), {"places": ["n", "id"]}, form="json")
+    lines = [line for p in sorted((tmp_path / "places").glob("part-*")) for line in p.read_text().splitlines()]
+    assert lines == ['{"n":1,"id":"a","extra":"x"}', '{"n":2,"id":"b"}']
 
 
 def test_reading(spark, tmp_path):
