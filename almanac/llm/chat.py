@@ -9,7 +9,9 @@ rendered, role by role.
 
 Turns are numbered and hashed in chunks of ``CHUNK`` turn numbers, whose counts
 and hashes are then carried forward, so that a conversation of any length is
-spread over tasks; its rendering comes in parts of a chunk each.
+spread over tasks. A rendering is one row, ``part`` 0, with the whole
+conversation; where that is more than ``WHOLE`` characters, further rows go on
+at chunks, and joined by part they are the conversation.
 
 Defined results: repeated equal rows are one turn; turns of one number are
 ordered by role and hash; a null role or text is empty; a null turn comes
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 from almanac.llm.common import cut, table
 
 CHUNK = 256
+#: Characters of a rendering from which on a chunk begins a further row.
+WHOLE = 64 << 20
+#: Chunk of the turns without a number, before all others.
+NO_TURN = -(1 << 62)
 
 
 def _hash(seed: int, *columns: str) -> Column:
@@ -38,7 +44,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return rows.distinct().select("*", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1)).cast("long").alias("part"), _hash(1, "role", "text").alias("a"), _hash(2, "role", "text").alias("b"))
+    return rows.distinct().select("*", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(NO_TURN)).cast("long").alias("part"), _hash(1, "role", "text").alias("a"), _hash(2, "role", "text").alias("b"))
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
@@ -69,13 +75,16 @@ def maximal(rows: DataFrame) -> DataFrame:
     return whole.join(proper, ["n", "p", "q"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_same")
 
 
-def render(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """conv_id, part, n_turns, n_same, text: the kept conversations, a row for each chunk."""
+def render(rows: DataFrame, kept: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """conv_id, part, n_turns, n_same, text: the kept conversations, a row each, or several beyond ``whole`` characters."""
     said = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
-    turn = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), "role", "a", "b", said.alias("said"))
-    where = rows.select("conv_id", "part").distinct().join(kept, "conv_id")  # so that a long conversation's chunks stay apart
-    parts = rows.join(where, ["conv_id", "part"]).groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_same").alias("n_same"), F.array_sort(F.collect_list(turn)).alias("turns"))
-    return parts.select("conv_id", "part", "n_turns", "n_same", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("text"))
+    turn = F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "a", "b", said.alias("said"))
+    sizes = rows.groupBy("conv_id", "part").agg(F.sum(F.length("role") + F.length("text") + 14).alias("size"))  # a row for each chunk
+    before = F.sum("size").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("size")
+    where = sizes.select("conv_id", "part", F.floor(before / whole).alias("row")).join(kept, "conv_id")
+    grouped = rows.join(where, ["conv_id", "part"]).groupBy("conv_id", "row").agg(F.first("n_turns").alias("n_turns"), F.first("n_same").alias("n_same"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    text = F.array_join(F.transform("turns", lambda t: t["said"]), "")
+    return grouped.select("conv_id", F.col("row").cast("long").alias("part"), "n_turns", "n_same", text.alias("text"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
