@@ -89,7 +89,7 @@ def render(rows: DataFrame, kept: DataFrame, whole: int = WHOLE) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximal conversations, rendered."""
-    rows = turns(table(spark, sf_dir, "conversations"))
+    rows = cut(turns(table(spark, sf_dir, "conversations")))  # the texts are shuffled for it once
     return render(rows, maximal(rows))
 
 
