@@ -68,9 +68,11 @@ def write_collections(collections: dict[str, DataFrame], folder: str, fields: di
 def gated_publish(df: DataFrame, staging: str, target: str, check: Callable[[DataFrame], DataFrame]) -> None:
     """Write to staging, check what was written, and swap it with the target if no error is found.
 
-    The target's folder is renamed aside and staging renamed into its place, so
-    readers find the old table or the new one, whole; if the check or the swap
-    fails, the target is what it was. Both paths are on one file system.
+    The target's folder is renamed aside and staging renamed into its place. A
+    failed check leaves the target as it was, a refused rename puts it back.
+    Between the two renames there is no target for a moment; a driver lost then
+    leaves the old table whole as ``<target>.before-...``. Both paths are on one
+    file system, whose renames are atomic (object stores' are not).
     """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(staging)
