@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import chat, decontaminate, html, langid, mixing, pii, quality, simhash, substrings, warc
+from almanac.llm import centroids, chat, decontaminate, html, langid, mixing, pieces, pii, quality, simhash, substrings, warc, whitening
 
 QUERIES = {
     "op5_substrings": substrings.op5_substrings,
@@ -15,10 +15,14 @@ QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_quality": quality.op3_quality,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_pieces": pieces.op12_pieces,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLES = {
     "op9_chat": chat.SQL,
     "op4_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op13_centroids": centroids.SQL,
 }
