@@ -94,7 +94,7 @@ def page_key(url: Column) -> Column:
 
 def title_key(c: Column) -> Column:
     """A title without its year, "annual" and ordinals."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name_key(c), "\\b(19|20)\\d\\d\\b|\\bannual\\b|\\b\\d+(st|nd|rd|th)\\b", " "), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(name_key(c), "\\b(20\\d\\d|annual|\\d+(st|nd|rd|th))\\b", " "), "\\s+", " "))
 
 
 def shared_words(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
+from almanac.operators.intervals import covered, meeting, overlapping
 
 RUN_DAYS = 14
 
@@ -97,23 +98,27 @@ def circular_month_runs(months: DataFrame, keys: list[str], month: str = "month"
 
 
 def overlap_join(items: DataFrame, key: str = "day") -> DataFrame:
-    """Pairs of items (id, s, e, bucket column) of one bucket that are on at once.
+    """Pairs of items (id, s, e, key column) of one key that are on at once.
 
     An unknown end is a point. Each pair comes once, in the order of (s, id).
     """
-    a = items.select(*(F.col(c).alias(f"a_{c}") for c in (key, "id", "s", "e")))
-    b = items.select(*(F.col(c).alias(f"b_{c}") for c in (key, "id", "s", "e")))
-    later = (F.col("b_s") > F.col("a_s")) | ((F.col("b_s") == F.col("a_s")) & (F.col("b_id") > F.col("a_id")))
-    meets = (F.col("a_s") == F.col("b_s")) | (F.col("b_s") < F.col("a_e"))
-    return a.join(b, (F.col(f"a_{key}") == F.col(f"b_{key}")) & later & meets)
+    t = items.select(key, "id", "s", F.greatest("s", F.coalesce("e", "s")).alias("e"))
+    pairs = overlapping(t, [key], "s", "e").where("x.s = p.s or p.s < x.e")
+    swap = (F.col("x.s") == F.col("p.s")) & (F.col("x.id") > F.col("p.id"))
+    pairs = pairs.select(F.when(swap, F.col("p")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("p")).alias("b"))
+    return pairs.select(*(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in t.columns))
 
 
 def interval_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of intervals (id, s, e; timestamps) that overlap, by day buckets; each once."""
-    days = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "s", "e"))).withColumn(f"{p}_first", F.to_date(f"{p}_s")).withColumn("_day", F.explode(F.sequence(F.to_date(f"{p}_s"), F.greatest(F.to_date(f"{p}_s"), F.to_date(F.coalesce(f"{p}_e", f"{p}_s"))))))
-    x, y = days(a, "a"), days(b, "b")
-    hit = (F.col("b_s") <= F.coalesce("a_e", "a_s")) & (F.coalesce("b_e", "b_s") >= F.col("a_s"))
-    return x.join(y, "_day").where(hit & (F.col("_day") == F.greatest("a_first", "b_first"))).drop("_day", "a_first", "b_first")
+    """Pairs of intervals (id, s, e) that overlap, both ends inclusive; each once. An unknown end is a point."""
+    ended = lambda df: df.select("id", "s", F.coalesce("e", "s").alias("e"))
+    pairs = meeting(ended(a), ended(b), [], "s", "e")
+    return pairs.select(*(F.col(f"{struct}.{c}").alias(f"{side}_{c}") for struct, side in (("x", "a"), ("p", "b")) for c in ("id", "s", "e")))
+
+
+def date_cover(spans: DataFrame, days: DataFrame, day: str = "day") -> DataFrame:
+    """x, p (structs): each span (first, last) with each of the days that it covers, both ends inclusive."""
+    return covered(spans, days, [], "first", "last", day)
 
 
 def calendar_items(instances: DataFrame) -> DataFrame:

@@ -208,14 +208,14 @@ def today_band(t: Load):
 WITH i AS (SELECT id, place, date, CAST(date AS TIMESTAMP) + to_minutes(CAST(left(start, 2) AS INTEGER) * 60 + CAST(right(start, 2) AS INTEGER)) AS s,
   CASE WHEN "end" IS NULL THEN NULL ELSE CAST(date AS TIMESTAMP) + to_minutes(CAST(left("end", 2) AS INTEGER) * 60 + CAST(right("end", 2) AS INTEGER) + CASE WHEN "end" < start THEN 1440 ELSE 0 END) END AS e
   FROM happenings WHERE start IS NOT NULL AND NOT all_day)
-SELECT a.date AS day, a.id AS a_id, b.id AS b_id FROM i a JOIN i b ON a.date = b.date AND a.place % 10 = b.place % 10 AND (b.s > a.s OR (b.s = a.s AND b.id > a.id)) AND (a.s = b.s OR b.s < a.e)
+SELECT a.date AS day, a.id AS a_id, b.id AS b_id FROM i a JOIN i b ON a.date = b.date AND (b.s > a.s OR (b.s = a.s AND b.id > a.id)) AND (a.s = b.s OR b.s < a.e)
 """)
 def overlap_join(t: Load):
-    """Pairs of events of one day and neighbourhood that are on at once."""
+    """Pairs of events of one day that are on at once."""
     at = lambda c: F.col("date").cast("timestamp") + F.make_dt_interval(mins=F.substring(c, 1, 2).cast("int") * 60 + F.substring(c, 4, 2).cast("int"))
     e = at("end") + F.when(F.col("end") < F.col("start"), F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
-    items = t("happenings").where("start is not null and not all_day").select("id", F.struct("date", (F.col("place") % 10).alias("part")).alias("day"), at("start").alias("s"), e.alias("e"))
-    return S.overlap_join(items).select(F.col("a_day.date").alias("day"), "a_id", "b_id")
+    items = t("happenings").where("start is not null and not all_day").select("id", F.col("date").alias("day"), at("start").alias("s"), e.alias("e"))
+    return S.overlap_join(items).select(F.col("a_day").alias("day"), "a_id", "b_id")
 
 
 @query("""
@@ -223,7 +223,7 @@ WITH a AS (SELECT id, date AS s, end_date AS e, place FROM happenings WHERE stat
 SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON b.s <= a.e AND b.e >= a.s
 """)
 def interval_overlap(t: Load):
-    """Cancelled events and the featured ones that overlap them (day buckets)."""
+    """Cancelled events and the featured ones that overlap them."""
     part = lambda w: t("happenings").where(w).select("id", F.col("date").cast("timestamp").alias("s"), F.col("end_date").cast("timestamp").alias("e"))
     return S.interval_overlap(part("status = 'cancelled'"), part("featured and status <> 'cancelled'")).select("a_id", "b_id")
 
@@ -233,10 +233,9 @@ SELECT CAST(m AS DATE) AS month, count(*) AS runs FROM happenings, (SELECT DISTI
 """)
 def date_cover_join(t: Load):
     """Long runs by each month that they cover."""
-    runs = t("happenings").where("datediff(end_date, date) > 13")
-    covered = runs.select("id", F.explode(F.expr("sequence(trunc(date, 'MM'), trunc(end_date, 'MM'), interval 1 month)")).alias("month"))
+    runs = t("happenings").where("datediff(end_date, date) > 13").select("id", F.trunc("date", "MM").alias("first"), F.col("end_date").alias("last"))
     months = t("happenings").select(F.trunc("date", "MM").alias("month")).distinct()
-    return covered.join(months, "month", "left_semi").groupBy("month").agg(F.count("*").alias("runs"))
+    return S.date_cover(runs, months, "month").groupBy("p.month").agg(F.count("*").alias("runs"))
 
 
 @query("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import text as T
 from almanac.operators import consolidate as C
+from almanac.operators import likeness as L
 from almanac.operators import search as Q
 from almanac.plans.registry import METRES, Load, query
 
@@ -123,15 +124,27 @@ def dup_located(t: Load):
 
 
 @query("""
-WITH e AS (SELECT id, date, end_date, kind, place % 100 AS spot FROM happenings WHERE featured)
-SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND a.date <= b.end_date AND b.date <= a.end_date AND (a.kind = b.kind OR a.spot = b.spot)
+WITH w AS (SELECT l_orderkey AS id, string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS names FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+f AS (SELECT h.id AS id, date, end_date AS last, CASE h.id % 4 WHEN 0 THEN '3rd Annual ' WHEN 1 THEN 'The ' ELSE '' END || names || CASE WHEN h.id % 3 = 0 THEN ' 20' || (10 + h.id % 20) ELSE '' END AS title,
+  CASE WHEN h.id % 3 = 0 THEN place::VARCHAR ELSE replace(lower(n_name), '_', ' ') END AS spot
+  FROM happenings h LEFT JOIN w ON w.id = h.id JOIN customer ON c_custkey = place JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT id, date, last, spot, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '^the ', ''), '\\b(20\\d\\d|annual|\\d+(st|nd|rd|th))\\b', ' ', 'g'), ' +', ' ', 'g')) AS title FROM f),
+c AS (SELECT title, spot, date, last, min(id) AS id, count(*) AS n, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) > 2 AND w NOT IN ('and', 'the', 'for', 'with', 'vs'))) AS words FROM k WHERE title <> '' GROUP BY title, spot, date, last),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, a.title = b.title AS same, a.spot = b.spot AS here, len(list_intersect(a.words, b.words)) AS shared, least(len(a.words), len(b.words)) AS size
+  FROM c a JOIN c b ON a.date <= b.last AND b.date <= a.last AND a.id < b.id)
+SELECT a, b, CASE WHEN same THEN 'same title, overlapping dates' ELSE 'same place, ' || shared || ' title words shared' END AS reason, CASE WHEN NOT same THEN shared::INTEGER END AS shared, n_a, n_b
+FROM p WHERE same OR (here AND shared >= 2 AND shared / size >= 0.6)
+UNION ALL SELECT id, id, 'same title, overlapping dates', NULL, n, n FROM c WHERE n > 1
 """)
 def dup_events(t: Load):
-    """Featured events of one title key or spot whose dates overlap: two equi joins, each pair once."""
-    e = t("happenings").where("featured").select("id", "date", "end_date", F.explode(F.array(F.concat(F.lit("t"), "kind"), F.concat(F.lit("p"), (F.col("place") % 100).cast("string")))).alias("key"))
-    a, b = e.alias("a"), e.alias("b")
-    hit = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.date") <= F.col("b.end_date")) & (F.col("b.date") <= F.col("a.end_date"))
-    return a.join(b, hit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    """Events (orders titled by their parts) of one title, or of one spot and most title words, whose dates overlap."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "p_name")
+    names = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("o"))
+    names = names.select("id", F.array_join(F.transform("o", lambda x: x["p_name"]), " ").alias("names"))
+    where = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("place"), "n_name")
+    title = F.concat(F.expr("case id % 4 when 0 then '3rd Annual ' when 1 then 'The ' else '' end"), "names", F.expr("case when id % 3 = 0 then concat(' 20', 10 + id % 20) else '' end"))
+    e = t("happenings").join(names, "id", "left").join(where, "place")
+    return L.dup_events(e.select("id", title.alias("title"), F.when(F.col("id") % 3 == 0, F.col("place")).alias("place"), F.col("n_name").alias("location_text"), "date", "end_date"))
 
 
 @query(f"""
