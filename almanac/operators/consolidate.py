@@ -117,8 +117,8 @@ def dup_located(df: DataFrame, metres: float = 150) -> DataFrame:
     """
     e = df.select("id", "lat", "lng", F.explode(F.array_distinct("keys")).alias("key"))
     known = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    left = grid_cells(e.where(known), metres + 1, 60.0, False).select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "key", "_y", "_x")
-    right = grid_cells(e.where(known), metres + 1, 60.0, True).select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "key", "_y", "_x")
+    left = grid_cells(e.where(known), metres + 1, False).select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "key", "_y", "_x")
+    right = grid_cells(e.where(known), metres + 1, True).select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "key", "_y", "_x")
     d = F.round(haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2")))
     near = left.join(right, ["key", "_y", "_x"]).where((F.col("a") < F.col("b")) & (d <= metres)).select("a", "b", "key")
     lost = e.where(~known).select(F.col("id").alias("u"), "key")

@@ -1,8 +1,11 @@
 """Joins and groupings by distance. Points are columns id, lat, lng (degrees).
 
-Distance joins go by grid cells: one side keeps its own cell, the other is
-repeated in the 3 x 3 cells around; an equi join on the cell and the exact
-distance follow. Points without coordinates are in no cell.
+Distance joins go by cells in bands of latitude: a band has so many cells around
+the globe that each is as wide as the distance at least. One side keeps its own
+cell, the other is repeated in the cells of its own and the neighbouring bands
+that the distance can reach, across the date line and around the poles; an equi
+join on the cell and the exact distance follow. Points without coordinates are
+in no cell.
 """
 
 from __future__ import annotations
@@ -12,31 +15,41 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.geo import DEGREE, boxes_meet, haversine
+from almanac.functions.geo import DEGREE, EARTH, boxes_meet, haversine
 from almanac.sources.shared import written
 
-#: Half the earth's circumference: no two points are farther apart.
-FARTHEST = 20_100_000.0
+#: Points that a cube may have at the end of a search for the nearest, levels after which it ends (cubes of some metres), and what straight lines on the unit sphere are rounded by.
+LEAF = 32
+DEEPEST = 11
+ROUNDING = 1e-12
 
 
-def grid_cells(df: DataFrame, metres: float, max_lat: float, around: bool) -> DataFrame:
-    """The rows with their cell _y, _x, or repeated in the cells around it; cells are as wide as a distance."""
-    lat, lng = metres * 1.01 / DEGREE, metres * 1.01 / (DEGREE * math.cos(math.radians(max_lat)))
-    y, x = F.floor(F.col("lat") / lat), F.floor(F.col("lng") / lng)
-    df = df.where("lat is not null and lng is not null")
+def grid_cells(df: DataFrame, metres: float, around: bool) -> DataFrame:
+    """The rows with their cell _y, _x, or repeated in the cells that a distance can reach from them."""
+    height = metres * 1.01 / DEGREE
+    # cells of a band: as wide as the distance at the band's narrow side
+    edge = lambda y: F.least(F.lit(90.0), F.greatest(F.abs(y * height), F.abs((y + 1) * height)))
+    cells = lambda y: F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge(y))) * (360 / height))).cast("bigint")
+    at = lambda lng, y: F.floor((lng + 180) / 360 * cells(y)).cast("bigint")
+    df, y = df.where("lat is not null and lng is not null"), F.floor(F.col("lat") / height)
     if not around:
-        return df.withColumn("_y", y).withColumn("_x", x)
-    near = F.array(*(F.lit(k).cast("bigint") for k in (-1, 0, 1)))
-    return df.withColumn("_y", F.explode(F.transform(near, lambda k: y + k))).withColumn("_x", F.explode(F.transform(near, lambda k: x + k)))
-
-
-def radius_join(a: DataFrame, b: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
-    """a_id, b_id, d of all pairs within a distance (inclusive).
-
-    max_lat bounds the latitudes' size; far beyond it cells would be too narrow.
-    """
-    p = grid_cells(a.select("id", "lat", "lng"), metres, max_lat, False).select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), "_y", "_x")
-    q = grid_cells(b.select("id", "lat", "lng"), metres, max_lat, True).select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), "_y", "_x")
+        return df.withColumn("_y", y).withColumn("_x", F.pmod(at(F.col("lng"), y), cells(y)))
+    reach = metres * 1.01 / EARTH
+    if reach < math.pi / 2:
+        side = F.degrees(F.asin(F.lit(math.sin(reach)) / F.cos(F.radians("lat"))))  # the farthest meridian that the circle touches
+        side = F.when(F.abs("lat") + math.degrees(reach) < 90, side).otherwise(180.0)
+    else:
+        side = F.lit(180.0)
+    df = df.withColumn("_y", F.explode(F.transform(F.array(*(F.lit(k).cast("bigint") for k in (-1, 0, 1))), lambda k: y + k))).withColumn("_side", side)
+    first, last, n = at(F.col("lng") - F.col("_side"), F.col("_y")), at(F.col("lng") + F.col("_side"), F.col("_y")), cells(F.col("_y"))
+    wide = F.when(last - first + 1 >= n, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, n)))
+    return df.withColumn("_x", F.explode(wide)).drop("_side")
+
+
+def radius_join(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
+    """a_id, b_id, d of all pairs within a distance (inclusive), anywhere on the sphere."""
+    p = grid_cells(a.select("id", "lat", "lng"), metres, False).select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), "_y", "_x")
+    q = grid_cells(b.select("id", "lat", "lng"), metres, True).select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), "_y", "_x")
     d = haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
     return p.join(q, ["_y", "_x"]).withColumn("d", d).where(F.col("d") <= metres).select("a_id", "b_id", "d")
 
@@ -54,24 +67,52 @@ def radius_fallback(a: DataFrame, b: DataFrame, near: float, far: float, n: int)
     return nearest_n(kept, n).select("a_id", "b_id", "d", "rank", F.col("_near").alias("near"))
 
 
-def nearest_one(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+def _vector(df: DataFrame) -> DataFrame:
+    """The rows with their point on the unit sphere in _v0, _v1, _v2."""
+    lat, lng = F.radians("lat"), F.radians("lng")
+    return df.withColumn("_v0", F.cos(lat) * F.cos(lng)).withColumn("_v1", F.cos(lat) * F.sin(lng)).withColumn("_v2", F.sin(lat))
+
+
+def _cube(level: int) -> Column:
+    """A point's cube at a level: the space around the sphere is cut in 4 along each axis from level to level."""
+    return F.array(*(F.floor((F.col(f"_v{k}") + 1) * 4**level / 2).cast("bigint") for k in range(3)))
+
+
+def _straight(v: list[Column], w: list[Column]) -> Column:
+    return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(v, w, strict=True)), F.lit(0.0)))
+
+
+def nearest_one(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_id, b_id, d of the nearest b of each a, however far; ties by b_id.
 
-    The first search goes as far as ``reach``; rows without a hit search again
-    with twice the reach, so dense areas never look far. Nulls only where a has
-    no coordinates or no b has any.
+    A search down a tree of cubes around the sphere. Of each cube that holds
+    points of b one point is known; the nearest known one bounds a row's
+    distance, and cubes that begin beyond it are left. So a row meets a few
+    cubes a level and the points of its last ones, be it amid a crowd or far
+    out. Levels go on until no cube has more than ``LEAF`` different points.
+    Nulls only where a has no coordinates or no b has any.
     """
-    left = a.select("id", "lat", "lng").where("lat is not null and lng is not null")
-    b = b.select("id", "lat", "lng").where("lat is not null and lng is not null")
-    found: DataFrame | None = None
-    while found is None or reach < FARTHEST:
-        reach = min(reach if found is None else 2 * reach, FARTHEST)
-        best = written(radius_join(left, b, reach).groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("m")).select("a_id", "m.b_id", "m.d"))
-        found = best if found is None else found.unionByName(best)
-        left = written(left.join(best.select(F.col("a_id").alias("id")), "id", "left_anti"))
-        if left.isEmpty() or b.isEmpty():
-            break
-    return a.select(F.col("id").alias("a_id")).join(found, "a_id", "left")
+    me, you = [F.col(f"a.v{k}") for k in range(3)], [F.col(f"_v{k}") for k in range(3)]
+    left = written(_vector(a.select("id", "lat", "lng").where("lat is not null and lng is not null")).select(F.struct("id", "lat", "lng", *(F.col(f"_v{k}").alias(f"v{k}") for k in range(3))).alias("a")))
+    points = written(_vector(b.where("lat is not null and lng is not null").groupBy("lat", "lng").agg(F.min("id").alias("id"))))
+    level, front = 0, left.withColumn("cube", F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<bigint>"))
+    full = points.count()
+    while full > LEAF and level < DEEPEST:
+        level += 1
+        cubes = written(points.groupBy(_cube(level).alias("_cube")).agg(F.count("*").alias("_n"), F.min(F.struct(*you)).alias("_m")).select("_cube", "_n", "_m.*"))
+        full = cubes.agg(F.max("_n")).first()[0]
+        parent = F.transform("_cube", lambda c: F.floor(c / 4).cast("bigint")) if level > 1 else F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<bigint>")
+        met = front.join(cubes.withColumn("cube", parent), "cube")
+        size = 2 / 4**level
+        corner = [F.get("_cube", F.lit(k)) * size - 1 for k in range(3)]
+        inside = [F.greatest(c, F.least(c + size, v)) for c, v in zip(corner, me, strict=True)]  # the cube's nearest point
+        met = met.select("a", "_cube", _straight(me, you).alias("known"), _straight(me, inside).alias("begins"))
+        bound = met.groupBy(F.col("a.id").alias("_id")).agg(F.min("known").alias("bound"))
+        front = written(met.join(bound, F.col("a.id") == F.col("_id")).where(F.col("begins") <= F.col("bound") + ROUNDING).select("a", F.col("_cube").alias("cube")).distinct())
+    ends = points.withColumn("cube", _cube(level) if level else F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<bigint>"))
+    d = haversine(F.col("a.lat"), F.col("a.lng"), F.col("lat"), F.col("lng"))
+    best = front.join(ends, "cube").groupBy(F.col("a.id").alias("a_id")).agg(F.min(F.struct(d.alias("d"), F.col("id").alias("b_id"))).alias("m")).select("a_id", "m.b_id", "m.d")
+    return a.select(F.col("id").alias("a_id")).join(best, "a_id", "left")
 
 
 def boxes_join(x: DataFrame, y: DataFrame, margin: float, size: float) -> DataFrame:
@@ -97,20 +138,6 @@ def near_point(df: DataFrame, lat: float, lng: float, metres: float, same_place:
     return out if same_place else out.where("d > 0.5")
 
 
-def grid_cluster(df: DataFrame, size: float) -> DataFrame:
-    """cell_y, cell_x, n, lat, lng (centroid) of the points of each grid cell.
-
-    Cells are fixed, so a cluster does not depend on the order of the points.
-    """
-    return df.where("lat is not null and lng is not null").groupBy(F.floor(F.col("lat") / size).alias("cell_y"), F.floor(F.col("lng") / size).alias("cell_x")).agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
-
-
-def distinct_points(df: DataFrame, keys: list[str], order: list[str], size: float) -> DataFrame:
-    """Of the points of one cell, the first by an order (cells instead of "near an earlier one")."""
-    w = Window.partitionBy(*keys, F.floor(F.col("lat") / size), F.floor(F.col("lng") / size)).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def medoid(df: DataFrame, group: str) -> DataFrame:
     """group, id, total: the member with the least summed distance to the others of its group.
 

@@ -123,6 +123,6 @@ def with_inputs(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({INPUTS[n]})" for n in used)
     body = sql.strip()
-    if re.match(r"with\b(?!\s+recursive)", body, re.I):
-        return f"WITH {ctes},\n{body[4:]}"
+    if own := re.match(r"with\b(\s+recursive\b)?", body, re.I):
+        return f"WITH{own[1] or ''} {ctes},\n{body[own.end() :]}"
     return f"WITH {ctes}\n{body}"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.functions import geo as G
+from almanac.operators import clusters as K
 from almanac.operators import ranking as R
 from almanac.operators import spatial as S
 from almanac.plans.registry import METRES, Load, query
@@ -53,8 +54,8 @@ def radius_fallback(t: Load):
 
 @query(f"WITH p AS (SELECT a.id AS a_id, b.id AS b_id, {PAIR} AS d FROM places a JOIN stays b ON true), m AS (SELECT a_id, arg_min(b_id, (d, b_id)) AS b_id, min(d) AS d FROM p GROUP BY a_id) SELECT places.id AS a_id, b_id, CAST(round(d) AS BIGINT) AS metres FROM places LEFT JOIN m ON places.id = a_id")
 def nearest_one(t: Load):
-    """The nearest stay of each place; the first search goes 20 km far."""
-    return S.nearest_one(t("places"), t("stays"), 20000).select("a_id", "b_id", F.round("d").cast("bigint").alias("metres"))
+    """The nearest stay of each place, however far."""
+    return S.nearest_one(t("places"), t("stays")).select("a_id", "b_id", F.round("d").cast("bigint").alias("metres"))
 
 
 @query(f"WITH p AS (SELECT a.id AS a_id, b.id AS b_id, {PAIR} AS d FROM stays a JOIN (SELECT h.id, lat, lng, date FROM happenings h JOIN places ON h.place = places.id WHERE status <> 'cancelled' AND end_date >= DATE '1997-06-15') b ON {PAIR} <= 2000) SELECT a_id, b_id FROM p")
@@ -115,14 +116,30 @@ def bbox_intersects(t: Load):
     return S.boxes_join(b, b, 0.06, 0.25).where("a < b")
 
 
-@query("SELECT CAST(floor(lat / 0.05) AS BIGINT) AS cell_y, CAST(floor(lng / 0.05) AS BIGINT) AS cell_x, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM places GROUP BY 1, 2")
+@query("""
+WITH RECURSIVE p AS (SELECT id, lng AS x, lat AS y, row_number() OVER (ORDER BY -score, id) AS i FROM places),
+g AS (SELECT 0::BIGINT AS i, []::STRUCT(i BIGINT, x DOUBLE, y DOUBLE)[] AS seeds
+  UNION ALL SELECT p.i, CASE WHEN len(list_filter(seeds, lambda s: sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) < 0.01)) > 0 THEN seeds ELSE list_append(seeds, {'i': p.i, 'x': p.x, 'y': p.y}) END FROM g JOIN p ON p.i = g.i + 1),
+s AS (SELECT unnest(seeds, recursive := true) FROM (SELECT seeds FROM g ORDER BY i DESC LIMIT 1)),
+j AS (SELECT p.*, s.i AS seed, row_number() OVER (PARTITION BY p.i ORDER BY s.i <> p.i, floor(s.x / 0.01), sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)), floor(s.y / 0.01), s.i) AS k
+  FROM p JOIN s ON s.i <= p.i AND sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) < 0.01)
+SELECT f.id AS seed, count(*) AS n, round(avg(j.y), 6) AS lat, round(avg(j.x), 6) AS lng FROM j JOIN p f ON f.i = j.seed WHERE k = 1 GROUP BY f.id
+""")
 def grid_cluster(t: Load):
-    return S.grid_cluster(t("places"), 0.05).select("cell_y", "cell_x", "n", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+    """Places around seeds, the best ones first, within 0.01 degrees."""
+    p = t("places").select("id", (-F.col("score")).alias("first"), F.col("lng").alias("x"), F.col("lat").alias("y"))
+    return K.grid_cluster(p, ["first", "id"], 0.01).select(F.col("seed.id").alias("seed"), "n", F.round("y", 6).alias("lat"), F.round("x", 6).alias("lng"))
 
 
-@query("SELECT id, area FROM places QUALIFY row_number() OVER (PARTITION BY area, floor(lat / 0.0004), floor(lng / 0.0004) ORDER BY id) = 1")
+@query("""
+WITH RECURSIVE p AS (SELECT id, area, lng AS x, lat AS y, row_number() OVER (PARTITION BY area ORDER BY id) AS i FROM places),
+g AS (SELECT DISTINCT area, 0::BIGINT AS i, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM p
+  UNION ALL SELECT p.area, p.i, CASE WHEN len(list_filter(kept, lambda s: abs(s.x - p.x) < 0.0004 AND abs(s.y - p.y) < 0.0004)) > 0 THEN kept ELSE list_append(kept, {'id': p.id, 'x': p.x, 'y': p.y}) END FROM g JOIN p ON p.area = g.area AND p.i = g.i + 1)
+SELECT area, unnest(kept).id AS id FROM (SELECT area, arg_max(kept, i) AS kept FROM g GROUP BY area)
+""")
 def distinct_points(t: Load):
-    return S.distinct_points(t("places"), ["area"], ["id"], 0.0004).select("id", "area")
+    """Places that no earlier kept one of their area is within 0.0004 degrees of."""
+    return K.distinct_points(t("places").select("id", "area", F.col("lng").alias("x"), F.col("lat").alias("y")), ["area"], ["id"], 0.0004).select("id", "area")
 
 
 @query(f"WITH c AS (SELECT n_regionkey AS region, area AS id, avg(lat) AS lat, avg(lng) AS lng FROM places JOIN nation ON area = n_nationkey GROUP BY ALL), s AS (SELECT a.region, a.id, sum({PAIR}) AS total FROM c a JOIN c b ON a.region = b.region GROUP BY ALL) SELECT region, arg_min(id, (total, id)) AS id FROM s GROUP BY region")

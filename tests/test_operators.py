@@ -180,9 +180,9 @@ def test_components(spark):
 def test_nearest_one_has_no_bound(spark):
     a = spark.createDataFrame([(1, 10.0, 10.0), (2, -40.0, 170.0), (3, None, 5.0)], "id int, lat double, lng double")
     b = spark.createDataFrame([(7, 10.01, 10.0), (8, 10.0, 10.01), (9, 55.0, -120.0)], "id int, lat double, lng double")
-    got = {r.a_id: r.b_id for r in S.nearest_one(a, b, 5000).collect()}
+    got = {r.a_id: r.b_id for r in S.nearest_one(a, b).collect()}
     assert got[1] == 8 and got[2] == 9 and got[3] is None
-    assert [r.b_id for r in S.nearest_one(a, b.where("id < 0"), 5000).collect()] == [None] * 3
+    assert [r.b_id for r in S.nearest_one(a, b.where("id < 0")).collect()] == [None] * 3
 
 
 def test_boxes_join_is_all_pairs(spark):

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import intervals, likeness
+from almanac.operators import clusters, intervals, likeness, spatial
 
 DAY = datetime.date(2026, 1, 1)
 
@@ -115,3 +115,107 @@ def test_titles_against_all_pairs(spark):
 def test_events_of_the_listings(spark):
     rows = [(1, "Guavaween 2026", "ybor", None, datetime.date(2026, 10, 24), None), (2, "Guavaween", None, None, datetime.date(2026, 10, 24), None), (3, "Guavaween", None, None, datetime.date(2027, 10, 23), None)]
     assert [(r.a, r.b) for r in likeness.dup_events(spark.createDataFrame(rows, EVENTS)).collect()] == [(1, 2)]
+
+
+# Clusters in seed order
+
+
+def serial_groups(points, radius):
+    """Seeds in order; a point joins the nearest group of the first column of cells that has one."""
+    groups, cells = [], {}
+    for p in points:
+        cx, cy = math.floor(p[1] / radius), math.floor(p[2] / radius)
+        hit, best = None, math.inf
+        for i in (-1, 0, 1):
+            if hit is not None:
+                break
+            for j in (-1, 0, 1):
+                for g in cells.get((cx + i, cy + j), []):
+                    d = math.sqrt((p[1] - groups[g][0][1]) ** 2 + (p[2] - groups[g][0][2]) ** 2)
+                    if d < radius and d < best:
+                        hit, best = g, d
+        if hit is None:
+            cells.setdefault((cx, cy), []).append(len(groups))
+            groups.append([p])
+        else:
+            groups[hit].append(p)
+    return sorted((g[0][0], len(g), round(sum(p[1] for p in g) / len(g), 6), round(sum(p[2] for p in g) / len(g), 6)) for g in groups)
+
+
+def scattered(seed, n):
+    r = random.Random(seed)
+    out = [(i, r.choice([r.random() * 10, r.gauss(5, 0.3)]), r.choice([r.random() * 10, r.gauss(5, 0.3)])) for i in range(n)]
+    return out + [(n + i, 5.0, 5.0) for i in range(100)] + [(2 * n + i, 0.4 * i, -3.0) for i in range(20)]  # a crowd; a chain
+
+
+POINTS = "id long, x double, y double"
+
+
+@pytest.mark.parametrize("radius", [0.5, 2.0])
+def test_clusters_are_the_serial_ones(spark, radius):
+    points = scattered(3, 400)
+    random.Random(1).shuffle(points)
+    order = {p[0]: i for i, p in enumerate(sorted(points, key=lambda p: (p[0] * 7919 % 1000, p[0])))}
+    rows = spark.createDataFrame([*points, (9999, None, 1.0)], POINTS).withColumn("rank", F.col("id") * 7919 % 1000)
+    got = sorted((r.seed.id, r.n, round(r.x, 6), round(r.y, 6)) for r in clusters.grid_cluster(rows, ["rank", "id"], radius).collect())
+    assert got == serial_groups(sorted(points, key=lambda p: order[p[0]]), radius)
+
+
+def test_clusters_of_nothing(spark):
+    empty = spark.createDataFrame([(1, None, None)], POINTS)
+    assert clusters.grid_cluster(empty, ["id"], 1.0).collect() == [] and clusters.distinct_points(empty, [], ["id"], 1.0).collect() == []
+
+
+def test_distinct_points_are_the_serial_ones(spark):
+    points = [(i, i % 3, round(x, 1), round(y, 1)) for i, x, y in scattered(8, 300)]
+    kept = []
+    for p in points:
+        if not any(q[1] == p[1] and abs(q[2] - p[2]) < 0.7 and abs(q[3] - p[3]) < 0.7 for q in kept):
+            kept.append(p)
+    rows = spark.createDataFrame(points, "id long, k long, x double, y double")
+    assert sorted((r.k, r.id) for r in clusters.distinct_points(rows, ["k"], ["id"], 0.7).collect()) == sorted((p[1], p[0]) for p in kept)
+
+
+# Distances on the whole sphere
+
+
+def metres(a, b):
+    p, q = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def globe(seed, n):
+    r = random.Random(seed)
+    some = [(r.choice([r.uniform(-90, 90), r.gauss(80, 0.2), r.gauss(0, 0.2), -89.99, 90.0]), r.choice([r.uniform(-180, 180), r.gauss(180, 0.3), r.gauss(-180, 0.3), 0.0])) for _ in range(n)]
+    return [(i, max(-90.0, min(90.0, lat)), (lng + 180) % 360 - 180 if i % 9 else lng) for i, (lat, lng) in enumerate(some)]
+
+
+SPHERE = "id long, lat double, lng double"
+
+
+@pytest.mark.parametrize("reach", [500, 20_000, 2_000_000, 15_000_000])
+def test_radius_anywhere(spark, reach):
+    a, b = globe(1, 150), globe(2, 120)
+    got = {(r.a_id, r.b_id) for r in spatial.radius_join(spark.createDataFrame([*a, (999, None, 1.0)], SPHERE), spark.createDataFrame(b, SPHERE), reach).collect()}
+    clear = {(p[0], q[0]): metres(p, q) for p in a for q in b}
+    assert {k for k, d in clear.items() if d <= reach - 1e-3} <= got <= {k for k, d in clear.items() if d <= reach + 1e-3}
+    assert got
+
+
+def test_date_line_and_far_north(spark):
+    t = spark.createDataFrame([(1, 0.0, 179.95), (2, 0.0, -179.95), (3, 0.0, 178.0), (4, 80.0, 10.0), (5, 80.0, 10.9)], SPHERE)
+    assert sorted((r.a_id, r.b_id) for r in spatial.radius_join(t, t, 20_000).where("a_id <> b_id").collect()) == [(1, 2), (2, 1), (4, 5), (5, 4)]
+    assert {r.a_id: r.b_id for r in spatial.nearest_one(t.where("id = 1"), t.where("id in (2, 3)")).collect()} == {1: 2}
+
+
+@pytest.mark.parametrize("leaf", [1, 32])
+def test_nearest_anywhere(spark, monkeypatch, leaf):
+    monkeypatch.setattr(spatial, "LEAF", leaf)
+    b = globe(5, 200) + [(1000 + i, 12.5, 12.5) for i in range(50)] + [(2000 + i, 12.5 + i * 1e-5, 12.5) for i in range(100)]
+    a = globe(6, 120) + [(500, 12.5, 12.5), (501, -12.5, -167.5), (502, None, 3.0)]
+    got = {r.a_id: (r.b_id, r.d) for r in spatial.nearest_one(spark.createDataFrame(a, SPHERE), spark.createDataFrame(b, SPHERE)).collect()}
+    assert len(got) == len(a) and got[502] == (None, None) and got[500][0] == 1000
+    for p in a[:-1]:
+        least = min(metres(p, q) for q in b)
+        assert abs(got[p[0]][1] - least) < 1e-3 and abs(metres(p, next(q for q in b if q[0] == got[p[0]][0])) - least) < 1e-3
