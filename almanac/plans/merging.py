@@ -126,7 +126,7 @@ def dup_located(t: Load):
 @query("""
 WITH w AS (SELECT l_orderkey AS id, string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS names FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
 f AS (SELECT h.id AS id, date, end_date AS last, CASE h.id % 4 WHEN 0 THEN '3rd Annual ' WHEN 1 THEN 'The ' ELSE '' END || names || CASE WHEN h.id % 3 = 0 THEN ' 20' || (10 + h.id % 20) ELSE '' END AS title,
-  CASE WHEN h.id % 3 = 0 THEN place::VARCHAR ELSE replace(lower(n_name), '_', ' ') END AS spot
+  CASE WHEN h.id % 3 = 0 THEN place::VARCHAR ELSE replace(lower(n_name), '_', ' ') || ' ' || lower(c_mktsegment) END AS spot
   FROM happenings h LEFT JOIN w ON w.id = h.id JOIN customer ON c_custkey = place JOIN nation ON c_nationkey = n_nationkey),
 k AS (SELECT id, date, last, spot, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '^the ', ''), '\\b(20\\d\\d|annual|\\d+(st|nd|rd|th))\\b', ' ', 'g'), ' +', ' ', 'g')) AS title FROM f),
 c AS (SELECT title, spot, date, last, min(id) AS id, count(*) AS n, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) > 2 AND w NOT IN ('and', 'the', 'for', 'with', 'vs'))) AS words FROM k WHERE title <> '' GROUP BY title, spot, date, last),
@@ -141,10 +141,10 @@ def dup_events(t: Load):
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "p_name")
     names = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("o"))
     names = names.select("id", F.array_join(F.transform("o", lambda x: x["p_name"]), " ").alias("names"))
-    where = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("place"), "n_name")
+    where = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("place"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("spot"))
     title = F.concat(F.expr("case id % 4 when 0 then '3rd Annual ' when 1 then 'The ' else '' end"), "names", F.expr("case when id % 3 = 0 then concat(' 20', 10 + id % 20) else '' end"))
     e = t("happenings").join(names, "id", "left").join(where, "place")
-    return L.dup_events(e.select("id", title.alias("title"), F.when(F.col("id") % 3 == 0, F.col("place")).alias("place"), F.col("n_name").alias("location_text"), "date", "end_date"))
+    return L.dup_events(e.select("id", title.alias("title"), F.when(F.col("id") % 3 == 0, F.col("place")).alias("place"), F.col("spot").alias("location_text"), "date", "end_date"))
 
 
 @query(f"""

@@ -123,12 +123,12 @@ g AS (SELECT 0::BIGINT AS i, []::STRUCT(i BIGINT, x DOUBLE, y DOUBLE)[] AS seeds
 s AS (SELECT unnest(seeds, recursive := true) FROM (SELECT seeds FROM g ORDER BY i DESC LIMIT 1)),
 j AS (SELECT p.*, s.i AS seed, row_number() OVER (PARTITION BY p.i ORDER BY s.i <> p.i, floor(s.x / 0.01), sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)), floor(s.y / 0.01), s.i) AS k
   FROM p JOIN s ON s.i <= p.i AND sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) < 0.01)
-SELECT f.id AS seed, count(*) AS n, round(avg(j.y), 6) AS lat, round(avg(j.x), 6) AS lng FROM j JOIN p f ON f.i = j.seed WHERE k = 1 GROUP BY f.id
+SELECT f.id AS seed, count(*) AS n, round(avg(j.y), 8) AS lat, round(avg(j.x), 8) AS lng FROM j JOIN p f ON f.i = j.seed WHERE k = 1 GROUP BY f.id
 """)
 def grid_cluster(t: Load):
     """Places around seeds, the best ones first, within 0.01 degrees."""
     p = t("places").select("id", (-F.col("score")).alias("first"), F.col("lng").alias("x"), F.col("lat").alias("y"))
-    return K.grid_cluster(p, ["first", "id"], 0.01).select(F.col("seed.id").alias("seed"), "n", F.round("y", 6).alias("lat"), F.round("x", 6).alias("lng"))
+    return K.grid_cluster(p, ["first", "id"], 0.01).select(F.col("seed.id").alias("seed"), "n", F.round("y", 8).alias("lat"), F.round("x", 8).alias("lng"))
 
 
 @query("""
