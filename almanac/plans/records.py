@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from almanac.operators import evidence as V
 from almanac.operators import facets as X
 from almanac.operators import ranking as R
 from almanac.operators import references as J
@@ -162,11 +163,24 @@ def layered_visibility(t: Load):
     return t("part").where((F.col("p_partkey") % 50 == 0) | (kinds & (F.col("p_size") > 10) & ((F.col("p_brand") != "Brand#11") | (F.col("p_retailprice") > 1000)))).select(F.col("p_partkey").alias("id"))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z])(the|that)[a-z]*ing([^a-z]|$)') AND NOT contains(lower(text), 'license')")
+_ELSEWHERE = ["Apache License", "MIT License", "GNU General Public License", "CC BY-NC"]
+_WORDS = "list_distinct(list_filter(string_split(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 40 AS item_id, text, {_WORDS.format("replace(text, '&', ' and ')")} AS words FROM documents),
+c AS (SELECT list(w) AS common FROM (SELECT w FROM (SELECT unnest(words) AS w FROM d) GROUP BY w HAVING count(*) >= 0.02 * (SELECT count(*) FROM d))),
+n AS (SELECT item_id, text AS name, list_filter({_WORDS.format("text")}, lambda w: length(w) >= 3 AND w <> 'the') AS words FROM benchmark),
+t AS (SELECT item_id, name, CASE WHEN len(list_filter(words, lambda w: NOT list_contains(common, w))) > 0 THEN list_filter(words, lambda w: NOT list_contains(common, w)) ELSE words END AS tokens FROM n, c),
+p AS (SELECT d.doc_id, d.item_id, d.words, tokens, name, nullif(regexp_extract(d.text, '({'|'.join(_ELSEWHERE)})', 1), '') AS place FROM d JOIN t ON d.item_id = t.item_id),
+m AS (SELECT doc_id, item_id, CASE WHEN NOT contains(name, place) THEN place END AS far, len(list_filter(words, lambda w: len(list_filter(tokens, lambda k: k = w OR (length(k) >= 5 AND length(w) >= 5 AND (starts_with(w, k) OR starts_with(k, w))))) > 0)) > 0 AS mentioned FROM p)
+SELECT doc_id, item_id, mentioned, far, mentioned AND far IS NULL AS kept FROM m
+""")
 def text_evidence_filter(t: Load):
-    """Texts with a telling word, unless they say they belong elsewhere."""
-    k = F.lower("text")
-    return t("documents").where(k.rlike("(^|[^a-z])(the|that)[a-z]*ing([^a-z]|$)") & ~F.contains(k, F.lit("license"))).select("doc_id")
+    """Whether each document's text shows that it is about its item (words in 2 % of the texts tell nothing) and not elsewhere."""
+    texts = t("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("subject"), "text")
+    subjects = t("benchmark").select(F.col("item_id").alias("subject"), F.array("text").alias("names"))
+    return V.text_evidence(texts, subjects, V.common_words(texts, 0.02), ["the"], _ELSEWHERE).select(F.col("id").alias("doc_id"), F.col("subject").alias("item_id"), "mentioned", "far", "kept")
 
 
 @query("SELECT id, area, rank, total FROM (SELECT id, area, CAST(row_number() OVER (PARTITION BY area ORDER BY score DESC, id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY area) AS total FROM places) WHERE rank <= 3")

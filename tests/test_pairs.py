@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import clusters, intervals, likeness, spatial
+from almanac.operators import clusters, evidence, intervals, likeness, spatial
 
 DAY = datetime.date(2026, 1, 1)
 
@@ -219,3 +219,28 @@ def test_nearest_anywhere(spark, monkeypatch, leaf):
     for p in a[:-1]:
         least = min(metres(p, q) for q in b)
         assert abs(got[p[0]][1] - least) < 1e-3 and abs(metres(p, next(q for q in b if q[0] == got[p[0]][0])) - least) < 1e-3
+
+
+# Evidence of a text
+
+
+def test_evidence_against_a_plain_version(spark):
+    r = random.Random(2)
+    some = ["gulf", "gulfport", "casino", "casi", "casinos", "pier", "park", "florida", "sunken", "sunkengarden", "the", "Key West", "Ocala", "ab", "é&x"]
+    subjects = [(1, ["Gulfport Casino", None]), (2, ["The Park"]), (3, ["Sunken Gardens", "Key West Pier"]), (4, ["the"]), (5, None)]
+    texts = [(i, r.choice([1, 2, 3, 4, 5, 6, None]), r.choice([None, "", *[" ".join(r.choice(some) for _ in range(r.randint(1, 4)))] * 20])) for i in range(300)]
+    words = lambda s: {w for w in re.sub(r"[^a-z0-9]+", " ", (s or "").lower().replace("é", "e").replace("&", " and ")).split()}
+    want = set()
+    for i, k, text in texts:
+        names = [n for n in dict(subjects).get(k) or [] if n]
+        every = {w for n in names for w in words(n) if len(w) >= 3 and w != "the"}
+        tokens = {w for w in every if w not in ("park", "florida")} or every
+        if not tokens:
+            continue
+        said = any(w in tokens or any(len(w) >= 5 and len(t) >= 5 and (w.startswith(t) or t.startswith(w)) for t in tokens) for w in words(text))
+        found = re.search(r"(?<!\w)(Key West|Ocala)(?!\w)", text or "")
+        far = found[1] if found and not any(found[1] in n for n in names) else None
+        want.add((i, k, said, far, said and far is None))
+    generic = spark.createDataFrame([("park",), ("florida",)], "word string")
+    got = evidence.text_evidence(spark.createDataFrame(texts, "id long, subject long, text string"), spark.createDataFrame(subjects, "subject long, names array<string>"), generic, ["the"], ["Key West", "Ocala"])
+    assert {tuple(r) for r in got.collect()} == want and len({w[2:] for w in want}) >= 4
