@@ -22,6 +22,11 @@ def ny_time(instant: Column) -> Column:
     return F.from_utc_timestamp(instant, ZONE)
 
 
+def ny_midnight(date: Column) -> Column:
+    """Instant at which a day begins in New York."""
+    return F.to_utc_timestamp(date.cast("timestamp"), ZONE)
+
+
 def ny_offset(instant: Column) -> Column:
     """Minutes that New York is ahead of UTC."""
     return ((F.unix_timestamp(ny_time(instant)) - F.unix_timestamp(instant)) / 60).cast("int")

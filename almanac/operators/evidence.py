@@ -8,8 +8,10 @@ letters or more one begins the other. A text that names a place elsewhere
 first counts only for a subject whose names hold that place too.
 
 The tokens and their first five letters are two short arrays a subject, so a
-text's words are looked up where they are and never leave their row. Subjects
-are dealt in copies, so a subject with a third of all texts is no single task.
+text's words are looked up where they are and never leave their row. Where all
+names have no more than ``BROADCAST`` characters the arrays go to every task and
+texts stay where they are; beyond it subjects are dealt in copies, so a subject
+with a third of all texts is no single task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from almanac.functions.text import alias_key
 SHORTEST = 3
 STEM = 5
 SALTS = 8
+BROADCAST = 8_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -64,8 +67,13 @@ def text_evidence(texts: DataFrame, subjects: DataFrame, generic: DataFrame, nev
     without tokens is mentioned nowhere, and its texts are left out like those
     of unknown subjects.
     """
-    t = subject_tokens(subjects, generic, never).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = texts.select("id", "subject", "text", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt")).join(t, ["subject", "_salt"])
+    t = subject_tokens(subjects, generic, never)
+    size = subjects.select(F.aggregate("names", F.lit(0).cast("long"), lambda a, n: a + F.coalesce(F.length(n), F.lit(0))).alias("n")).agg(F.sum(F.coalesce("n", F.lit(0)) + 100)).first()[0] or 0
+    if size <= BROADCAST:
+        rows = texts.select("id", "subject", "text").join(F.broadcast(t), "subject")
+    else:
+        t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = texts.select("id", "subject", "text", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt")).join(t, ["subject", "_salt"])
     place = F.lit(None).cast("string")
     if elsewhere:
         place = F.nullif(F.regexp_extract("text", rf"(?<!\w)({'|'.join(map(re.escape, elsewhere))})(?!\w)", 1), F.lit(""))

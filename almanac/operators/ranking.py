@@ -29,6 +29,23 @@ def diverse_top_n(df: DataFrame, keys: list[str], family: str, special: Column,
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("step", *order))).where(F.col("rank") <= n).drop("_special")
 
 
+def spread_picks(df: DataFrame, group: str, area: str, leads: Column, open_: Column, order: list, features: Column, n: int = 6, lead: int = 2) -> DataFrame:
+    """group, area, id, step: up to two leading rows of a group by an order, then one open row of each area, six in all.
+
+    Areas come by their number of rows, then by name; of an area the row with
+    most features, then by the order, that is no leading one. An area without
+    such a row is passed over.
+    """
+    by = Window.partitionBy(group)
+    first = F.row_number().over(Window.partitionBy(group, F.col("_leads")).orderBy(*order))
+    rows = df.withColumn("_size", F.count("*").over(Window.partitionBy(group, area))).withColumn("_leads", F.coalesce(leads, F.lit(False))).withColumn("_first", first)
+    rows = rows.withColumn("_lead", F.col("_leads") & (F.col("_first") <= lead)).where(F.col("_lead") | open_)
+    best = F.row_number().over(Window.partitionBy(group, area, "_lead").orderBy(F.desc(features), *order))
+    rows = rows.withColumn("_best", best).where("_lead or _best = 1")
+    place = F.row_number().over(by.orderBy(F.desc("_lead"), F.when(F.col("_lead"), F.col("_first")), F.desc("_size"), area, *order))
+    return rows.withColumn("step", place).where(F.col("step") <= n).select(group, area, "id", "step")
+
+
 def vocab_order(c: Column, words: list[str]) -> Column:
     """Place in a fixed list, 99 if not in it."""
     at = F.array_position(F.array(*map(F.lit, words)), c)

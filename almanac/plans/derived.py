@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import text as T
 from almanac.operators import consolidate as C
+from almanac.operators import ranking as R
 from almanac.plans.registry import Load, query
 
 _FOLD = "strip_accents(lower({0}))"
@@ -301,11 +302,20 @@ def saved_list_order(t: Load):
     return t("events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(past.cast("int"), F.when(past, -ms).otherwise(ms), "event_id")).alias("n"))
 
 
-@query("SELECT area, id, step FROM (SELECT area, id, CASE WHEN score > 9000 THEN 1 ELSE 2 END AS step, row_number() OVER (PARTITION BY area ORDER BY CASE WHEN score > 9000 THEN 1 ELSE 2 END, name, id) AS k FROM places) WHERE k <= 2")
+@query("""
+WITH p AS (SELECT n_regionkey AS region, n_name AS area, id, name, score >= 0 AS open, id % 8 = 0 AS heritage, id % 5 AS features FROM places JOIN nation ON area = n_nationkey),
+l AS (SELECT region, area, id, row_number() OVER (PARTITION BY region ORDER BY name, id) AS k FROM p WHERE open AND heritage QUALIFY k <= 2),
+s AS (SELECT region, area, count(*) AS size FROM p GROUP BY ALL),
+o AS (SELECT region, area, arg_min(id, (-features, name, id)) AS id FROM p WHERE open AND id NOT IN (SELECT id FROM l) GROUP BY ALL),
+a AS (SELECT o.*, row_number() OVER (PARTITION BY region ORDER BY size DESC, area) AS k FROM o JOIN s USING (region, area)),
+c AS (SELECT region, count(*) AS led FROM l GROUP BY region)
+SELECT region, area, id, k::INTEGER AS step FROM l UNION ALL SELECT a.region, area, id, (coalesce(led, 0) + k)::INTEGER FROM a LEFT JOIN c USING (region) WHERE coalesce(led, 0) + k <= 6
+""")
 def spread_picks(t: Load):
-    """Two a region: notable ones by name first."""
-    step = F.when(F.col("score") > 9000, 1).otherwise(2)
-    return t("places").withColumn("step", step).withColumn("k", F.row_number().over(Window.partitionBy("area").orderBy("step", "name", "id"))).where("k <= 2").select("area", "id", "step")
+    """Of each region two open heritage places by name, then one place of each area, six in all."""
+    p = t("places").join(t("nation").select(F.col("n_nationkey").alias("area"), F.col("n_regionkey").alias("region"), "n_name"), "area").drop("area").withColumnRenamed("n_name", "area")
+    open_ = F.col("score") >= 0
+    return R.spread_picks(p, "region", "area", open_ & (F.col("id") % 8 == 0), open_, ["name", "id"], F.col("id") % 5)
 
 
 @query("WITH d AS (SELECT DISTINCT l_suppkey AS k, l_linenumber AS n FROM lineitem), g AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS g FROM d), r AS (SELECT k, min(n) AS a, max(n) AS b FROM g GROUP BY k, g) SELECT k AS supplier, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, ', ' ORDER BY a) AS label FROM r GROUP BY k")

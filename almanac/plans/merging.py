@@ -262,7 +262,8 @@ SELECT 'part' AS kind, p_partkey AS id, p_name AS title, p_type AS subline, p_br
 UNION ALL SELECT 'document', doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 5), ' '), source, lang FROM documents
 """
 _NORM = "translate(strip_accents(lower({0})), '’', '''')"
-QUERIES_ = [(1, ["the", "to"], "the to"), (2, ["red"], "red"), (3, ["la", "de"], "la de"), (4, ["brand"], "brand"), (5, ["small", "red"], "small red")]
+QUERIES_ = [(1, ["the", "to"], "the to"), (2, ["red"], "red"), (3, ["la", "de"], "la de"), (4, ["brand"], "brand"), (5, ["small", "red"], "small red"), (6, ["purchase"], "purchase"), (7, ["e"], "e")]
+SEARCH_NOW = "2024-01-15 12:00:00"
 
 
 def entries(t: Load):
@@ -279,15 +280,19 @@ def build_search_index(t: Load):
 
 def hits(t: Load):
     q = t("part").sparkSession.createDataFrame(QUERIES_, "query_id int, terms array<string>, phrase string")
-    return Q.score_search(Q.prepare_index(entries(t)), q)
+    hour = F.expr("INTERVAL 1 HOUR")
+    events = t("events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.concat(F.lit("O'Brien "), F.col("user_id").cast("string")).alias("subline"), F.lit(None).cast("string").alias("keywords"), F.col("ts").cast("timestamp").alias("starts"), (F.col("ts").cast("timestamp") + hour).alias("ends"))
+    return Q.score_search(Q.prepare_index(events.unionByName(entries(t), allowMissingColumns=True)), q, F.lit(SEARCH_NOW).cast("timestamp"))
 
 
 _VALUES = ", ".join(f"({i}, {terms}, '{phrase}')" for i, terms, phrase in QUERIES_)
-_TERM = "CASE WHEN starts_with(t, x) THEN 40 WHEN regexp_matches(t, '(^|[^a-z0-9])' || x) THEN 30 WHEN contains(t, x) THEN 20 ELSE 0 END + CASE WHEN contains(s, x) THEN 8 ELSE 0 END + CASE WHEN contains(k, x) THEN 4 ELSE 0 END"
+_TERM = "CASE WHEN starts_with(t, x) THEN 40 WHEN len(list_filter(words, lambda w: starts_with(w, x))) > 0 THEN 30 WHEN contains(t, x) THEN 20 ELSE 0 END + CASE WHEN contains(s, x) THEN 8 ELSE 0 END + CASE WHEN contains(k, x) THEN 4 ELSE 0 END"
 _HITS = f"""
-e AS ({_ENTRIES}), n AS (SELECT kind, id, title, {_NORM.format('title')} AS t, {_NORM.format('subline')} AS s, {_NORM.format('keywords')} AS k FROM e), q(query_id, terms, phrase) AS (VALUES {_VALUES}),
-x AS (SELECT query_id, kind, id, title, t, phrase, terms, {_TERM} AS p FROM (SELECT *, unnest(terms) AS x FROM n, q)),
-h AS (SELECT query_id, kind, id, title, any_value(t) = any_value(phrase) AS exact, CAST(sum(p) + any_value(CASE WHEN t = phrase THEN 100 WHEN starts_with(t, phrase) THEN 60 WHEN contains(t, phrase) THEN 30 ELSE 0 END) AS INTEGER) AS score FROM x GROUP BY query_id, kind, id, title HAVING min(p) > 0)
+e AS (SELECT kind, id, title, subline, keywords, NULL::TIMESTAMP AS starts, NULL::TIMESTAMP AS ends FROM ({_ENTRIES}) UNION ALL SELECT 'event', event_id, event_type, 'O''Brien ' || user_id, NULL, ts::TIMESTAMP, ts::TIMESTAMP + INTERVAL 1 HOUR FROM events),
+n AS (SELECT kind, id, title, coalesce({_NORM.format('title')}, '') AS t, coalesce({_NORM.format('subline')}, '') AS s, coalesce({_NORM.format('keywords')}, '') AS k,
+  CASE WHEN kind <> 'event' THEN 0 WHEN starts <= TIMESTAMP '{SEARCH_NOW}' AND ends > TIMESTAMP '{SEARCH_NOW}' THEN 25 WHEN starts > TIMESTAMP '{SEARCH_NOW}' AND starts < TIMESTAMP '{SEARCH_NOW}' + INTERVAL 3 HOUR THEN 15 WHEN ends < TIMESTAMP '{SEARCH_NOW}' THEN -5 ELSE 0 END AS part FROM e), q(query_id, terms, phrase) AS (VALUES {_VALUES}),
+x AS (SELECT query_id, kind, id, title, t, phrase, part, {_TERM} AS p FROM (SELECT *, unnest(terms) AS x FROM (SELECT *, regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}'']+') AS words FROM n), q)),
+h AS (SELECT query_id, kind, id, title, any_value(t) = any_value(phrase) AND length(any_value(phrase)) > 1 AS exact, CAST(sum(p) + any_value(part) + any_value(CASE WHEN length(phrase) < 2 THEN 0 WHEN t = phrase THEN 100 WHEN starts_with(t, phrase) THEN 60 WHEN contains(t, phrase) THEN 30 ELSE 0 END) AS INTEGER) AS score FROM x GROUP BY query_id, kind, id, title HAVING min(p) > 0)
 """
 
 
@@ -304,7 +309,7 @@ def search_top(t: Load):
 
 @query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, kind, id) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, kind, id) <= 200) SELECT query_id, kind, id, count(*) OVER (PARTITION BY query_id, kind) AS total, CAST(row_number() OVER (PARTITION BY query_id, kind ORDER BY rank) AS INTEGER) AS in_kind FROM r QUALIFY row_number() OVER (PARTITION BY query_id, kind ORDER BY rank) <= 5")
 def group_hits(t: Load):
-    return Q.group_hits(Q.search_top(hits(t)), ["part", "document"]).select("query_id", "kind", "id", "total", "in_kind")
+    return Q.group_hits(Q.search_top(hits(t)), ["part", "document", "event"]).select("query_id", "kind", "id", "total", "in_kind")
 
 
 @query("SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN start IS NULL THEN '12:00' ELSE start END, id) AS INTEGER) AS n FROM happenings WHERE status <> 'cancelled' AND date = DATE '1997-06-15'")

@@ -99,11 +99,11 @@ def multi_key_sort(t: Load):
     return t("places").select("id", F.row_number().over(Window.partitionBy("area").orderBy("kind", F.desc("score"), F.lower("name"), "id")).alias("n"))
 
 
-@query("SELECT p.id AS id, CAST(row_number() OVER (PARTITION BY area ORDER BY CASE WHEN score < 0 THEN 1 ELSE 0 END, (p.id % 8 <> 0)::INT, coalesce(n, 0) DESC, lower(name), p.id) AS INTEGER) AS n FROM places p LEFT JOIN (SELECT place, count(*) AS n FROM happenings GROUP BY 1) e ON p.id = e.place")
+@query("SELECT p.id AS id, CAST(row_number() OVER (PARTITION BY area ORDER BY CASE WHEN score < 0 THEN 1 ELSE 0 END, (p.id % 8 <> 0)::INT, coalesce(list_position(['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE'], kind), 99), coalesce(n, 0) DESC, lower(name), p.id) AS INTEGER) AS n FROM places p LEFT JOIN (SELECT place, count(*) AS n FROM happenings GROUP BY 1) e ON p.id = e.place")
 def rank_places(t: Load):
-    """Open ones first, then signature ones, by references and name."""
+    """Open ones first, then signature ones, by priority of kinds, references and name."""
     e = t("happenings").groupBy(F.col("place").alias("id")).agg(F.count("*").alias("refs"))
-    w = Window.partitionBy("area").orderBy(F.when(F.col("score") < 0, 1).otherwise(0), (F.col("id") % 8 != 0).cast("int"), F.desc(F.coalesce("refs", F.lit(0))), F.lower("name"), "id")
+    w = Window.partitionBy("area").orderBy(F.when(F.col("score") < 0, 1).otherwise(0), (F.col("id") % 8 != 0).cast("int"), R.vocab_order(F.col("kind"), ["BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE"]), F.desc(F.coalesce("refs", F.lit(0))), F.lower("name"), "id")
     return t("places").join(e, "id", "left").select("id", F.row_number().over(w).alias("n"))
 
 
@@ -158,11 +158,15 @@ def room_text(t: Load):
     return t("customer").select(F.col("c_custkey").alias("id"), V.room_text(F.replace(label, F.lit("#"), F.lit(" ")), plain).alias("room"))
 
 
-@query("SELECT doc_id, strpos(strip_accents(lower(list_extract(string_split(text, chr(10)), 1))), 'the') AS at FROM documents WHERE contains(strip_accents(lower(list_extract(string_split(text, chr(10)), 1))), 'the')")
+@query("""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, strip_accents(lower(text)) AS n FROM documents WHERE length(strip_accents(lower(text))) = length(text)),
+p AS (SELECT doc_id, r, generate_subscripts(parts, 1) AS i, unnest(parts) AS part, unnest(list_append(regexp_extract_all(n, 'there|the|on'), NULL)) AS hit FROM (SELECT *, regexp_split_to_array(n, 'there|the|on') AS parts FROM d)),
+s AS (SELECT doc_id, hit, sum(length(part) + coalesce(length(hit), 0)) OVER (PARTITION BY r ORDER BY i) AS done FROM p)
+SELECT doc_id, (done - length(hit) + 1)::BIGINT AS start, length(hit)::INTEGER AS length FROM s WHERE hit IS NOT NULL
+""")
 def mark_spans(t: Load):
-    """Where a term first stands in each document's first line."""
-    d = t("documents").select("doc_id", T.match_spans(F.split("text", "\n")[0], F.array(F.lit("the"))).alias("s"))
-    return d.where("size(s) > 0").select("doc_id", F.col("s")[0]["start"].cast("bigint").alias("at"))
+    """All places of some terms in each whole text."""
+    return Q.mark_spans(t("documents"), ["on", "the", "there", "e"]).select("doc_id", "start", "length")
 
 
 @query("SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS number, TRY_CAST(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS INTEGER) AS page FROM pages")
@@ -235,7 +239,7 @@ def check_index(t: Load):
     return entries(t).select("kind", "id", p.alias("problem")).where("problem is not null")
 
 
-@query("SELECT kind, id, strip_accents(lower(title)) AS n_title, len(string_split_regex(strip_accents(lower(title)), '[^a-z0-9]+')) AS words FROM (SELECT 'part' AS kind, p_partkey AS id, p_name AS title FROM part UNION ALL SELECT 'document', doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 5), ' ') FROM documents)")
+@query("SELECT kind, id, strip_accents(lower(title)) AS n_title, len(list_filter(string_split_regex(strip_accents(lower(title)), '[^\\p{L}\\p{N}'']+'), lambda w: w <> '')) AS words FROM (SELECT 'part' AS kind, p_partkey AS id, p_name AS title FROM part UNION ALL SELECT 'document', doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 5), ' ') FROM documents)")
 def prepare_index(t: Load):
     return Q.prepare_index(entries(t)).select("kind", "id", "n_title", F.size("words").cast("bigint").alias("words"))
 
@@ -302,6 +306,20 @@ def live_board(t: Load):
     return e.groupBy("day").agg(F.count_if((F.col("s") <= now) & (now < F.col("s") + F.expr("INTERVAL 1 HOUR"))).alias("live"), F.count_if(F.col("s") > now).alias("to_come"))
 
 
+@query("""
+WITH e AS (SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS s, CAST(ts AS TIMESTAMP) + INTERVAL 1 HOUR AS e, event_type = 'error' AS no_end FROM events),
+c AS (SELECT id, TIMESTAMP '1900-01-01 00:00:00' AS at, 'upcoming' AS state FROM e UNION ALL SELECT id, s - INTERVAL 30 MINUTE, 'soon' FROM e
+  UNION ALL SELECT id, s, CASE WHEN no_end THEN 'started' ELSE 'live' END FROM e
+  UNION ALL SELECT id, CASE WHEN no_end THEN greatest(e, date_trunc('day', s - INTERVAL 5 HOUR) + INTERVAL 29 HOUR) ELSE e END, 'past' FROM e)
+SELECT id, "at", state FROM c
+""")
+def board_changes(t: Load):
+    """Every change of the events' live state (the plan that the running board follows with timers); winter, so New York is five hours behind."""
+    e = t("events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("s"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("e"), (F.col("event_type") == "error").alias("end_unknown"))
+    flags = {c: F.lit(False) for c in ("run", "time_unknown", "all_day", "cancelled")}
+    return jobs.state_changes(e.withColumns(flags)).select("id", F.explode("changes").alias("c")).select("id", "c.at", "c.state")
+
+
 @query("SELECT doc_id, CAST(regexp_matches(text, '(?i)\\b(about|approx\\.|approximately|approx|around|roughly|estimated|estimate|probably|likely|call for|or so|guessed|guess)\\b|~') AS BOOLEAN) AS guess, regexp_matches(text, '(?i)\\b(tbd|tba|todo|lorem ipsum|n/a|xxx)\\b') AS placeholder, regexp_matches(text, '<[a-zA-Z/!][^>]*>|&[a-z]+;|&#\\d+;') AS markup FROM documents")
 def text_quality(t: Load):
     """Guess words, placeholders and markup in texts."""

@@ -302,6 +302,9 @@ def test_filters(spark):
     assert q("https://x.org/p?page=2&kind=b,z,a,b&junk=1") == "kind=a,b&page=2" and q("https://x.org/p?page=1") == "" and q("https://x.org/p") == ""
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def actions(spark, rows):
     return spark.createDataFrame(rows, "user long, item string, action string, t string, seq long").selectExpr("user", "item", "action", "cast(t as timestamp) ts", "seq")
 
@@ -322,23 +325,22 @@ def test_saved_sets_stream_and_batch(spark, tmp_path):
             s.discard(item)
         elif action == "toggle":
             s ^= {item}
-    batch = {}
-    for r in jobs.saved_set_batch(actions(spark, rows)).collect():
-        batch.setdefault(r.user, set()).add(r["item"])
-    assert batch == {u: s for u, s in expected.items() if s}
-    seen = {}
+    sets = lambda df: {u: {r["item"] for r in df if r.user == u} for u in {r.user for r in df}}
+    assert sets(jobs.saved_set_batch(actions(spark, rows)).collect()) == {u: s for u, s in expected.items() if s}
+    seen, touched = {}, []
 
     def take(df, _):
-        for r in df.collect():
-            seen[r.user] = set(r["items"])
-
-    source = spark.readStream.schema(jobs.ACTIONS).parquet(str(tmp_path / "in/0"))
-    q = jobs.saved_set_state(source).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        for r in sorted(df.collect(), key=lambda r: (r.user, r.ts, r.seq, r["item"] is not None)):
+            touched.append(r)
+            s = seen.setdefault(r.user, set())
+            s.clear() if r["item"] is None else s.add(r["item"]) if r.saved else s.discard(r["item"])
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    source = spark.readStream.schema(jobs.ACTIONS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.saved_set_state(source).writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    half = {}
-    for r in jobs.saved_set_batch(actions(spark, rows[:100])).collect():
-        half.setdefault(r.user, set()).add(r["item"])
-    assert {u: s for u, s in seen.items() if s} == half
+    assert q.exception() is None and {u: s for u, s in seen.items() if s} == {u: s for u, s in expected.items() if s}
+    assert len(touched) <= 2 * len(rows)  # changes, not sets
 
 
 def test_log_compaction_stream(spark, tmp_path):
@@ -356,3 +358,60 @@ def test_live_board(spark):
     i = spark.sql("select timestamp'2026-01-01 10:00' s, timestamp'2026-01-01 11:00' e union all select timestamp'2026-01-01 12:00', timestamp'2026-01-01 13:00'")
     tick = spark.sql("select timestamp'2026-01-01 10:30' now")
     assert tuple(jobs.live_board(tick, i).first())[1:] == (1, 1)
+
+
+def board_rows(spark, rows):
+    """(id, s, e, seen, flags) as instances; times of 2026-10-DD HH:MM in UTC."""
+    at = lambda c: f"cast(concat('2026-10-', {c}, ':00') as timestamp) {c}"
+    flags = [f"array_contains(split(flags, ','), '{f}') {f}" for f in ("run", "time_unknown", "all_day", "end_unknown", "cancelled")]
+    return spark.createDataFrame(rows, "id long, s string, e string, seen string, flags string").selectExpr("id", at("s"), at("e"), at("seen"), *flags)
+
+
+def test_state_changes_are_the_live_states(spark):
+    rows = [(1, "24 20:00", "25 03:00", "01 00:00", ""), (2, "10 23:00", "11 00:00", "01 00:00", "end_unknown"), (3, "24 04:00", "25 04:00", "01 00:00", "time_unknown"), (4, "24 04:00", "25 04:00", "01 00:00", "all_day"), (5, "05 14:00", "28 22:00", "01 00:00", "run"), (6, "24 20:00", "25 03:00", "01 00:00", "cancelled"), (7, None, None, "01 00:00", "")]
+    i = board_rows(spark, rows)
+    plan = {r.id: [(c.at.strftime("%d %H:%M"), c.state) for c in r.changes][1:] for r in jobs.state_changes(i).collect()}
+    assert plan[1] == [("24 19:30", "soon"), ("24 20:00", "live"), ("25 03:00", "past")]
+    assert plan[2] == [("10 22:30", "soon"), ("10 23:00", "started"), ("11 04:00", "past")]
+    assert plan[3] == [("24 04:00", "today"), ("25 04:00", "past")] == plan[4]
+    assert plan[5] == [("05 13:30", "soon"), ("05 14:00", "running"), ("28 22:00", "past")]
+    assert plan[6] == plan[7] == []
+    for day in (4, 5, 10, 11, 24, 25, 28):  # at any moment the plan says what live_state says
+        for hour in (3, 19):
+            now = F.lit(f"2026-10-{day:02} {hour:02}:40:00").cast("timestamp")
+            no = F.lit(False)
+            direct = i.select("id", D.live_state(F.col("s"), F.col("e"), now, F.coalesce("run", no), F.coalesce("time_unknown", no), F.coalesce("all_day", no), F.coalesce("end_unknown", no), F.coalesce("cancelled", no))["state"].alias("state")).where("state is not null")
+            assert sorted(direct.collect()) == sorted(jobs.board_batch(i, now).collect())
+
+
+def test_live_board_stream_across_its_moments(spark, tmp_path):
+    """A stream whose clock passes "soon", start and end; an instance moves, one is cancelled; the batch twin agrees at each tick."""
+    first = [(1, "24 20:00", "24 22:00", "24 12:00", ""), (2, "24 21:00", "24 23:00", "24 12:00", ""), (3, "24 20:30", "24 22:00", "24 12:00", "")]
+    later = {"24 19:40": [], "24 20:10": [(3, "24 20:30", "24 22:00", "24 20:10", "cancelled")], "24 20:40": [(2, "24 23:00", "24 23:30", "24 20:40", "")], "24 22:05": [], "24 23:10": [(4, "24 23:20", "24 23:50", "24 23:10", "")], "24 23:59": []}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    source, told, said, state, bad = tmp_path / "in", list(first), [], {}, []
+    board_rows(spark, first).coalesce(1).write.parquet(str(source / "0"))
+    schema = spark.read.parquet(str(source / "0")).schema
+
+    def take(df, _):
+        for r in df.collect():
+            bad.extend([r] if state.get(r.id) != r.was else [])
+            state[r.id] = r.state
+            said.append((r.id, r.state))
+
+    def advance():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(source))
+        q = jobs.live_board_stream(stream).writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+
+    advance()
+    for k, (tick, rows) in enumerate(later.items(), 1):
+        board_rows(spark, [*rows, (None, None, None, tick, "")]).coalesce(1).write.parquet(str(source / str(k)))
+        told = [r for r in told if r[0] not in {x[0] for x in rows}] + rows
+        advance()
+        now = F.lit(f"2026-10-{tick}:00").cast("timestamp")
+        assert {i: s for i, s in state.items() if s} == {r.id: r.state for r in jobs.board_batch(board_rows(spark, told), now).collect()}, tick
+    assert not bad and (1, "soon") in said and (1, "live") in said and (1, "past") in said and (3, None) in said and (4, "past") in said
+    moves = spark.createDataFrame([(1, "soon", None), (1, "live", "soon"), (2, "soon", None), (3, None, "soon"), (3, "soon", None)], "id long, state string, was string")
+    assert {r.state: r.n for r in jobs.board_counts(moves).collect()} == {"live": 1, "soon": 1}

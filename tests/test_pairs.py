@@ -224,7 +224,9 @@ def test_nearest_anywhere(spark, monkeypatch, leaf):
 # Evidence of a text
 
 
-def test_evidence_against_a_plain_version(spark):
+@pytest.mark.parametrize("limit", [0, 8_000_000])
+def test_evidence_against_a_plain_version(spark, monkeypatch, limit):
+    monkeypatch.setattr(evidence, "BROADCAST", limit)
     r = random.Random(2)
     some = ["gulf", "gulfport", "casino", "casi", "casinos", "pier", "park", "florida", "sunken", "sunkengarden", "the", "Key West", "Ocala", "ab", "é&x"]
     subjects = [(1, ["Gulfport Casino", None]), (2, ["The Park"]), (3, ["Sunken Gardens", "Key West Pier"]), (4, ["the"]), (5, None)]
