@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import geo as G
 from almanac.operators import clusters as K
+from almanac.operators import polygons as P
 from almanac.operators import ranking as R
 from almanac.operators import spatial as S
 from almanac.plans.registry import METRES, Load, query
@@ -195,17 +196,18 @@ def fit_box(t: Load):
 
 
 @query("""
-WITH b AS (SELECT area, min(lat) AS s, min(lng) AS w, max(lat) AS n, max(lng) AS e FROM places GROUP BY area)
-SELECT stays.id AS id, b.area AS area FROM stays JOIN b ON stays.lat >= s AND stays.lat <= n
-WHERE lng >= w AND lng < w + (e - w) * CASE WHEN n = s THEN 0 ELSE (n - lat) / (n - s) END
+WITH b AS (SELECT area, min(lat) - 0.00003 AS s, min(lng) - 0.00003 AS w, max(lat) AS n, max(lng) AS e FROM places GROUP BY area), p AS (SELECT id, lat, lng FROM stays UNION ALL SELECT id + 1000000, lat, lng FROM places)
+SELECT p.id AS id, b.area AS area FROM p JOIN b ON lat >= s AND lat < n
+WHERE lng >= w AND lng < w + (e - w) * (n - lat) / (n - s)
+  AND NOT (lat >= s + (n - s) * 0.1 AND lat < s + (n - s) * 0.3 AND lng >= w + (e - w) * 0.1 AND lng < w + (e - w) * 0.3)
 """)
 def point_in_polygon(t: Load):
-    """Stays within each area's lower left triangle (polygons by their boxes first; one polygon an area)."""
-    b = t("places").groupBy(F.col("area").alias("polygon")).agg(F.min("lat").alias("s"), F.min("lng").alias("w"), F.max("lat").alias("n"), F.max("lng").alias("e"))
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    ring = b.withColumn("ring", F.array(corner("w", "s"), corner("e", "s"), corner("w", "n")))
-    inside = t("stays").join(F.broadcast(ring), F.col("lat").between(F.col("s"), F.col("n")) & F.col("lng").between(F.col("w"), F.col("e")))  # a row for each of 25 areas
-    return inside.where(G.ring_holds(F.col("lng"), F.col("lat"), F.col("ring"))).select("id", F.col("polygon").alias("area"))
+    """Stays and places within each area's lower left triangle, which has a hole."""
+    b = t("places").groupBy(F.col("area").alias("id")).agg((F.min("lat") - 0.00003).alias("s"), (F.min("lng") - 0.00003).alias("w"), F.max("lat").alias("n"), F.max("lng").alias("e"))
+    corner = lambda x, y: F.struct((F.col("w") + (F.col("e") - F.col("w")) * x).alias("x"), (F.col("s") + (F.col("n") - F.col("s")) * y).alias("y"))
+    rings = F.array(F.array(corner(0.0, 0.0), corner(1.0, 0.0), corner(0.0, 1.0)), F.array(corner(0.1, 0.1), corner(0.3, 0.1), corner(0.3, 0.3), corner(0.1, 0.3)))
+    at = lambda name, first: t(name).select((F.col("id") + first).alias("id"), F.col("lng").alias("x"), F.col("lat").alias("y"))
+    return P.points_in_polygons(at("stays", 0).unionByName(at("places", 1000000)), b.select("id", rings.alias("rings")), 0.25).select("id", F.col("polygon").alias("area"))
 
 
 @query("""

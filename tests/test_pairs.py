@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import clusters, evidence, intervals, likeness, spatial
+from almanac.operators import clusters, evidence, intervals, likeness, polygons, spatial
 
 DAY = datetime.date(2026, 1, 1)
 
@@ -246,3 +246,37 @@ def test_evidence_against_a_plain_version(spark, monkeypatch, limit):
     generic = spark.createDataFrame([("park",), ("florida",)], "word string")
     got = evidence.text_evidence(spark.createDataFrame(texts, "id long, subject long, text string"), spark.createDataFrame(subjects, "subject long, names array<string>"), generic, ["the"], ["Key West", "Ocala"])
     assert {tuple(r) for r in got.collect()} == want and len({w[2:] for w in want}) >= 4
+
+
+# Polygons
+
+
+def inside(x, y, rings):
+    odd = False
+    for ring in rings:
+        if len(ring) < 3:
+            continue
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def star(r, cx, cy, radius, n):
+    return [(cx + radius * r.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), cy + radius * r.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+
+@pytest.mark.parametrize("few", [2, 8])
+def test_polygons_with_holes(spark, monkeypatch, few):
+    monkeypatch.setattr(polygons, "FEW", few)
+    r = random.Random(6)
+    shapes = [(i, [star(r, r.uniform(-3, 3), r.uniform(-3, 3), r.uniform(0.1, 2), r.randint(3, 40))]) for i in range(12)]
+    shapes += [(50, [[(-2, -2), (2, -2), (2, 2), (-2, 2)], [(-1, -1), (1, -1), (1, 1), (-1, 1)], [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)]]), (51, [[(0, 0), (1, 1)]]), (52, []), (53, [star(r, 0, 0, 3, 200)])]
+    points = [(i, r.uniform(-4, 4), r.uniform(-4, 4)) for i in range(400)] + [(1000 + i, float(i % 5 - 2), float(i // 5 - 2)) for i in range(25)]
+    rows = spark.createDataFrame([(i, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for i, rings in shapes], "id long, rings array<array<struct<x: double, y: double>>>")
+    p = spark.createDataFrame([*points, (5000, None, 1.0)], POINTS)
+    want = {(i, k) for i, x, y in points for k, rings in shapes if inside(x, y, rings)}
+    assert {tuple(x) for x in polygons.points_in_polygons(p, rows, 1.0).collect()} == want and len(want) > 200
+    inner = polygons.cover(rows, 1.0).where("edges is null").count()
+    assert inner > 30
+    assert polygons.points_in_polygons(p, rows.where("id in (51, 52)"), 1.0).collect() == []
