@@ -144,25 +144,6 @@ def fold_record(into: DataFrame, folded: DataFrame, lists: list[str], scalars: l
     return out.select(into.columns)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node that each node is linked to; edges (a, b).
-
-    Minimum labels spread along edges and through labels of labels, with a
-    written table a round; ends as soon as no label changes, which it must,
-    since labels only fall.
-    """
-    both = written(edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    while True:
-        low = both.join(labels.selectExpr("node as b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        far = labels.selectExpr("node as label", "label as far")
-        step = labels.join(low, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")).join(far, "label", "left")
-        new = written(step.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = new.select("node", "label")
-        if new.where("label < was").isEmpty():
-            return labels
-
-
 def assign_best(candidates: DataFrame) -> DataFrame:
     """subject, file: each file once; candidates (subject, file, tier, rank).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import text as T
 from almanac.operators import consolidate as C
+from almanac.operators import graph as N
 from almanac.operators import likeness as L
 from almanac.operators import search as Q
 from almanac.plans.registry import METRES, Load, query
@@ -226,13 +227,13 @@ def geocode_cascade(t: Load):
 WITH RECURSIVE e AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_quantity > 45),
 l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT a AS node, a AS seen FROM l UNION SELECT node, b FROM r JOIN l ON seen = a)
-SELECT node, min(seen) AS label FROM r GROUP BY node
+SELECT node, min(seen) AS label, bool_or(p_size = 50) AS has FROM r JOIN part ON p_partkey = seen GROUP BY node
 """)
 def connected_components(t: Load):
-    """Parts joined through orders that hold both (neighbouring lines of an order)."""
+    """Parts joined through orders that hold both (neighbouring lines of an order), and whether any of them has size 50."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     edges = t("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null and a <> b")
-    return C.connected_components(edges)
+    return N.spread(N.connected_components(edges), t("part").where("p_size = 50").select(F.col("p_partkey").alias("node")))
 
 
 @query()

@@ -12,7 +12,7 @@ from almanac.functions import geo as G
 from almanac.functions import text as X
 from almanac.operators import checks as K
 from almanac.operators import consolidate as C
-from almanac.operators import facets, pages, schedule
+from almanac.operators import facets, graph, pages, schedule
 from almanac.operators import references as J
 from almanac.operators import spatial as S
 from almanac.sources import collections as IO
@@ -173,7 +173,7 @@ def test_two_branches_are_not_duplicates(spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.label for r in C.connected_components(edges).collect()}
+    got = {r.node: r.label for r in graph.connected_components(edges).collect()}
     assert set(got.values()) == {0, 100} and len(got) == 63
 
 

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import clusters, evidence, intervals, likeness, polygons, spatial
+from almanac.operators import clusters, evidence, graph, intervals, likeness, polygons, spatial
 
 DAY = datetime.date(2026, 1, 1)
 
@@ -280,3 +280,41 @@ def test_polygons_with_holes(spark, monkeypatch, few):
     inner = polygons.cover(rows, 1.0).where("edges is null").count()
     assert inner > 30
     assert polygons.points_in_polygons(p, rows.where("id in (51, 52)"), 1.0).collect() == []
+
+
+# Components
+
+
+def test_components_of_hubs_and_paths(spark, monkeypatch):
+    """A hub and a long path, with joins that split no skewed key; the hub's edges are in the small table."""
+    monkeypatch.setattr(graph, "HUB", 1000)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        hub = spark.range(1, 100_001).select(F.lit(500_000).cast("long").alias("a"), F.col("id").alias("b"))
+        path = spark.range(20_000).select((F.col("id") * 7919 % 20_000 + 1_000_000).alias("a"), ((F.col("id") + 1) * 7919 % 20_000 + 1_000_000).alias("b")).where("a <> 1000000")
+        rest = spark.createDataFrame([(7_000_000, 7_000_000), (None, 8_000_000), (6_000_001, 6_000_000), (6_000_000, 6_000_001)], "a long, b long")
+        labels = graph.connected_components(hub.unionByName(path).unionByName(rest))
+        assert {(r.label, r.n) for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()} == {(1, 100_001), (1_000_000, 20_000), (7_000_000, 1), (6_000_000, 2)}
+        spread = graph.spread(labels, spark.createDataFrame([(77,), (6_000_001,), (123_456_789,)], "node long"))
+        assert {(r.label, r.has) for r in spread.select("label", "has").distinct().collect()} == {(1, True), (1_000_000, False), (7_000_000, False), (6_000_000, True)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
+def test_components_against_a_search(spark):
+    r = random.Random(11)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [node] if node not in want else []
+        while todo:
+            n = todo.pop()
+            if n not in want:
+                want[n] = node
+                todo += near[n]
+    assert {x.node: x.label for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
