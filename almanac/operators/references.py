@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions.text import name_key
+from almanac.operators.spatial import radius_join
+
 
 def lookup_join(df: DataFrame, key: str, other: DataFrame, other_key: str, prefix: str) -> DataFrame:
     """Left join; the other side's columns get a prefix."""
@@ -75,3 +78,63 @@ def id_space(collections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         part = t.select(F.col(c).cast("string").alias("id"), F.lit(k).alias("owner"))
         union = part if union is None else union.unionByName(part)
     return union.groupBy("id").agg(F.array_sort(F.collect_set("owner")).alias("owners"), F.count("*").alias("n"))
+
+
+# Words that do not count in a name.
+STOP = ["the", "a", "an", "of", "at", "and", "in", "on", "by"]
+
+
+def _told(names: Column) -> Column:
+    """Names as (key, distinct words that count); names without a key are left out."""
+    keys = F.filter(F.transform(names, name_key), lambda k: k.isNotNull() & (k != ""))
+    words = lambda k: F.array_distinct(F.filter(F.split(k, " "), lambda w: ~w.isin(*STOP)))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), words(k).alias("words")))
+
+
+def _level(a: Column, b: Column, qualifiers: list[str]) -> Column:
+    """3 the same name, 2 the same words, 1 one holds all of the other's two words or more and only qualifiers besides, else 0."""
+    more, less = F.array_except(a["words"], b["words"]), F.array_except(b["words"], a["words"])
+    inside = lambda small, extra, lack: (F.size(small["words"]) >= 2) & (F.size(lack) == 0) & F.forall(extra, lambda w: w.isin(*qualifiers))
+    one = inside(b, more, less) | inside(a, less, more)
+    return F.when(a["key"] == b["key"], 3).when((F.size(a["words"]) > 0) & (F.size(more) == 0) & (F.size(less) == 0), 2).when(one, 1).otherwise(0)
+
+
+def _half(a: Column, b: Column) -> Column:
+    """Whether two names share half of the smaller one's words."""
+    return F.size(F.array_intersect(a["words"], b["words"])) >= 0.5 * F.greatest(F.lit(1), F.least(F.size(a["words"]), F.size(b["words"])))
+
+
+def entity_link(subjects: DataFrame, items: DataFrame, forced: DataFrame, rejected: DataFrame, reach: dict[int, float], qualifiers: list[str], farthest: float = 20_000, close: float = 600) -> DataFrame:
+    """subject, item, level, d, reason: each subject's external item by name level and distance, or why there is none.
+
+    subjects and items have id, names, lat, lng; subjects also ``done`` (they
+    need none). A forced pair (subject, item) wins if the item is near at all; a
+    rejected one never counts. Else the best level wins, then the nearest, then
+    the least id, within the level's reach. Only items within ``farthest`` are met.
+    """
+    at = lambda df: df.select("id", "lat", "lng")
+    told = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), _told(F.col("names")).alias(f"{p}_names"))
+    open_ = subjects.where("not coalesce(done, false)")
+    c = radius_join(at(open_), at(items), farthest).join(told(open_, "a"), "a_id").join(told(items, "b"), "b_id")
+    mark = lambda df, name: df.select(F.col("subject").alias("a_id"), F.col("item").alias("b_id"), F.lit(True).alias(name)).distinct()
+    c = c.join(mark(forced, "forced"), ["a_id", "b_id"], "left").join(mark(rejected, "rejected"), ["a_id", "b_id"], "left")
+    pairs = lambda f: F.flatten(F.transform("a_names", lambda a: F.transform("b_names", lambda b: f(a, b))))
+    level = F.coalesce(F.array_max(pairs(lambda a, b: _level(a, b, qualifiers))), F.lit(0))
+    c = c.select("a_id", "b_id", "d", F.coalesce("forced", F.lit(False)).alias("forced"), F.coalesce("rejected", F.lit(False)).alias("rejected"), level.alias("level"), F.exists(pairs(_half), lambda x: x).alias("alike"))
+    may = F.lit(0.0)
+    for k, metres in reach.items():
+        may = F.when(F.col("level") == k, metres).otherwise(may)
+    named = (F.col("level") > 0) & ~F.col("rejected")
+    wins = F.when(F.col("forced"), F.struct(F.lit(0).alias("o"), F.lit(0).alias("l"), "d", "b_id", F.greatest("level", F.lit(1)).alias("level")))
+    wins = wins.when(named & (F.col("d") <= may), F.struct(F.lit(1).alias("o"), (-F.col("level")).alias("l"), "d", "b_id", "level"))
+    best = c.groupBy(F.col("a_id").alias("id")).agg(F.min(wins).alias("m"), F.bool_or(named).alias("far"), F.bool_or(F.col("alike") & (F.col("d") <= max(reach.get(3, 0.0), close))).alias("near"))
+    reason = (
+        F.when(F.coalesce("done", F.lit(False)), "has one")
+        .when(F.col("lat").isNull() | F.col("lng").isNull(), "no coordinates")
+        .when(F.col("m.o") == 0, "forced")
+        .when(F.col("m").isNotNull(), "linked")
+        .when(F.col("far"), "same name, too far")
+        .when(F.col("near"), "name differs")
+        .otherwise("nothing near")
+    )
+    return subjects.join(best, "id", "left").select(F.col("id").alias("subject"), F.col("m.b_id").alias("item"), F.col("m.level").alias("level"), F.col("m.d").alias("d"), reason.alias("reason"))

@@ -149,6 +149,13 @@ def medoid(df: DataFrame, group: str) -> DataFrame:
     return sums.groupBy(group).agg(F.min(F.struct("total", "id")).alias("m")).select(group, F.col("m.id").alias("id"), F.col("m.total").alias("total"))
 
 
+def medoid_and_far(df: DataFrame, group: str, metres: float) -> DataFrame:
+    """group, id, medoid: each group's medoid, and its members from so many metres away from it on."""
+    m = df.join(medoid(df, group).select(group, "id"), [group, "id"], "left_semi").select(group, F.col("id").alias("_m"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    d = haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
+    return df.join(m, group).withColumn("medoid", F.col("id") == F.col("_m")).where(F.col("medoid") | (d >= metres)).select(group, "id", "medoid")
+
+
 def off_view(df: DataFrame, box: tuple[float, float, float, float]) -> Column:
     """Direction (N, S, W, E) in which a point is out of a box; null inside."""
     s, w, n, e = box

@@ -9,6 +9,7 @@ from almanac.functions import text as T
 from almanac.operators import consolidate as C
 from almanac.operators import graph as N
 from almanac.operators import likeness as L
+from almanac.operators import references as J
 from almanac.operators import search as Q
 from almanac.plans.registry import METRES, Load, query
 
@@ -182,24 +183,33 @@ def fold_record(t: Load):
     return C.fold_record(kept, folded, ["brands"], ["type"]).select("id", F.array_join("brands", ",").alias("brands"), "type")
 
 
+_QUALIFIERS = ["museum", "gallery", "house"]
+
+
 @query(f"""
-WITH c AS (SELECT a.id AS subject, b.id AS item, {_NEAR} AS d, CASE WHEN a.id % 25 = b.id % 25 THEN 3 WHEN a.area = b.area THEN 2 ELSE 1 END AS level FROM places a JOIN stays b ON {_NEAR} <= 20000),
-o AS (SELECT *, d <= CASE level WHEN 3 THEN 20000 WHEN 2 THEN 5000 ELSE 800 END AS fits FROM c),
-r AS (SELECT subject, item, level, row_number() OVER (PARTITION BY subject ORDER BY level DESC, d, item) AS k FROM o WHERE fits)
-SELECT places.id AS subject, item, level, CASE WHEN item IS NOT NULL THEN 'linked' WHEN EXISTS (SELECT 1 FROM o WHERE o.subject = places.id) THEN 'too far for its name' ELSE 'nothing near' END AS reason FROM places LEFT JOIN r ON places.id = subject AND k = 1
+WITH n AS (SELECT p_partkey AS id, p_name, string_split(p_name, ' ') AS w FROM part),
+a AS (SELECT places.id AS id, lat, lng, places.id % 23 = 0 AS done, p_name AS name, w FROM places JOIN n ON n.id = places.id),
+b AS (SELECT stays.id AS id, lat, lng, CASE stays.id % 4 WHEN 0 THEN p_name WHEN 1 THEN w[2] || ' ' || w[1] WHEN 2 THEN 'The ' || p_name || ' Museum' ELSE w[1] || ' of ' || w[1] END AS name,
+  CASE stays.id % 4 WHEN 2 THEN list_append(w, 'museum') WHEN 3 THEN [w[1]] ELSE w END AS w FROM stays JOIN n ON n.id = stays.id + 7),
+c AS (SELECT a.id AS subject, b.id AS item, {_NEAR} AS d, a.id % 5 = 0 AND b.id = a.id % 100 AS forced, b.id < 100 AND b.id % 10 = a.id % 10 AS rejected, len(list_intersect(a.w, b.w)) AS shared, len(a.w) AS na, len(b.w) AS nb,
+  CASE WHEN a.name = b.name THEN 3 WHEN list_sort(a.w) = list_sort(b.w) THEN 2 WHEN len(a.w) >= 2 AND list_has_all(b.w, a.w) AND len(list_filter(b.w, lambda x: NOT list_contains(a.w, x) AND x NOT IN ('museum', 'gallery', 'house'))) = 0 THEN 1 ELSE 0 END AS level
+  FROM a JOIN b ON {_NEAR} <= 20000 AND NOT a.done),
+o AS (SELECT *, level > 0 AND NOT rejected AS named, level > 0 AND NOT rejected AND d <= CASE level WHEN 3 THEN 20000 WHEN 2 THEN 5000 ELSE 800 END AS fits FROM c),
+r AS (SELECT * FROM o WHERE forced OR fits QUALIFY row_number() OVER (PARTITION BY subject ORDER BY forced DESC, CASE WHEN forced THEN 0 ELSE -level END, d, item) = 1),
+g AS (SELECT subject, bool_or(named) AS far, bool_or(shared >= 0.5 * least(na, nb)) AS near FROM o GROUP BY subject)
+SELECT a.id AS subject, item, CASE WHEN forced THEN greatest(level, 1) ELSE level END AS level, CAST(round(d) AS BIGINT) AS metres,
+  CASE WHEN done THEN 'has one' WHEN forced THEN 'forced' WHEN item IS NOT NULL THEN 'linked' WHEN far THEN 'same name, too far' WHEN near THEN 'name differs' ELSE 'nothing near' END AS reason
+FROM a LEFT JOIN r ON a.id = r.subject LEFT JOIN g ON a.id = g.subject
 """)
 def entity_link(t: Load):
-    """Each record's best external item by name level and distance, or why there is none."""
-    from almanac.operators.spatial import radius_join
-
-    extra = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("area").alias(f"{p}_area"))
-    c = radius_join(t("places"), t("stays"), 20000).join(extra(t("places"), "a"), "a_id").join(extra(t("stays"), "b"), "b_id")
-    level = F.when(F.col("a_id") % 25 == F.col("b_id") % 25, 3).when(F.col("a_area") == F.col("b_area"), 2).otherwise(1)
-    reach = F.when(F.col("level") == 3, 20000).when(F.col("level") == 2, 5000).otherwise(800)
-    c = c.withColumn("level", level).withColumn("fits", F.col("d") <= reach)
-    best = c.groupBy(F.col("a_id").alias("subject")).agg(F.min(F.when(F.col("fits"), F.struct(-F.col("level"), "d", "b_id", "level"))).alias("m"))
-    out = t("places").select(F.col("id").alias("subject")).join(best.withColumn("seen", F.lit(True)), "subject", "left")
-    return out.select("subject", F.col("m.b_id").alias("item"), F.col("m.level").alias("level"), F.when(F.col("m").isNotNull(), "linked").when(F.col("seen"), "too far for its name").otherwise("nothing near").alias("reason"))
+    """Each place's stay by real name levels and distance, with forced and rejected pairs, or why there is none."""
+    n = t("part").select(F.col("p_partkey").alias("id"), "p_name", F.split("p_name", " ").alias("w"))
+    a = t("places").join(n, "id").select("id", "lat", "lng", (F.col("id") % 23 == 0).alias("done"), F.array("p_name").alias("names"))
+    name = F.expr("case id % 4 when 0 then p_name when 1 then concat(w[1], ' ', w[0]) when 2 then concat('The ', p_name, ' Museum') else concat(w[0], ' of ', w[0]) end")
+    b = t("stays").join(n.withColumn("id", F.col("id") - 7), "id").select("id", "lat", "lng", F.array(name).alias("names"))
+    forced = a.where("id % 5 = 0").select(F.col("id").alias("subject"), (F.col("id") % 100).alias("item"))
+    rejected = a.select(F.col("id").alias("subject"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.col("id") % 10 + 10 * k)).alias("item"))
+    return J.entity_link(a, b, forced, rejected, {3: 20000, 2: 5000, 1: 800}, _QUALIFIERS).select("subject", "item", "level", F.round("d").cast("bigint").alias("metres"), "reason")
 
 
 @query(f"""

@@ -143,11 +143,11 @@ def distinct_points(t: Load):
     return K.distinct_points(t("places").select("id", "area", F.col("lng").alias("x"), F.col("lat").alias("y")), ["area"], ["id"], 0.0004).select("id", "area")
 
 
-@query(f"WITH c AS (SELECT n_regionkey AS region, area AS id, avg(lat) AS lat, avg(lng) AS lng FROM places JOIN nation ON area = n_nationkey GROUP BY ALL), s AS (SELECT a.region, a.id, sum({PAIR}) AS total FROM c a JOIN c b ON a.region = b.region GROUP BY ALL) SELECT region, arg_min(id, (total, id)) AS id FROM s GROUP BY region")
+@query(f"WITH c AS (SELECT n_regionkey AS region, area AS id, avg(lat) AS lat, avg(lng) AS lng FROM places JOIN nation ON area = n_nationkey GROUP BY ALL), s AS (SELECT a.region, a.id, sum({PAIR}) AS total FROM c a JOIN c b ON a.region = b.region GROUP BY ALL), m AS (SELECT region, arg_min(id, (total, id)) AS id FROM s GROUP BY region), a AS (SELECT c.* FROM c JOIN m USING (region, id)) SELECT b.region AS region, b.id AS id, a.id = b.id AS medoid FROM a JOIN c b ON a.region = b.region WHERE a.id = b.id OR {PAIR} >= 40000")
 def medoid(t: Load):
-    """The area that is nearest to the others of its region."""
+    """The area that is nearest to the others of its region, and those that are 40 km or more from it."""
     c = t("places").join(t("nation"), F.col("area") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("region"), F.col("area").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
-    return S.medoid(c, "region").select("region", "id")
+    return S.medoid_and_far(c, "region", 40000)
 
 
 @query(f"""

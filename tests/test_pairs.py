@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import clusters, evidence, graph, intervals, likeness, polygons, spatial
+from almanac.operators import clusters, evidence, graph, intervals, likeness, polygons, references, spatial
 
 DAY = datetime.date(2026, 1, 1)
 
@@ -318,3 +318,17 @@ def test_components_against_a_search(spark):
                 todo += near[n]
     assert {x.node: x.label for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+# External items
+
+
+def test_entity_link_reasons(spark):
+    pier = (27.77, -82.62)
+    subjects = [(1, ["Pier Museum", None], *pier, False), (2, ["The Old Pier"], *pier, True), (3, ["Sunken Gardens"], None, None, None), (4, ["Salvador Dali"], *pier, False), (5, ["Vinoy Park"], *pier, None), (6, ["Coliseum Hall"], *pier, False), (7, ["Zoo"], *pier, False), (8, [], *pier, False), (9, ["Dali Salvador"], *pier, False)]
+    items = [(11, ["The Pier Museum"], 27.771, -82.62), (12, ["Pier Museum"], 27.772, -82.62), (13, ["Dali Salvador Museum"], 27.7701, -82.62), (14, ["Vinoy Park"], 27.9, -82.62), (15, ["Coliseum"], 27.7702, -82.62), (16, ["Else Where"], *pier)]
+    s = spark.createDataFrame(subjects, "id long, names array<string>, lat double, lng double, done boolean")
+    i = spark.createDataFrame(items, "id long, names array<string>, lat double, lng double")
+    pairs = lambda rows: spark.createDataFrame(rows, "subject long, item long")
+    got = {r.subject: (r.item, r.level, r.reason) for r in references.entity_link(s, i, pairs([(7, 16), (8, 99)]), pairs([(1, 11)]), {3: 5000, 2: 2000, 1: 800}, ["museum"]).collect()}
+    assert got == {1: (12, 3, "linked"), 2: (None, None, "has one"), 3: (None, None, "no coordinates"), 4: (13, 1, "linked"), 5: (None, None, "same name, too far"), 6: (None, None, "name differs"), 7: (16, 1, "forced"), 8: (None, None, "nothing near"), 9: (13, 1, "linked")}
