@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.text import name_key
+from almanac.operators.ranking import numbered, vocab_order
 from almanac.operators.spatial import radius_join
 
 
@@ -138,3 +139,38 @@ def entity_link(subjects: DataFrame, items: DataFrame, forced: DataFrame, reject
         .otherwise("nothing near")
     )
     return subjects.join(best, "id", "left").select(F.col("id").alias("subject"), F.col("m.b_id").alias("item"), F.col("m.level").alias("level"), F.col("m.d").alias("d"), reason.alias("reason"))
+
+
+def skip_reason(kinds: list[str], licences: list[str]) -> Column:
+    """Why a medium (kind, known, licence, credit, url) can't be an image of its subject; null if it can."""
+    return (
+        F.when(F.col("kind").isNull() | ~F.col("kind").isin(*kinds), "no image kind")
+        .when(~F.col("known"), "subject not known")
+        .when(F.col("licence").isNull() | ~F.col("licence").isin(*licences), "licence not accepted")
+        .when(F.trim(F.coalesce("credit", F.lit(""))) == "", "no credit line")
+        .when(~F.startswith(F.coalesce("url", F.lit("")), F.lit("https://")), "not https")
+    )
+
+
+def image_plan(media: DataFrame, subjects: DataFrame, primary: DataFrame, kinds: list[str], licences: list[str]) -> DataFrame:
+    """id, kind, subject, reason, place, job: what to do with each medium.
+
+    media have id, kind, subject, licence, credit, url, ord; subjects kind,
+    subject, rank; primary kind, subject, id. Media that can't be used have a
+    reason. The others of a subject are its candidates by (ord, id), the named
+    primary first (even one that could not be used, if the subject has another);
+    ``place`` 0 is the image, the rest are alternates. ``job`` numbers the images
+    by the subject's rank, the order of kinds, and the subject.
+    """
+    known = subjects.select("kind", "subject", "rank", F.lit(True).alias("known"))
+    named = primary.select("kind", "subject", "id", F.lit(True).alias("named")).distinct()
+    m = media.join(known, ["kind", "subject"], "left").withColumn("known", F.coalesce("known", F.lit(False))).join(named, ["kind", "subject", "id"], "left")
+    m = m.withColumn("reason", skip_reason(kinds, licences)).withColumn("named", F.coalesce("named", F.lit(False)))
+    by = Window.partitionBy("kind", "subject")
+    usable = F.max(F.col("reason").isNull()).over(by)
+    m = m.withColumn("taken", F.col("reason").isNull() | (F.col("named") & F.col("known") & usable))
+    place = F.row_number().over(Window.partitionBy("kind", "subject", "taken").orderBy(F.desc("named"), "ord", "id")) - 1
+    m = m.withColumn("place", F.when(F.col("taken"), place)).withColumn("reason", F.when(~F.col("taken"), F.col("reason")))
+    at = vocab_order(F.col("kind"), kinds)
+    jobs = numbered(m.withColumn("_at", at), ["rank", "_at", "subject", "id"], F.coalesce(F.col("place") == 0, F.lit(False)))
+    return jobs.select("id", "kind", "subject", "reason", "place", F.col("number").alias("job"))

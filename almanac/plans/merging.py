@@ -253,12 +253,25 @@ def assign_images(t: Load):
     return C.assign_best(c.select("subject", "file", (F.col("subject") % 11).alias("tier"), F.row_number().over(Window.partitionBy("subject").orderBy("p", "file")).alias("rank")))
 
 
-@query("WITH c AS (SELECT DISTINCT l_partkey AS subject, l_suppkey AS file, CAST(l_quantity AS BIGINT) AS q FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY q DESC, file) AS k FROM c WHERE q > 10) SELECT subject, arg_min(file, k) AS best, count(*) - 1 AS alternates FROM r WHERE subject NOT IN (SELECT p_partkey FROM part WHERE p_size < 5) GROUP BY subject")
+@query("""
+WITH m AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'stay' WHEN 4 THEN 'map' ELSE 'place' END AS kind, o_custkey AS subject, o_orderstatus AS licence, CASE WHEN o_orderkey % 13 = 0 THEN ' ' WHEN o_orderkey % 29 <> 0 THEN o_orderpriority END AS credit,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'http://x' ELSE 'https://x' END AS url, o_totalprice AS ord FROM orders),
+s AS (SELECT 'place' AS kind, id AS subject, -score AS rank FROM places WHERE id % 7 <> 0 UNION ALL SELECT 'stay', id, 0 FROM stays),
+n AS (SELECT kind, subject, max(id) AS id FROM m WHERE subject % 3 = 0 GROUP BY ALL),
+r AS (SELECT m.*, s.subject IS NOT NULL AS known, rank, n.id IS NOT NULL AS named, CASE WHEN m.kind NOT IN ('place', 'stay') THEN 'no image kind' WHEN s.subject IS NULL THEN 'subject not known' WHEN licence NOT IN ('F', 'O') THEN 'licence not accepted'
+  WHEN trim(coalesce(credit, '')) = '' THEN 'no credit line' WHEN NOT starts_with(url, 'https://') THEN 'not https' END AS reason
+  FROM m LEFT JOIN s ON m.kind = s.kind AND m.subject = s.subject LEFT JOIN n ON m.kind = n.kind AND m.subject = n.subject AND m.id = n.id),
+c AS (SELECT * FROM r WHERE reason IS NULL UNION ALL SELECT * FROM r WHERE reason IS NOT NULL AND known AND named AND (kind, subject) IN (SELECT (kind, subject) FROM r WHERE reason IS NULL)),
+p AS (SELECT *, row_number() OVER (PARTITION BY kind, subject ORDER BY named DESC, ord, id) - 1 AS place FROM c),
+j AS (SELECT id, row_number() OVER (ORDER BY rank, CASE kind WHEN 'place' THEN 1 ELSE 2 END, subject, id) AS job FROM p WHERE place = 0)
+SELECT id, kind, subject, NULL AS reason, place::INTEGER AS place, job FROM p LEFT JOIN j USING (id) UNION ALL SELECT id, kind, subject, reason, NULL, NULL FROM r WHERE id NOT IN (SELECT id FROM c)
+""")
 def image_plan(t: Load):
-    """Primary and alternates of each subject; subjects that are done are skipped."""
-    c = t("lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("file"), F.col("l_quantity").cast("bigint").alias("q")).distinct().where("q > 10")
-    todo = c.join(t("part").where("p_size < 5").select(F.col("p_partkey").alias("subject")), "subject", "left_anti")
-    return todo.groupBy("subject").agg(F.min(F.struct(-F.col("q"), "file")).alias("m"), F.count("*").alias("n")).select("subject", F.col("m.file").alias("best"), (F.col("n") - 1).alias("alternates"))
+    """Images (orders, as media) of places and stays: why one can't be used, each subject's image and alternates, jobs in order."""
+    media = t("orders").selectExpr("o_orderkey as id", "case o_orderkey % 5 when 0 then 'stay' when 4 then 'map' else 'place' end as kind", "o_custkey as subject", "o_orderstatus as licence", "case when o_orderkey % 13 = 0 then ' ' when o_orderkey % 29 <> 0 then o_orderpriority end as credit", "case when o_orderkey % 17 = 0 then 'http://x' else 'https://x' end as url", "o_totalprice as ord")
+    subjects = t("places").where("id % 7 <> 0").selectExpr("'place' as kind", "id as subject", "-score as rank").unionByName(t("stays").selectExpr("'stay' as kind", "id as subject", "0d as rank"))
+    primary = media.where("subject % 3 = 0").groupBy("kind", "subject").agg(F.max("id").alias("id"))
+    return J.image_plan(media, subjects, primary, ["place", "stay"], ["F", "O"])
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
