@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.text import name_key
+from almanac.functions.geo import haversine
+from almanac.functions.text import name_key, street_key
 from almanac.operators.ranking import numbered, vocab_order
 from almanac.operators.spatial import radius_join
 
@@ -174,3 +175,46 @@ def image_plan(media: DataFrame, subjects: DataFrame, primary: DataFrame, kinds:
     at = vocab_order(F.col("kind"), kinds)
     jobs = numbered(m.withColumn("_at", at), ["rank", "_at", "subject", "id"], F.coalesce(F.col("place") == 0, F.lit(False)))
     return jobs.select("id", "kind", "subject", "reason", "place", F.col("number").alias("job"))
+
+
+def geocode_refusal(address: Column, names: Column, matched: Column, photon: Column, by_name: Column, metres: Column, farthest: float = 30_000) -> Column:
+    """Why a geocoder's match is not clearly the record; null if it is accepted.
+
+    A match by address must agree in house number and street, direction
+    included; its address is its first part, or in a Photon match the first part
+    that is a number and the one behind it. A match by name must begin with one
+    of the record's names, or one must hold the other from six letters on, and
+    its house number, if it has one behind the name, must be the record's. None
+    may be farther from the area's centre than ``farthest`` metres.
+    """
+    parts = F.transform(F.split(matched, ","), lambda p: F.trim(p))
+    number = lambda first: F.array_min(F.transform(parts, lambda p, i: F.when(p.rlike("(?i)^\\d+[a-z]?$") & (i >= first), i)))
+    want = street_key(address)
+    plain = street_key(F.get(parts, F.lit(0)))
+    split = street_key(F.concat_ws(" ", F.get(parts, number(0)), F.get(parts, number(0) + 1)))
+    got = F.coalesce(plain, F.when(photon, split))
+    by_address = (
+        F.when(want.isNull(), "the record has no house number")
+        .when(got.isNull(), "the match has no house number")
+        .when(got["no"] != want["no"], "house number differs")
+        .when(got["street"] != want["street"], "street differs")
+    )
+    first, keys = name_key(F.get(parts, F.lit(0))), F.filter(F.transform(names, name_key), lambda k: k != "")
+    said = F.exists(keys, lambda k: (k == first) | ((F.length(k) >= 6) & F.contains(first, k)) | ((F.length(first) >= 6) & F.contains(k, first)))
+    named = F.when(~F.coalesce(said, F.lit(False)), "name differs").when(want.isNotNull() & number(1).isNotNull() & (F.lower(F.get(parts, number(1))) != want["no"]), "house number differs")
+    return F.when(matched.isNull(), "no match").when(metres > farthest, "too far from the area").otherwise(F.when(by_name, named).otherwise(by_address))
+
+
+def geocode_cascade(records: DataFrame, hits: DataFrame) -> DataFrame:
+    """id, ref, step, refusals: each record's first accepted hit by step, and why those before it were not.
+
+    records have id, address, names, lat, lng (the area's centre); hits id,
+    step, ref, matched, photon, by_name, lat, lng, one for each record and step.
+    """
+    h = hits.select("id", "step", "ref", "matched", "photon", "by_name", F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).join(records, "id")
+    why = geocode_refusal(F.col("address"), F.col("names"), F.col("matched"), F.col("photon"), F.col("by_name"), haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
+    h = h.select("id", "step", "ref", why.alias("why"))
+    best = h.groupBy("id").agg(F.min(F.when(F.col("why").isNull(), F.struct("step", "ref"))).alias("m"), F.sort_array(F.collect_list(F.struct("step", "why"))).alias("all"))
+    before = F.filter("all", lambda x: x["why"].isNotNull() & (F.col("m").isNull() | (x["step"] < F.col("m.step"))))
+    out = best.select("id", F.col("m.ref").alias("ref"), F.col("m.step").alias("step"), F.array_join(F.transform(before, lambda x: x["why"]), "; ").alias("refusals"))
+    return records.select("id").join(out, "id", "left").select("id", "ref", "step", F.coalesce("refusals", F.lit("")).alias("refusals"))

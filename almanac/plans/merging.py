@@ -213,24 +213,32 @@ def entity_link(t: Load):
 
 
 @query(f"""
-WITH r AS (SELECT area * 1000 + id % 40 AS key, min(id) AS ref FROM stays GROUP BY 1), n AS (SELECT id % 60 AS key, min(id) AS ref FROM stays GROUP BY 1),
-a AS (SELECT p.id, s.id AS ref, s.lat, s.lng FROM places p JOIN r ON p.area * 1000 + p.id % 40 = r.key JOIN stays s ON s.id = r.ref JOIN places x ON x.id = p.id WHERE {METRES.format(a="p", b="s")} <= 30000),
-b AS (SELECT p.id, s.id AS ref, s.lat, s.lng FROM places p JOIN n ON p.id % 60 = n.key JOIN stays s ON s.id = n.ref WHERE {METRES.format(a="p", b="s")} <= 30000)
-SELECT places.id AS id, coalesce(a.ref, b.ref) AS ref, CASE WHEN a.ref IS NOT NULL THEN 'address' WHEN b.ref IS NOT NULL THEN 'name' END AS how FROM places LEFT JOIN a ON places.id = a.id LEFT JOIN b ON places.id = b.id
+WITH c AS (SELECT area, avg(lat) AS lat, avg(lng) AS lng FROM places GROUP BY area),
+p AS (SELECT places.id AS id, places.area AS area, 100 + places.id % 3 AS no, CASE WHEN places.id % 2 = 0 THEN 'w' ELSE 'e' END AS dir, places.id % 50 AS street, p_name AS name, places.id % 9 <> 0 AS housed FROM places JOIN part ON p_partkey = places.id),
+s AS (SELECT stays.id AS id, stays.area AS area, lat, lng, 100 + stays.id % 3 AS no, CASE WHEN stays.id % 4 = 0 THEN 'e' ELSE 'w' END AS dir, stays.id % 50 AS street, p_name AS name FROM stays JOIN part ON p_partkey = stays.id),
+x AS (SELECT p.id AS id, arg_min(s.id, (abs(s.no - p.no), s.id)) AS ref FROM p JOIN s ON p.street = s.street WHERE housed GROUP BY p.id),
+y AS (SELECT p.id AS id, min(s.id) AS ref FROM p JOIN s ON p.name = s.name AND p.area = s.area GROUP BY p.id),
+h AS (SELECT id, 1 AS step, ref FROM x UNION ALL SELECT id, 2, ref FROM y),
+w AS (SELECT h.*, CASE WHEN {METRES.format(a="c", b="s")} > 30000 THEN 'too far from the area' WHEN step = 1 AND s.no <> p.no THEN 'house number differs' WHEN step = 1 AND s.dir <> p.dir THEN 'street differs'
+  WHEN step = 2 AND housed AND s.no <> p.no THEN 'house number differs' END AS why FROM h JOIN p ON h.id = p.id JOIN s ON h.ref = s.id JOIN c ON c.area = p.area),
+m AS (SELECT id, min(step) AS step, arg_min(ref, step) AS ref FROM w WHERE why IS NULL GROUP BY id),
+f AS (SELECT w.id, string_agg(why, '; ' ORDER BY w.step) AS refusals FROM w LEFT JOIN m ON w.id = m.id WHERE why IS NOT NULL AND (m.step IS NULL OR w.step < m.step) GROUP BY w.id)
+SELECT p.id AS id, m.ref AS ref, m.step AS step, coalesce(refusals, '') AS refusals FROM p LEFT JOIN m ON p.id = m.id LEFT JOIN f ON p.id = f.id
 """)
 def geocode_cascade(t: Load):
-    """A point by address from a reference table, else by name; accepted only near the record's area."""
-    from almanac.functions.geo import haversine
-
-    ref = t("stays").selectExpr("id as ref", "area * 1000 + id % 40 as address", "id % 60 as name", "lat as rlat", "lng as rlng")
-    place = t("places").selectExpr("id", "lat", "lng", "area * 1000 + id % 40 as address", "id % 60 as name")
-
-    def accepted(key: str):
-        first = ref.groupBy(key).agg(F.min(F.struct("ref", "rlat", "rlng")).alias("r"))
-        return place.join(first, key).where(haversine(F.col("lat"), F.col("lng"), F.col("r.rlat"), F.col("r.rlng")) <= 30000).select("id", F.col("r.ref").alias(f"by_{key}"))
-
-    out = place.select("id").join(accepted("address"), "id", "left").join(accepted("name"), "id", "left")
-    return out.select("id", F.coalesce("by_address", "by_name").alias("ref"), F.when(F.col("by_address").isNotNull(), "address").when(F.col("by_name").isNotNull(), "name").alias("how"))
+    """A point from an address table by street, else by name; accepted if house number, street and area agree."""
+    part = t("part").select(F.col("p_partkey").alias("id"), "p_name")
+    centre = t("places").groupBy("area").agg(F.avg("lat").alias("clat"), F.avg("lng").alias("clng"))
+    no, street = (100 + F.col("id") % 3).cast("string"), (F.col("id") % 50).cast("string")
+    side = lambda c, a, b: F.when(c, a).otherwise(b)
+    address = F.when(F.col("id") % 9 != 0, F.concat(no, F.lit(" "), side(F.col("id") % 2 == 0, "West", "East"), F.lit(" "), street, F.lit("th Avenue, Suite 4")))
+    p = t("places").join(part, "id").join(centre, "area").select("id", "area", address.alias("address"), F.array("p_name").alias("names"), "p_name", street.alias("street"), (F.col("id") % 3).alias("n"), F.col("clat").alias("lat"), F.col("clng").alias("lng"))
+    way = F.concat(side(F.col("id") % 4 == 0, "E.", "W."), F.lit(" "), street, F.lit("th Ave"))
+    s = t("stays").join(part, "id").select(F.col("id").alias("ref"), F.col("area").alias("s_area"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), (F.col("id") % 3).alias("s_n"), street.alias("s_street"), F.col("p_name").alias("s_name"), F.concat(no, F.lit(" "), F.upper(way), F.lit(", TAMPA, FL")).alias("line"), F.concat_ws(", ", "p_name", no, way, F.lit("Tampa")).alias("label"))
+    hit = lambda pairs, step, first, matched: pairs.groupBy("id").agg(F.min(F.struct(*first, "ref", matched, "s_lat", "s_lng")).alias("m")).select("id", F.lit(step).alias("step"), "m.ref", F.col(f"m.{matched}").alias("matched"), F.lit(step == 2).alias("photon"), F.lit(step == 2).alias("by_name"), F.col("m.s_lat").alias("lat"), F.col("m.s_lng").alias("lng"))
+    by_street = hit(p.where("address is not null").join(s, F.col("street") == F.col("s_street")), 1, [F.abs(F.col("s_n") - F.col("n")).alias("off")], "line")
+    by_name = hit(p.join(s, (F.col("p_name") == F.col("s_name")) & (F.col("area") == F.col("s_area"))), 2, [], "label")
+    return J.geocode_cascade(p.select("id", "address", "names", "lat", "lng"), by_street.unionByName(by_name))
 
 
 @query("""

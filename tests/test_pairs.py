@@ -332,3 +332,25 @@ def test_entity_link_reasons(spark):
     pairs = lambda rows: spark.createDataFrame(rows, "subject long, item long")
     got = {r.subject: (r.item, r.level, r.reason) for r in references.entity_link(s, i, pairs([(7, 16), (8, 99)]), pairs([(1, 11)]), {3: 5000, 2: 2000, 1: 800}, ["museum"]).collect()}
     assert got == {1: (12, 3, "linked"), 2: (None, None, "has one"), 3: (None, None, "no coordinates"), 4: (13, 1, "linked"), 5: (None, None, "same name, too far"), 6: (None, None, "name differs"), 7: (16, 1, "forced"), 8: (None, None, "nothing near"), 9: (13, 1, "linked")}
+
+
+def test_geocoder_matches(spark):
+    rows = [
+        (1, "310 West 7th Avenue, Suite 4", ["x"], "310 W 7TH AVE, TAMPA, FL, 33602", False, False, 10.0, None),
+        (2, "310 East 7th Avenue", ["x"], "310 W 7TH AVE, TAMPA", False, False, 10.0, "street differs"),
+        (3, "312 W 7th Ave", ["x"], "310 W 7TH AVE, TAMPA", False, False, 10.0, "house number differs"),
+        (4, "7th Avenue", ["x"], "310 W 7TH AVE, TAMPA", False, False, 10.0, "the record has no house number"),
+        (5, "310 W 7th Ave", ["x"], "Cafe, Tampa", False, False, 10.0, "the match has no house number"),
+        (6, "310 W 7th Ave", ["x"], "Cafe, 310, West 7th Avenue, Tampa", True, False, 10.0, None),
+        (7, "310 W 7th Ave", ["x"], "Cafe, 310, West 7th Avenue, Tampa", False, False, 10.0, "the match has no house number"),
+        (8, "310 W 7th Ave", ["The Café"], "Cafe, 310, West 7th Avenue", True, True, 10.0, None),
+        (9, "312 W 7th Ave", [None, "Cafe"], "Cafe, 310, West 7th Avenue", True, True, 10.0, "house number differs"),
+        (10, None, ["Museum"], "Museum of Art, 5, Road", True, True, 10.0, None),
+        (11, None, ["Art"], "Museum of Art", True, True, 10.0, "name differs"),
+        (12, None, None, "Museum", True, True, 10.0, "name differs"),
+        (13, "310 W 7th Ave", ["x"], "310 W 7TH AVE", False, False, 30_001.0, "too far from the area"),
+        (14, "310 W 7th Ave", ["x"], None, False, False, None, "no match"),
+    ]
+    t = spark.createDataFrame(rows, "id int, address string, names array<string>, matched string, photon boolean, by_name boolean, metres double, want string")
+    got = t.select("id", "want", references.geocode_refusal(*(F.col(c) for c in ("address", "names", "matched", "photon", "by_name", "metres"))).alias("why")).collect()
+    assert [(r.id, r.why) for r in got] == [(r.id, r.want) for r in got]
