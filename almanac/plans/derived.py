@@ -372,8 +372,14 @@ def truncate_words(t: Load):
     return t("documents").select("doc_id", T.truncate_words(F.col("text"), 80).alias("short"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id, text, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) IN ('.', '!', '?')) AS marks FROM documents),
+e AS (SELECT doc_id, text, list_min(list_filter(marks, lambda i: regexp_matches(substr(text, i + 1, 300), '^\s+["“(]?[A-Z0-9]')
+  AND NOT regexp_matches(substr(text, greatest(1, i - 8), least(i - 1, 8)), '(^|[\s("“])(St|Ste|Ft|Mt|Dr|Mr|Mrs|Ms|Jr|Sr|No|Ave|Blvd|Rd|U\.S|Inc|Co|vs|Pt|[A-Z])$'))) AS stop FROM p)
+SELECT doc_id, CASE WHEN stop IS NULL THEN text ELSE substr(text, 1, stop) END AS sentence FROM e
+""")
 def first_sentence(t: Load):
+    """Each text up to its first sentence end that no abbreviation makes."""
     return t("documents").select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
 
 
