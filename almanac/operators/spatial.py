@@ -22,6 +22,11 @@ from almanac.sources.shared import written
 LEAF = 32
 DEEPEST = 11
 ROUNDING = 1e-12
+#: Pivots of a medoid's first and later rounds, tasks a group's points are dealt among, micrometres by which a distance may be off (next to the antipode).
+FIRST_PIVOTS = 8
+MOST_PIVOTS = 1024
+SALTS = 8
+SLACK = 1e5
 
 
 def grid_cells(df: DataFrame, metres: float, around: bool) -> DataFrame:
@@ -138,15 +143,44 @@ def near_point(df: DataFrame, lat: float, lng: float, metres: float, same_place:
     return out if same_place else out.where("d > 0.5")
 
 
-def medoid(df: DataFrame, group: str) -> DataFrame:
-    """group, id, total: the member with the least summed distance to the others of its group.
+def medoid_sums(df: DataFrame, group: str) -> DataFrame:
+    """group, id, total: exact summed distances (micrometres) of the members that bounds did not rule out, each group's medoid among them.
 
-    For dimension-sized groups (areas of a region): members meet pairwise.
+    A pivot p with sum S in a group of n bounds every other member's sum from
+    below: it is |n d(i, p) - S| at least, by the triangle inequality. So each
+    round sums up a few pivots against all points, and leaves open only members
+    whose bound does not exceed the group's least sum so far. Half of the
+    pivots are the members with the least bounds, half are drawn by hash, and
+    their number doubles each round up to ``MOST_PIVOTS``. Members at one place
+    are one weighted point with their smallest id; a crowded group is salted
+    against its pivots. Members without coordinates or group are left out, those
+    without id count in the sums and are no medoids.
     """
-    a = df.select(group, "id", "lat", "lng")
-    b = df.select(group, F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
-    sums = a.join(b, group).groupBy(group, "id").agg(F.sum(haversine(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))).alias("total"))
-    return sums.groupBy(group).agg(F.min(F.struct("total", "id")).alias("m")).select(group, F.col("m.id").alias("id"), F.col("m.total").alias("total"))
+    micro = lambda lat, lng, lat2, lng2: F.round(haversine(lat, lng, lat2, lng2) * 1e6)
+    at = df.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("_g"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    points = written(at.agg(F.count("*").alias("n"), F.min("id").alias("id")))
+    sizes = points.groupBy("_g").agg(F.sum("n").alias("_size"))
+    salted = points.select("_g", "lat", "lng", "n", F.pmod(F.xxhash64("lat", "lng"), F.lit(SALTS)).cast("int").alias("_salt"))
+    left, known, many = points.where("id is not null").join(sizes, "_g").select("_g", "id", "lat", "lng", "_size", F.lit(0.0).alias("bound")), None, FIRST_PIVOTS
+    while not left.isEmpty():
+        drawn = F.xxhash64("id")
+        firsts = lambda *order: left.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).where(F.col("_k") <= many // 2).select("_g", "id", "lat", "lng")  # noqa: B023, E731
+        pivots = firsts("bound", drawn, "id").unionByName(firsts(F.desc(drawn), "id")).distinct()
+        dealt = pivots.select("_g", "id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        part = micro(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
+        summed = written(salted.join(dealt, ["_g", "_salt"]).groupBy("_g", "id", "p_lat", "p_lng").agg(F.sum(part).alias("total")))
+        known = summed if known is None else known.unionByName(summed)
+        told = known.groupBy("_g").agg(F.min("total").cast("double").alias("_least")).join(summed.groupBy("_g").agg(F.collect_list(F.struct("id", "p_lat", "p_lng", F.col("total").cast("double").alias("s"))).alias("_pivots")), "_g")
+        near = lambda p: F.abs(F.col("_size") * micro(F.col("lat"), F.col("lng"), p["p_lat"], p["p_lng"]) - p["s"])
+        open_ = left.join(told, "_g").where(~F.exists("_pivots", lambda p: p["id"] == F.col("id"))).withColumn("bound", F.greatest("bound", F.array_max(F.transform("_pivots", near))))
+        left = written(open_.where(F.col("bound") <= F.col("_least") + F.col("_size") * SLACK).select("_g", "id", "lat", "lng", "_size", "bound"))
+        many = min(2 * many, MOST_PIVOTS)
+    return left.select(F.col("_g").alias(group), "id", F.lit(None).cast("decimal(38,0)").alias("total")) if known is None else known.select(F.col("_g").alias(group), "id", "total")
+
+
+def medoid(df: DataFrame, group: str) -> DataFrame:
+    """group, id, total: the member with the least summed distance (metres) to the others of its group; of equal ones the smallest id."""
+    return medoid_sums(df, group).groupBy(group).agg(F.min(F.struct("total", "id")).alias("m")).select(group, F.col("m.id").alias("id"), (F.col("m.total").cast("double") / 1e6).alias("total"))
 
 
 def medoid_and_far(df: DataFrame, group: str, metres: float) -> DataFrame:

@@ -221,6 +221,34 @@ def test_nearest_anywhere(spark, monkeypatch, leaf):
         assert abs(got[p[0]][1] - least) < 1e-3 and abs(metres(p, next(q for q in b if q[0] == got[p[0]][0])) - least) < 1e-3
 
 
+def test_medoids_against_all_pairs(spark):
+    r = random.Random(8)
+    crowd = [(i, "crowd", r.gauss(27, 1), r.gauss(-82, 1)) for i in range(1000)]
+    rows = [*crowd, (9000, "pair", 1.0, 1.0), (9001, "pair", 2.0, 1.0), (9002, "one", 3.0, 3.0), (9003, "one", None, 3.0), (9004, None, 3.0, 3.0), (9005, "none", None, None)]
+    rows += [(9100 + i, "same", 10.0, 179.99) for i in range(40)] + [(9099, "same", 10.0, -179.99), (9098, "same", None, 1.0), (None, "same", -10.0, 0.0)]
+    rows += [(9200 + i, "globe", r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, lat double, lng double")
+    sums = spatial.medoid_sums(df, "g").collect()
+    got = {}
+    for x in sums:
+        got[x.g] = min(got.get(x.g, (math.inf, 0)), (int(x.total), x.id))
+    groups = {}
+    for row in rows:
+        if row[1] is not None and row[2] is not None:
+            groups.setdefault(row[1], []).append(row)
+    want = {g: min((sum(round(metres(a[1:], b[1:]) * 1e6) for b in members), a[0]) for a in members if a[0] is not None) for g, members in groups.items()}
+    assert {g: v[1] for g, v in got.items()} == {g: v[1] for g, v in want.items()}
+    assert all(got[g][0] == pytest.approx(want[g][0]) for g in want)
+    assert len(sums) == len({(x.g, x.id) for x in sums})  # none twice
+    assert sum(x.g == "crowd" for x in sums) < len(crowd) / 4  # and few of many
+    assert sorted(x.id for x in sums if x.g == "same") == [9099, 9100]
+    far = spatial.medoid_and_far(df, "g", 100000).collect()
+    assert {x.g: x.id for x in far if x.medoid} == {g: v[1] for g, v in want.items()}
+    least = {g: next(m for m in groups[g] if m[0] == v[1]) for g, v in want.items()}
+    assert {(x.g, x.id) for x in far if not x.medoid} == {(m[1], m[0]) for g, members in groups.items() for m in members if metres(m[1:], least[g][1:]) >= 100000}
+    assert spatial.medoid(df.limit(0), "g").count() == 0
+
+
 # Evidence of a text
 
 
