@@ -86,24 +86,63 @@ def merge_designations(parts: DataFrame, column: str) -> DataFrame:
     return e.groupBy("id", name_key(F.col("name")).alias("_k"), "ref").agg(*(precedence_value(c).alias(c) for c in ("name", "year", "url"))).drop("_k")
 
 
-def resolve_id_collisions(collections: DataFrame, renames: DataFrame, suffixes: dict[str, str]) -> DataFrame:
-    """collection, id, new_id: where an id is in several collections, an explicit rename or a suffix.
-
-    The collection without a suffix rule keeps the id; a suffixed id that is
-    taken gets -2, -3 and so on; where no rule helps new_id is null.
+def resolve_id_collisions(collections: DataFrame, renames: DataFrame, suffixes: dict[str, str], folds: list[tuple[str, str]] | None = None) -> DataFrame:
+    """collection, id, new_id, action of the records whose id is in several collections.
+
+    In this order, as long as two collections are left at the id: explicit
+    renames (collections by name), folds (a's record goes into b's if that is
+    there: ``fold``, same id), suffix rules in theirs. The one that is left
+    keeps the id (``keep``); several are ``unresolved``, with a null new_id. A
+    suffixed id that is taken, by a record or a rename, gets the first free
+    number from 2 on; several records that come to one id are numbered by their
+    old ids. Renames are taken as they stand. Suffixes can't end in a digit.
+    """
+    if any(s[-1:].isdigit() for s in suffixes.values()):
+        raise ValueError("a suffix that ends in a digit could meet a numbered id")
+    told = renames.where("new_id is not null").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("collection", "new_id"))).alias("_told"))
+    hit = collections.where("id is not null").groupBy("id").agg(F.array_sort(F.collect_set("collection")).alias("_left")).where(F.size("_left") > 1).join(told, "id", "left")
+    named = F.filter("_left", lambda c: F.coalesce(F.map_contains_key("_told", c), F.lit(False)))
+    hit = hit.withColumn("_named", named).withColumn("_named", F.when(F.size("_named") == F.size("_left"), F.slice("_named", 1, F.size("_named") - 1)).otherwise(F.col("_named")))
+    move = lambda c, action, to, n: F.struct(c.alias("collection"), F.lit(action).alias("action"), to.alias("to"), F.lit(n).alias("rule"))
+    hit = hit.withColumn("_moves", F.transform("_named", lambda c: move(c, "rename", F.col("_told")[c], 0))).withColumn("_left", F.array_except("_left", "_named"))
+    rules = [(x, y, "fold", "") for x, y in folds or []] + [(x, "*", "suffix", s) for x, s in suffixes.items()]
+    for n, (x, y, action, suffix) in enumerate(rules, 1):
+        there = (F.size("_left") > 1) & F.array_contains("_left", x) & (F.lit(True) if y == "*" else F.array_contains("_left", y))
+        to = F.concat("id", F.lit(f"-{suffix}")) if action == "suffix" else F.col("id")
+        hit = hit.withColumn("_there", there).withColumn("_moves", F.when(F.col("_there"), F.array_append("_moves", move(F.lit(x), action, to, n))).otherwise(F.col("_moves")))
+        hit = hit.withColumn("_left", F.when(F.col("_there"), F.array_remove("_left", x)).otherwise(F.col("_left")))
+    stay = F.transform("_left", lambda c: F.struct(c.alias("collection"), F.when(F.size("_left") == 1, "keep").otherwise("unresolved").alias("action"), F.when(F.size("_left") == 1, F.col("id")).alias("to"), F.lit(0).alias("rule")))
+    out = hit.select("id", F.inline(F.concat("_moves", stay)))
+    done = out.where("action <> 'suffix'").select("collection", "id", F.col("to").alias("new_id"), "action")
+    # The j-th record of a base gets the j-th free number: before a taken number t, the i-th one of its base, t - i numbers are free.
+    moved = out.where("action = 'suffix'").withColumn("_j", F.row_number().over(Window.partitionBy("to").orderBy("id", "rule")))
+    used = collections.select(F.col("id").alias("_id")).union(done.where("action = 'rename'").select("new_id")).distinct()
+    parts = F.regexp_extract("_id", "^(.*)-([2-9]|[1-9][0-9]{1,17})$", 1), F.regexp_extract("_id", "^(.*)-([2-9]|[1-9][0-9]{1,17})$", 2)
+    taken = used.select(F.col("_id").alias("to"), F.lit(1).cast("long").alias("t")).union(used.where(parts[1] != "").select(parts[0], parts[1].cast("long"))).join(moved.select("to").distinct(), "to", "left_semi")
+    free = taken.select("to", (F.col("t") - F.row_number().over(Window.partitionBy("to").orderBy("t"))).alias("at"), F.lit(None).alias("collection"), F.lit(None).alias("id"))
+    line = moved.select("to", F.col("_j").alias("at"), "collection", "id", F.lit(1).alias("_own")).unionByName(free.withColumn("_own", F.lit(0)).withColumn("at", F.col("at") + 1))
+    passed = F.count_if(F.col("_own") == 0).over(Window.partitionBy("to").orderBy("at", "_own"))
+    number = F.col("at") + F.col("_passed")
+    new = F.when(number == 1, F.col("to")).otherwise(F.concat("to", F.lit("-"), number.cast("string")))
+    return done.unionByName(line.withColumn("_passed", passed).where("_own = 1").select("collection", "id", new.alias("new_id"), F.lit("suffix").alias("action")))
+
+
+def dup_operator(df: DataFrame, metres: float = 150) -> DataFrame:
+    """a, b, reason: records (id, name, operator, lat, lng) of one name that are one operator's, or near.
+
+    ``operator``: each record with the first of its name and operator, so a
+    chain of any size costs a row for each of its members. ``near``: pairs of
+    other operators, or of an unknown one, whose rounded distance is small; they meet in the grid cells
+    around, by name.
     """
-    n = collections.groupBy("id").agg(F.countDistinct("collection").alias("n"))
-    hit = collections.select("collection", "id").distinct().join(n.where("n > 1").select("id"), "id")
-    rule = F.create_map(*(x for c, s in suffixes.items() for x in (F.lit(c), F.lit(s)))) if suffixes else F.create_map().cast("map<string,string>")
-    r = renames.select("collection", "id", F.col("new_id").alias("_to"))
-    out = hit.join(r, ["collection", "id"], "left").withColumn("_suffix", F.element_at(rule, F.col("collection")))
-    base = F.when(F.col("_to").isNotNull(), F.col("_to")).when(F.col("_suffix").isNotNull(), F.concat("id", F.lit("-"), "_suffix"))
-    out = out.withColumn("_base", base)
-    taken = collections.select(F.col("id").alias("_taken")).distinct()
-    numbered = out.join(taken, F.col("_base") == F.col("_taken"), "left").withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy("collection", "id")) + F.when(F.col("_taken").isNotNull(), 1).otherwise(0))
-    keepers = F.count_if(F.col("_base").isNull()).over(Window.partitionBy("id"))
-    new = F.when(F.col("_base").isNull(), F.when(keepers == 1, F.col("id"))).when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string")))
-    return numbered.select("collection", "id", new.alias("new_id"))
+    named = df.where("name is not null")
+    first = named.where("operator is not null").groupBy("name", "operator").agg(F.min("id").alias("a"))
+    chain = named.join(first, ["name", "operator"]).where("a < id").select("a", F.col("id").alias("b"), F.lit("operator").alias("reason"))
+    own = lambda side, to: side.select(F.col("id").alias(to), F.col("lat").alias(f"{to}_lat"), F.col("lng").alias(f"{to}_lng"), F.col("operator").alias(f"{to}_op"), "name", "_y", "_x")
+    met = own(grid_cells(named, metres + 1, False), "a").join(own(grid_cells(named, metres + 1, True), "b"), ["name", "_y", "_x"])
+    d = F.round(haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")))
+    other = ~F.coalesce(F.col("a_op") == F.col("b_op"), F.lit(False))
+    return chain.unionByName(met.where((F.col("a") < F.col("b")) & other & (d <= metres)).select("a", "b", F.lit("near").alias("reason")))
 
 
 def dup_located(df: DataFrame, metres: float = 150) -> DataFrame:

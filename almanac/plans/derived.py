@@ -434,11 +434,11 @@ def latest_by_key(t: Load):
 
 
 @query(r"""
-SELECT doc_id, coalesce(regexp_matches(CASE WHEN doc_id % 3 = 0 THEN 'Verified 2024-01-05: ' ELSE 'Seen 2024-01-05: ' END || substr(text, 1, 40), '(?i)\bverif(ied|ier)\b[^.;]{0,20}[0-9]{4}-[0-9]{2}-[0-9]{2}'), false) AS verified FROM documents
+SELECT doc_id, coalesce(regexp_matches(CASE WHEN doc_id % 3 = 0 THEN 'Verified 2024-01-05: ' ELSE 'Seen 2024-01-05: ' END || text, '(?i)\bverif(ied|ier)\b[^.;]{0,20}[0-9]{4}-[0-9]{2}-[0-9]{2}'), false) AS verified FROM documents
 """)
 def verified_flag(t: Load):
     """Whether a note holds a verifier's date (notes made of documents)."""
-    note = F.concat(F.when(F.col("doc_id") % 3 == 0, "Verified 2024-01-05: ").otherwise("Seen 2024-01-05: "), F.substring("text", 1, 40))
+    note = F.concat(F.when(F.col("doc_id") % 3 == 0, "Verified 2024-01-05: ").otherwise("Seen 2024-01-05: "), F.col("text"))
     return t("documents").select("doc_id", C.verified_flag(note).alias("verified"))
 
 

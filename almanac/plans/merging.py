@@ -101,14 +101,20 @@ def latest_checked(t: Load):
 
 
 @query("""
-WITH c AS (SELECT 'part' AS collection, CAST(p_partkey AS VARCHAR) AS id FROM part UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier),
-h AS (SELECT id FROM c GROUP BY id HAVING count(DISTINCT collection) > 1)
-SELECT collection, id, CASE collection WHEN 'part' THEN id ELSE id || '-supplier' END AS new_id FROM c WHERE id IN (SELECT id FROM h)
+WITH c AS (SELECT 'part' AS collection, p_partkey AS k FROM part UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'customer', c_custkey FROM customer UNION ALL SELECT 'nation', n_nationkey FROM nation),
+h AS (SELECT *, k::VARCHAR AS id, bool_or(collection = 'customer') OVER w AS bought, bool_or(collection = 'part') OVER w AS made FROM c WINDOW w AS (PARTITION BY k) QUALIFY count(*) OVER w > 1)
+SELECT collection, id, CASE collection WHEN 'nation' THEN id WHEN 'supplier' THEN id || '-supplier' || CASE WHEN k % 6 = 0 THEN '-3' WHEN k % 3 = 0 THEN '-2' ELSE '' END WHEN 'customer' THEN CASE WHEN k % 10 = 0 THEN 'customer-' || id END ELSE CASE WHEN NOT bought OR k % 10 = 0 THEN id END END AS new_id,
+  CASE collection WHEN 'nation' THEN 'fold' WHEN 'supplier' THEN 'suffix' WHEN 'customer' THEN CASE WHEN k % 10 = 0 THEN 'rename' ELSE 'unresolved' END ELSE CASE WHEN NOT bought OR k % 10 = 0 THEN 'keep' ELSE 'unresolved' END END AS action
+FROM h
 """)
 def resolve_id_collisions(t: Load):
-    """Ids that parts and suppliers share: suppliers get a suffix."""
-    c = t("part").select(F.lit("part").alias("collection"), F.col("p_partkey").cast("string").alias("id")).unionByName(t("supplier").select(F.lit("supplier").alias("collection"), F.col("s_suppkey").cast("string").alias("id")))
-    return C.resolve_id_collisions(c, c.limit(0).withColumn("new_id", F.lit("")), {"supplier": "supplier"})
+    """Ids that parts, suppliers, customers and nations share: some customers are renamed, nations fold into parts, suppliers get a suffix (some are taken)."""
+    ids = lambda name, key: t(name).select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("id"))
+    s = F.col("s_suppkey").cast("string")
+    taken = t("supplier").where("s_suppkey % 3 = 0").select(F.concat(s, F.lit("-supplier")).alias("id")).union(t("supplier").where("s_suppkey % 6 = 0").select(F.concat(s, F.lit("-supplier-2"))))
+    c = ids("part", "p_partkey").union(ids("supplier", "s_suppkey")).union(ids("customer", "c_custkey")).union(ids("nation", "n_nationkey")).union(taken.select(F.lit("old").alias("collection"), "id"))
+    renames = ids("customer", "c_custkey").where("cast(id as long) % 10 = 0").withColumn("new_id", F.concat(F.lit("customer-"), "id"))
+    return C.resolve_id_collisions(c, renames, {"supplier": "supplier"}, [("nation", "part")])
 
 
 _NEAR = METRES.format(a="a", b="b")
@@ -151,16 +157,13 @@ def dup_events(t: Load):
 
 @query(f"""
 WITH k AS (SELECT id, lat, lng, kind || (id % 40) AS name, area % 5 AS operator FROM places)
-SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.name = b.name AND a.id < b.id AND (a.operator = b.operator OR round({_NEAR}) <= 150)
+SELECT min(id) OVER (PARTITION BY name, operator) AS a, id AS b, 'operator' AS reason FROM k QUALIFY a < b
+UNION ALL SELECT a.id, b.id, 'near' FROM k a JOIN k b ON a.name = b.name AND a.id < b.id AND a.operator <> b.operator AND round({_NEAR}) <= 2500
 """)
 def dup_operator(t: Load):
     """One name and operator, or one name nearby."""
-    from almanac.functions.geo import haversine
-
     k = t("places").select("id", "lat", "lng", F.concat("kind", (F.col("id") % 40).cast("string")).alias("name"), (F.col("area") % 5).alias("operator"))
-    a, b = k.alias("a"), k.alias("b")
-    d = F.round(haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")))
-    return a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id")) & ((F.col("a.operator") == F.col("b.operator")) | (d <= 150))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return C.dup_operator(k, 2500)
 
 
 @query("WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 30), d AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 40) SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE (d.a = p.a AND d.b = p.b) OR (d.a = p.b AND d.b = p.a))")

@@ -165,6 +165,29 @@ def test_id_collisions(spark):
     assert got == {("places", "x"): "x", ("series", "x"): "x-series-2", ("events", "y"): "y", ("stays", "y"): "y-inn"}
 
 
+def test_id_collisions_are_numbered_until_free(spark):
+    names = [("p", "x"), ("s", "x"), ("old", "x-s"), ("old", "x-s-2"), ("old", "x-s-4"), ("p", "a"), ("s", "a"), ("t", "a"), ("p", "b"), ("t", "b"), ("q", "c"), ("t", "c"), ("p", "d"), ("q", "d"), ("p", "x-y"), ("s", "x-y"), ("p", None), ("s", None)]
+    c = spark.createDataFrame(names, "collection string, id string")
+    renames = spark.createDataFrame([("p", "d", "d1"), ("q", "d", "d2"), ("p", "b", "x-s-3"), ("p", "lone", "other")], "collection string, id string, new_id string")
+    got = {(r.collection, r.id): (r.new_id, r.action) for r in C.resolve_id_collisions(c, renames, {"s": "s", "t": "y-s"}, [("t", "p")]).collect()}
+    assert got == {
+        ("p", "x"): ("x", "keep"), ("s", "x"): ("x-s-5", "suffix"), ("t", "a"): ("a", "fold"), ("s", "a"): ("a-s", "suffix"), ("p", "a"): ("a", "keep"),
+        ("p", "b"): ("x-s-3", "rename"), ("t", "b"): ("b", "keep"), ("q", "c"): ("c", "keep"), ("t", "c"): ("c-y-s", "suffix"),
+        ("p", "d"): ("d1", "rename"), ("q", "d"): ("d", "keep"), ("p", "x-y"): ("x-y", "keep"), ("s", "x-y"): ("x-y-s", "suffix"),
+    }
+    two = spark.createDataFrame([("q", "m"), ("t", "m"), ("s", "m-y"), ("q", "m-y"), ("q", "m-y-s-2")], "collection string, id string")
+    got = {(r.collection, r.id): r.new_id for r in C.resolve_id_collisions(two, renames, {"s": "s", "t": "y-s"}).where("action = 'suffix'").collect()}
+    assert got == {("t", "m"): "m-y-s", ("s", "m-y"): "m-y-s-3"}  # both come to m-y-s
+    with pytest.raises(ValueError):
+        C.resolve_id_collisions(c, renames, {"s": "s2"})
+
+
+def test_one_operator_or_near(spark):
+    rows = [(i, "inn", "o", 27.0, -82.0) for i in range(1, 30)] + [(40, "inn", "p", 27.001, -82.0), (41, "inn", None, 27.0, -81.999), (42, "inn", "q", 28.0, -82.0), (43, "pub", "p", 27.0, -82.0), (44, "inn", "o", None, None), (45, None, "o", 27.0, -82.0)]
+    got = sorted((r.a, r.b, r.reason) for r in C.dup_operator(spark.createDataFrame(rows, "id long, name string, operator string, lat double, lng double")).collect())
+    assert got == sorted([(1, i, "operator") for i in range(2, 30)] + [(1, 44, "operator")] + [(i, j, "near") for i in range(1, 30) for j in (40, 41)] + [(40, 41, "near")])
+
+
 def test_two_branches_are_not_duplicates(spark):
     rows = [(1, ["name:pub"], 27.0, -82.0), (2, ["name:pub"], 27.5, -82.0), (3, ["name:pub"], None, None), (4, ["name:pub", "street:1 main"], 27.0001, -82.0), (5, ["street:1 main"], 27.0001, -82.0)]
     got = {(r.a, r.b, r.reasons) for r in C.dup_located(spark.createDataFrame(rows, "id int, keys array<string>, lat double, lng double")).collect()}
