@@ -1,5 +1,7 @@
 """What small or plain tables do not show: each test failed on a version that did less than the whole job."""
 
+import random
+import re
 from collections import Counter
 from math import comb
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from almanac.llm import decontaminate, langid, minhash, mixing, pii, simhash, substrings
+from almanac.llm.common import table
 from almanac.llm.textops import ALNUM, word_slices
 
 VOCABULARY = [f"v{k}" for k in range(4000)]
@@ -270,3 +273,33 @@ def test_common_words_of_gaps():
         assert substrings._common(a, b) == plain(a.tolist(), b.tolist())
     a = np.arange(200, dtype="<u4")
     assert substrings._common(a, np.concatenate([[999], a[:150], a[151:]]).astype("<u4")) == 199  # one word put in, one left out
+
+
+def test_passages_whose_parts_are_elsewhere(spark):
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(30):
+        passage, k = words(120), 10 * g
+        rows += [(k + j, " ".join(words(20) + passage[40 * j : 40 * j + 40] + words(20))) for j in range(3)]
+        rows += [(k + j, " ".join(words(15) + passage + words(25))) for j in (3, 4)]
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(x.doc_id, x.ref_doc_id): (x.start, x.end) for x in found}
+    assert all(abs(got[10 * g + 4, 10 * g + 3][0] - 15) <= 2 and abs(got[10 * g + 4, 10 * g + 3][1] - 135) <= 2 for g in range(30))
+    assert len(got) == 30  # the parts are too short
+
+
+def test_passages_cover_what_all_runs_cover(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = {x.doc_id: [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in x.text or "")) if w] for x in docs.collect()}
+    first, want = {}, {}
+    for doc in sorted(texts):
+        for k in range(len(texts[doc]) - 49):
+            run = tuple(texts[doc][k : k + 50])
+            if first.setdefault(run, doc) < doc:
+                want.setdefault(doc, set()).update(range(k, k + 50))
+    covered = {}
+    for x in substrings.passages(docs).collect():
+        covered.setdefault(x.doc_id, set()).update(range(x.start, x.end))
+    total = sum(map(len, want.values()))
+    assert total and sum(len(want[d] & covered.get(d, set())) for d in want) >= 0.98 * total
