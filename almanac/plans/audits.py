@@ -145,11 +145,17 @@ def severity_gate(t: Load):
     return K.severity_gate(found).groupBy("level").agg(F.sum("n").alias("n"))
 
 
-@query("WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]{4,}')) AS a FROM documents), s AS (SELECT doc_id, list_distinct(regexp_extract_all(substr(text, 1, 1000), '[0-9]{4,}')) AS b FROM documents) SELECT n.doc_id AS doc_id, CAST(len([x FOR x IN a IF NOT list_contains(b, x)]) AS INTEGER) AS unbacked FROM n JOIN s ON n.doc_id = s.doc_id WHERE len([x FOR x IN a IF NOT list_contains(b, x)]) > 0")
+@query(r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS lede FROM documents), c AS (SELECT doc_id, substr(text, length(lede) + 2) AS cited, unnest(list_distinct(list_transform(regexp_extract_all(lede, '\b[0-9][0-9,.]*\b'), lambda x: rtrim(x, '.')))) AS claim FROM l)
+SELECT doc_id, count(*) AS unbacked FROM c WHERE NOT contains(cited, claim) AND NOT contains(cited, replace(claim, ',', '')) GROUP BY doc_id
+""")
 def route_claims_check(t: Load):
-    """Numbers of a text that its cited part (here its first 1,000 characters) does not have."""
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]{4,}"), F.lit(0)))
-    return t("documents").select("doc_id", F.size(F.array_except(numbers(F.col("text")), numbers(F.substring("text", 1, 1000)))).alias("unbacked")).where("unbacked > 0")
+    """Numbers of a text's first line, with or without their commas, that the rest of it (the record it speaks of) does not hold."""
+    lede = F.split("text", "\n")[0]
+    claims = F.array_distinct(F.transform(F.regexp_extract_all(lede, F.lit(r"\b[0-9][0-9,.]*\b"), F.lit(0)), lambda x: F.rtrim(x, F.lit("."))))
+    d = t("documents").select("doc_id", claims.alias("claims"), F.substr("text", F.length(lede) + 2).alias("cited"))
+    held = lambda x: F.contains("cited", x) | F.contains("cited", F.replace(x, F.lit(","), F.lit("")))
+    return d.select("doc_id", F.size(F.filter("claims", lambda x: ~held(x))).cast("bigint").alias("unbacked")).where("unbacked > 0")
 
 
 @query("SELECT p_partkey AS id, '{\"@type\":\"Product\",\"name\":\"' || p_name || '\",\"brand\":\"' || p_brand || '\"' || CASE WHEN p_size > 25 THEN ',\"size\":' || p_size ELSE '' END || '}' AS json FROM part")
