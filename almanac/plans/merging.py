@@ -156,14 +156,16 @@ def dup_events(t: Load):
 
 
 @query(f"""
-WITH k AS (SELECT id, lat, lng, kind || (id % 40) AS name, area % 5 AS operator FROM places)
-SELECT min(id) OVER (PARTITION BY name, operator) AS a, id AS b, 'operator' AS reason FROM k QUALIFY a < b
-UNION ALL SELECT a.id, b.id, 'near' FROM k a JOIN k b ON a.name = b.name AND a.id < b.id AND a.operator <> b.operator AND round({_NEAR}) <= 2500
+WITH k AS (SELECT id, lat, lng, kind || (id % 40) AS name, area % 5 AS operator FROM places),
+p AS (SELECT a.id AS a, b.id AS b, a.operator = b.operator AS same FROM k a JOIN k b ON a.name = b.name AND a.id < b.id AND (a.operator = b.operator OR round({_NEAR}) <= 2500)),
+n AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id)
+SELECT min(k.id) OVER (PARTITION BY name, operator) AS a, k.id AS b, 'operator' AS reason, coalesce(links, 0) AS links FROM k LEFT JOIN n ON k.id = n.id
+UNION ALL SELECT a, b, 'near', NULL FROM p WHERE NOT same
 """)
 def dup_operator(t: Load):
-    """One name and operator, or one name nearby."""
+    """One name and operator, or one name nearby: every record's class and number of links, and the near pairs of other classes."""
     k = t("places").select("id", "lat", "lng", F.concat("kind", (F.col("id") % 40).cast("string")).alias("name"), (F.col("area") % 5).alias("operator"))
-    return C.dup_operator(k, 2500)
+    return C.dup_operator_classes(k, 2500)
 
 
 @query("WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 30), d AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 40) SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE (d.a = p.a AND d.b = p.b) OR (d.a = p.b AND d.b = p.a))")

@@ -1,6 +1,7 @@
 """Operators on hand-made rows: edge cases that the star-schema tables do not hold."""
 
 import json
+import math
 import random
 
 import pytest
@@ -188,6 +189,25 @@ def test_one_operator_or_near(spark):
     assert got == sorted([(1, i, "operator") for i in range(2, 30)] + [(1, 44, "operator")] + [(i, j, "near") for i in range(1, 30) for j in (40, 41)] + [(40, 41, "near")])
 
 
+def test_classes_of_operators_lose_no_link(spark):
+    rows = [(i, f"n{i % 3}", f"o{i % 4}" if i % 7 else None, 27.0 + i % 5 / 1000, -82.0 + i % 11 / 1000) for i in range(90)] + [(90, "lone", "o1", 27.0, -82.0), (91, None, "o1", 27.0, -82.0), (92, "n1", "o1", None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, operator string, lat double, lng double")
+    pairs = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] is not None and a[1] == b[1]:
+                x, y = (math.radians(r[3]) if r[3] is not None else math.inf for r in (a, b))
+                near = math.isfinite(x) and math.isfinite(y) and round(2 * 6371008.8 * math.asin(math.sqrt(math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2))) <= 150
+                if near or (a[2] is not None and a[2] == b[2]):
+                    pairs.add((a[0], b[0]))
+    got = C.dup_operator_classes(df).collect()
+    named = {r.b: r.a for r in got if r.reason == "operator"}
+    assert sorted(r.b for r in got if r.reason == "operator") == [r[0] for r in rows]
+    near = {(r.a, r.b) for r in got if r.reason == "near"}
+    assert near and {(a, b) for a in named for b in named if a < b and named[a] == named[b]} | near == pairs
+    assert all(r.links == sum(r.b in p for p in pairs) for r in got if r.reason == "operator") and all(r.links is None for r in got if r.reason == "near")
+
+
 def test_two_branches_are_not_duplicates(spark):
     rows = [(1, ["name:pub"], 27.0, -82.0), (2, ["name:pub"], 27.5, -82.0), (3, ["name:pub"], None, None), (4, ["name:pub", "street:1 main"], 27.0001, -82.0), (5, ["street:1 main"], 27.0001, -82.0)]
     got = {(r.a, r.b, r.reasons) for r in C.dup_located(spark.createDataFrame(rows, "id int, keys array<string>, lat double, lng double")).collect()}
