@@ -303,3 +303,46 @@ def test_passages_cover_what_all_runs_cover(spark):
         covered.setdefault(x.doc_id, set()).update(range(x.start, x.end))
     total = sum(map(len, want.values()))
     assert total and sum(len(want[d] & covered.get(d, set())) for d in want) >= 0.98 * total
+
+
+def _links(found, n=50):
+    """Pairs that are linked by a passage, or by passages that hold the same n words of one document."""
+    spans = [(x.doc_id, x.ref_doc_id, x.ref_start, x.ref_end) for x in found]
+    out = {tuple(sorted(x[:2])) for x in spans}
+    for a in spans:
+        out |= {tuple(sorted((a[0], b[0]))) for b in spans if a[1] == b[1] and a[0] != b[0] and min(a[3], b[3]) - max(a[2], b[2]) >= n}
+    return out
+
+
+def test_passages_link_every_pair(spark):
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    head, tail, line, once = words(29), words(29), words(26), words(60)
+    texts = [words(20) + once[:40] + words(9), *(words(5 + k) + once + words(30) for k in range(5))]  # every holder, not the first only
+    texts += [words(9) + head + words(70) for _ in range(40)] + [words(4) + tail + words(70) for _ in range(40)] + [words(k) + head + tail + words(k) for k in (7, 12, 30)]  # all seeds are elsewhere, many times
+    texts += [words(10) + head + line + words(10), words(25) + head + line + words(11), words(90) + line + words(8)]
+    two = words(60), words(60)
+    texts += [words(3) + two[0] + words(90) + two[1] + words(3), words(6) + two[0] + words(80) + two[1] + words(9)]  # too far apart for one passage
+    one = words(55)
+    texts += [words(20) + one + words(20), words(2) + one[:18] + words(30) + one[20:38] + words(8) + one + words(5)]  # its seeds come before, apart
+    runs = {}
+    for doc, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            runs.setdefault(tuple(t[k : k + 50]), set()).add(doc)
+    want = {(a, b) for docs in runs.values() for a in docs for b in docs if a < b}
+    found = substrings.passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(want) == 16 and want <= _links(found)
+    assert {(x.doc_id, x.ref_doc_id) for x in found} >= {(b, a) for a in range(1, 6) for b in range(a + 1, 6)}
+    k = next(k for k, t in enumerate(texts) if t[3:63] == two[0])
+    assert sorted((x.start, x.end) for x in found if (x.doc_id, x.ref_doc_id) == (k + 1, k)) == [(6, 66), (146, 206)]
+    copies = substrings.passages(spark.createDataFrame([(k, " ".join(one) if k else "x") for k in range(50)], "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.ref_doc_id, x.start, x.end) for x in copies) == [(k, 1, 0, 55) for k in range(2, 50)]
+
+
+def test_stretches_by_all_windows():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        same = rng.random(rng.integers(0, 90)) < rng.choice([0.6, 0.75, 0.9])
+        any_ = any(same[a] and same[b - 1] and same[a:b].mean() >= 0.8 for a in range(len(same)) for b in range(a + 20, len(same) + 1))
+        got = substrings.stretches(same, 20, 0.8)
+        assert bool(got) == any_ and all(b - a >= 20 and same[a:b].mean() >= 0.8 for a, b in got)
