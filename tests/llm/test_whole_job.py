@@ -346,3 +346,18 @@ def test_stretches_by_all_windows():
         any_ = any(same[a] and same[b - 1] and same[a:b].mean() >= 0.8 for a in range(len(same)) for b in range(a + 20, len(same) + 1))
         got = substrings.stretches(same, 20, 0.8)
         assert bool(got) == any_ and all(b - a >= 20 and same[a:b].mean() >= 0.8 for a, b in got)
+
+
+def test_near_duplicates_in_large_bands_of_unlike_texts(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda k: rng.choice(VOCABULARY, k).tolist()
+    base, texts = draw(176), {}
+    for k in range(0, 120, 2):  # any two of these differ too much, but for the pairs k, k + 1 of every sixth
+        own = draw(26)
+        texts[k] = " ".join(base + own)
+        texts[k + 1] = " ".join(base + (own[:16] + draw(10) if k % 12 == 0 else draw(26)))
+    want = _components(texts)
+    assert len(set(want.values())) == 110
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs.where("doc_id < 30").repartition(2)).collect()} == {k: v for k, v in want.items() if k < 30}
