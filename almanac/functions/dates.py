@@ -138,7 +138,7 @@ def live_state(s: Column, e: Column, now: Column, run: Column, time_unknown: Col
     soon = F.concat(F.lit("In "), F.greatest(F.lit(1), F.floor(left / 60 + 0.5)).cast("long").cast("string"), F.lit(" min"))
     day_end = F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), ZONE)
     say = lambda st, label: F.struct(F.lit(st).alias("state"), (label if isinstance(label, Column) else F.lit(label)).alias("label"))
-    near = left <= 30 * 60
+    near = now >= s - F.expr("INTERVAL 30 MINUTES")  # not by whole seconds: a start may have fractions
     no_hours = time_unknown | all_day
     return (
         F.when(cancelled | s.isNull() | e.isNull(), F.lit(None).cast("struct<state:string,label:string>"))
