@@ -88,7 +88,9 @@ def state_changes(instances: DataFrame) -> DataFrame:
     and at midnight of the first and last day and the days after them; the state
     at each such moment is ``live_state``'s, and moments that change nothing are
     left out. The first entry holds from the beginning of time. Cancelled
-    instances and those without times have none.
+    instances and those without times have none. Timed instances without a flag
+    but ``end_unknown`` have their changes written down at once; the others go
+    through all moments, whose functions are not compiled.
     """
     flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("run", "time_unknown", "all_day", "end_unknown", "cancelled")]
     midnight = lambda t, days: D.ny_midnight(F.date_add(F.to_date(D.ny_time(t)), days))
@@ -98,7 +100,14 @@ def state_changes(instances: DataFrame) -> DataFrame:
     states = F.transform(moments, lambda t: F.struct(t.alias("at"), D.live_state(s, e, t, run, unknown, all_day, no_end, cancelled)["state"].alias("state")))
     states = F.filter(states, lambda x: x["state"].isNotNull())
     changed = F.filter(F.transform(states, lambda x, i: F.struct(x["at"].alias("at"), x["state"].alias("state"), F.when(i > 0, F.get(states, i - 1)["state"]).alias("was"))), lambda x: x["was"].isNull() | (x["was"] != x["state"]))
-    return instances.withColumn("changes", F.transform(changed, lambda x: F.struct(x["at"].alias("at"), x["state"].alias("state"))))
+    first = F.lit("1900-01-01").cast("timestamp")
+    over = F.when(no_end, F.greatest(e, midnight(s, 1))).otherwise(e)
+    step = lambda at, state: F.struct(at.alias("at"), (F.lit(state) if isinstance(state, str) else state).alias("state"))
+    begins = [step(first, "upcoming"), step(s - F.expr("interval 30 minutes"), "soon")]
+    short = F.array(*begins, step(s, F.when(no_end, "started").otherwise("live")), step(over, "past"))
+    plain = ~run & ~unknown & ~all_day & ~cancelled & (s > F.lit("1900-01-02").cast("timestamp")) & e.isNotNull() & (over > s)
+    every = F.transform(changed, lambda x: F.struct(x["at"].alias("at"), x["state"].alias("state")))
+    return instances.withColumn("changes", F.when(plain, short).otherwise(every))
 
 
 class Board(StatefulProcessor):

@@ -1,5 +1,10 @@
 """Odd values and forms that large tables need: against plain versions."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from almanac.functions import dates as D
 from almanac.streaming import jobs
 
 # Live states
@@ -13,3 +18,22 @@ def instances(spark, rows):
 def test_soon_begins_at_the_start_s_fraction_of_a_second(spark):
     i = instances(spark, [(1, "2024-01-13 05:30:00.733309", "2024-01-13 06:30:00.733309", "")])
     assert [(c.at.strftime("%H:%M:%S.%f"), c.state) for c in jobs.state_changes(i).first().changes][1:] == [("05:00:00.733309", "soon"), ("05:30:00.733309", "live"), ("06:30:00.733309", "past")]
+
+
+def test_changes_written_down_at_once_are_those_of_all_moments(spark):
+    r = random.Random(3)
+    at = lambda m: f"2024-01-{1 + m // 1440:02} {m // 60 % 24:02}:{m % 60:02}:{r.randrange(60):02}.{r.randrange(1000):03}"
+    rows = []
+    for i in range(120):
+        m = r.randrange(1440 * 4)
+        rows.append((i, at(m), at(max(0, m + r.choice([-40, -10, 1, 30, 400, 2000]))), r.choice(["", "", "end_unknown", "cancelled"])))
+    rows += [(900, None, at(5), ""), (901, at(5), None, "end_unknown"), (902, "1899-12-31 23:50:00", "1900-01-01 02:00:00", ""), (903, "2024-01-02 10:00:00", "2024-01-02 10:00:00", "")]
+    i = instances(spark, rows)
+    flags = ("run", "time_unknown", "all_day", "end_unknown", "cancelled")
+    now = F.col("now")
+    marks = i.select(F.explode(F.array("s", "e", F.col("s") - F.expr("interval 30 minutes"))).alias("m")).where("m is not null").select(F.explode(F.array("m", F.col("m") - F.expr("interval 1 microsecond"))).alias("now")).distinct()
+    both = i.crossJoin(marks).select("id", "now", D.live_state(F.col("s"), F.col("e"), now, *(F.col(f) for f in flags))["state"].alias("want"), "s", "e", *flags)
+    told = jobs.state_changes(both).select("id", "now", "want", F.try_element_at(F.filter("changes", lambda c: c["at"] <= now), F.lit(-1))["state"].alias("got"), "changes")
+    assert told.where("now >= '1900-01-01' and not got <=> want").collect() == []
+    sizes = told.select("id", F.size("changes").alias("n"), F.array_distinct("changes.state").alias("s")).distinct()
+    assert sizes.where("n <> size(s)").collect() == []
