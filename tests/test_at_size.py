@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
+from almanac.operators import clusters
 from almanac.streaming import jobs
 
 # Live states
@@ -37,3 +39,23 @@ def test_changes_written_down_at_once_are_those_of_all_moments(spark):
     assert told.where("now >= '1900-01-01' and not got <=> want").collect() == []
     sizes = told.select("id", F.size("changes").alias("n"), F.array_distinct("changes.state").alias("s")).distinct()
     assert sizes.where("n <> size(s)").collect() == []
+
+
+# Clusters
+
+
+@pytest.mark.parametrize("crowd", [3, 20_000])
+def test_points_of_crowded_cells_are_dealt_and_no_repeated_rows_are_broadcast(spark, monkeypatch, crowd, capsys):
+    monkeypatch.setattr(clusters, "CROWD", crowd)
+    r = random.Random(11)
+    points = [(i, i % 2, r.choice([5.0, r.random() * 8]), r.choice([5.0, r.random() * 8])) for i in range(220)]
+    rows = spark.createDataFrame(points, "id long, k long, x double, y double")
+    kept = []
+    for p in points:
+        if not any(q[1] == p[1] and abs(p[2] - q[2]) < 0.7 and abs(p[3] - q[3]) < 0.7 for q in kept):
+            kept.append(p)
+    assert sorted(x.id for x in clusters.distinct_points(rows, ["k"], ["id"], 0.7).collect()) == sorted(p[0] for p in kept)
+    placed = clusters._placed(rows, ["k"], ["id"], 0.7, clusters.BOX[1])
+    met = clusters._meet(placed, placed.limit(20), ["k"], 0.7, clusters.BOX[0], lambda p, f: p > f)
+    met.select("p").explain()
+    assert capsys.readouterr().out.count("BroadcastHashJoin") <= 2  # of a list of crowded cells only
