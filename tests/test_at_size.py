@@ -1,12 +1,14 @@
 """Odd values and forms that large tables need: against plain versions."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
-from almanac.operators import clusters
+from almanac.functions import geo
+from almanac.operators import clusters, spatial
 from almanac.streaming import jobs
 
 # Live states
@@ -59,3 +61,54 @@ def test_points_of_crowded_cells_are_dealt_and_no_repeated_rows_are_broadcast(sp
     met = clusters._meet(placed, placed.limit(20), ["k"], 0.7, clusters.BOX[0], lambda p, f: p > f)
     met.select("p").explain()
     assert capsys.readouterr().out.count("BroadcastHashJoin") <= 2  # of a list of crowded cells only
+
+
+# Distances
+
+
+def globe(spark, n, seed):
+    r = random.Random(seed)
+    spots = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(5)] + [(89.99, 10.0), (0.0, 179.99)]
+    near = lambda c: (max(-89.999, min(89.999, c[0] + r.gauss(0, 0.02))), (c[1] + r.gauss(0, 0.02) + 540) % 360 - 180)
+    rows = [(i, *(near(r.choice(spots)) if r.random() < 0.8 else r.choice(spots))) for i in range(n)]
+    return rows + [(n, None, 1.0)], spark.createDataFrame([*rows, (n, None, 1.0)], "id long, lat double, lng double")
+
+
+def metres(p, q):
+    h = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def test_the_nearest_within_a_distance_by_growing_circles(spark, monkeypatch):
+    a, x = globe(spark, 60, 1)
+    b, y = globe(spark, 90, 1)
+    want = {}
+    for p in a[:-1]:
+        near = sorted((round(metres(p, q), 6), q[0]) for q in b[:-1] if metres(p, q) <= 4000)
+        want[p[0]] = [k for _, k in near][:3]
+    asked = []
+    whole = spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *args: asked.append(args[2]) or whole(*args))
+    for repeated in "ab":
+        got = {}
+        for r in sorted(spatial.nearest_within(x, y, 4000, 3, repeated).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.a_id, []).append(r.b_id)
+        assert got == {k: v for k, v in want.items() if v}
+    assert min(asked) < 100  # most are found close by, not among all within the distance
+
+
+@pytest.mark.parametrize("reach", [0.5, 1500.0, 2e7, 3e7])
+def test_straight_lines_tell_the_same_pairs(spark, reach):
+    a, x = globe(spark, 40, 2)
+    b, y = globe(spark, 40, 2)
+    want = sorted((p[0], q[0]) for p in a[:-1] for q in b[:-1] if metres(p, q) <= reach)
+    for repeated in "ab":
+        assert sorted((r.a_id, r.b_id) for r in spatial.radius_join(x, y, reach, repeated).collect()) == want
+        told = {(r.a_id, r.b_id): r.metres for r in spatial.radius_metres(x, y, reach, repeated).collect()}
+        assert sorted(told) == want and all(abs(told[k] - metres(a[k[0]], b[k[1]])) <= 0.5 + 1e-6 for k in want)
+
+
+def test_whole_metres_are_rounded_half_up(spark):
+    some = [0.0, 0.49999999999999994, 0.5, 1.5, 2.4999999999999996, 7999.5, 123456.49999999999, 4503599627370495.5]
+    got = spark.createDataFrame([(d,) for d in some], "d double").select("d", geo.whole(F.col("d")).alias("n"), F.round("d").cast("bigint").alias("r")).collect()
+    assert [r.n for r in got] == [math.floor(r.d) + (r.d - math.floor(r.d) >= 0.5) for r in got] == [r.r for r in got]
