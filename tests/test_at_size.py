@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import geo
-from almanac.operators import clusters, spatial
+from almanac.operators import clusters, consolidate, spatial
 from almanac.streaming import jobs
 
 # Live states
@@ -112,3 +112,24 @@ def test_whole_metres_are_rounded_half_up(spark):
     some = [0.0, 0.49999999999999994, 0.5, 1.5, 2.4999999999999996, 7999.5, 123456.49999999999, 4503599627370495.5]
     got = spark.createDataFrame([(d,) for d in some], "d double").select("d", geo.whole(F.col("d")).alias("n"), F.round("d").cast("bigint").alias("r")).collect()
     assert [r.n for r in got] == [math.floor(r.d) + (r.d - math.floor(r.d) >= 0.5) for r in got] == [r.r for r in got]
+
+
+# Pairs of records
+
+
+def test_located_pairs_come_once_without_being_brought_together(spark, capsys):
+    r = random.Random(5)
+    rows = [(i, [r.choice(["name:a", "name:b", "name:c", None]), r.choice(["street:x", "street:y"]), "name:a" if i % 9 == 0 else "street:z"], *r.choice([(27.0 + r.random() / 50, -82.0), (None, -82.0)])) for i in range(70)]
+    df = spark.createDataFrame(rows, "id int, keys array<string>, lat double, lng double")
+    want = set()
+    for p in rows:
+        for q in rows:
+            both = {k for k in p[1] if k} & {k for k in q[1] if k}
+            unknown = p[2] is None or q[2] is None
+            if p[0] < q[0] and both and (unknown or math.floor(metres((0, *p[2:]), (0, *q[2:])) + 0.5) <= 800):
+                want.add((p[0], q[0], ",".join(sorted({k.split(":")[0] for k in both}))))
+    pairs = consolidate.dup_located(df, 800)
+    got = [(x.a, x.b, x.reasons) for x in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs.explain()
+    assert "hashpartitioning(a#" not in capsys.readouterr().out
