@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from almanac.functions import dates as D
 from almanac.functions import geo
 from almanac.operators import clusters, consolidate, spatial
+from almanac.plans import merging, registry
 from almanac.streaming import jobs
 
 # Live states
@@ -133,3 +134,9 @@ def test_located_pairs_come_once_without_being_brought_together(spark, capsys):
     assert len(got) == len(set(got)) and set(got) == want
     pairs.explain()
     assert "hashpartitioning(a#" not in capsys.readouterr().out
+
+
+def test_addresses_are_brought_to_one_a_street_and_number_first(spark, capsys):
+    merging.geocode_cascade(registry.Tables(spark, "/root/testdata/sf0.001")).explain("extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("min(struct(ref") == 3  # of addresses by street, of those by name, of hits by name
