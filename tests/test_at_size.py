@@ -115,6 +115,21 @@ def test_whole_metres_are_rounded_half_up(spark):
     assert [r.n for r in got] == [math.floor(r.d) + (r.d - math.floor(r.d) >= 0.5) for r in got] == [r.r for r in got]
 
 
+def test_fallback_takes_the_near_ones_or_else_the_nearest(spark):
+    a, x = globe(spark, 50, 3)
+    b, y = globe(spark, 60, 4)
+    y = y.withColumn("lat", F.col("lat") * 0.2).unionByName(x.withColumn("lat", F.col("lat") + 0.003).where("id % 3 = 0"))
+    b = [(r.id, r.lat, r.lng) for r in y.collect() if r.lat is not None]
+    want = set()
+    for p in a[:-1]:
+        d = sorted((metres(p, q), q[0]) for q in b if metres(p, q) <= 9000)
+        near = bool(d) and d[0][0] <= 900
+        want |= {(p[0], k, i + 1, near) for i, (m, k) in enumerate(d[:4]) if not near or m <= 900}
+    for repeated in "ab":
+        assert {(r.a_id, r.b_id, r["rank"], r.near) for r in spatial.radius_fallback(x, y, 900, 9000, 4, repeated).collect()} == want
+    assert len({w[3] for w in want}) == 2
+
+
 # Pairs of records
 
 
