@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from almanac.functions import dates as D
 from almanac.functions import geo
 from almanac.operators import clusters, consolidate, spatial
-from almanac.plans import merging, registry
+from almanac.plans import merging, registry, space
 from almanac.streaming import jobs
 
 # Live states
@@ -130,6 +130,14 @@ def test_fallback_takes_the_near_ones_or_else_the_nearest(spark):
     assert len({w[3] for w in want}) == 2
 
 
+def test_near_events_repeats_the_stays_not_the_events(spark, capsys):
+    space.near_events(registry.Tables(spark, "/root/testdata/sf0.001")).explain("extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "collect_list(id" in optimized  # a place's events meet a stay as one row
+    cells = [line for line in optimized.splitlines() if "Generate explode" in line and "transform" in line]
+    assert cells and not any("b_id" in line for line in cells)
+
+
 # Pairs of records
 
 
